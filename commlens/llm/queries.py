@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commlens.llm import bpe, langid, license_scan, records, token_count, toxicity, url_filter
+from commlens.llm import bpe, langid, license_scan, neardup, records, token_count, toxicity, url_filter
 from commlens.llm.common import crc_mod, read
 
 
@@ -44,5 +44,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_records, op4_toxicity, op6_byte_bpe, op7_license_scan, op8_url_filter, op9_language_id)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.components(read(spark, sf_dir, "documents"), n=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_records, op4_toxicity, op6_byte_bpe, op7_license_scan, op8_url_filter, op9_language_id, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commlens.llm import bpe, langid, license_scan, neardup, records, token_count, toxicity, url_filter
+from commlens.llm import ann, bpe, decontam, langid, license_scan, neardup, records, token_count, toxicity, url_filter
 from commlens.llm.common import crc_mod, read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -26,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,5 +57,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_records, op4_toxicity, op6_byte_bpe, op7_license_scan, op8_url_filter, op9_language_id, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_records, op4_toxicity, op5_nearest_neighbours, op6_byte_bpe, op7_license_scan, op8_url_filter, op9_language_id, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}

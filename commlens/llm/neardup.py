@@ -46,7 +46,9 @@ ROWS, BANDS = 4, 28
 #: Elements whose permutations are held at once (a byte for each of their slots).
 _ELEMENTS = 1 << 15
 #: Members of a block in the exact comparison.
-BLOCK = 512
+BLOCK = 2048
+#: Logarithm of the bits of the filter of candidate ids (8 MB).
+FILTER_LOG2 = 26
 _MEMO = WordHashes()
 _ONE = 2.0**-53
 
@@ -131,16 +133,34 @@ def sketch(docs: DataFrame, n: int, n_bands: int = BANDS, rows: int = ROWS) -> D
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, cls binary, keys array<long>")
 
 
+def _bits(ids: DataFrame) -> bytearray:
+    """A bitmap of 2**FILTER_LOG2 bits with the hashed ids: a fixed size, whatever their number."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_LOG2)) + 1
+    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = bytearray((1 << FILTER_LOG2) // 8)
+    for r in rows.collect():  # at most 2**FILTER_LOG2 / 32768 rows of 4 KB
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+    return out
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls, s (its set) for the classes in ``wanted`` (cls, doc_id): one text of each is read again."""
+    """cls, s (its set) for the classes in ``wanted`` (cls, doc_id): one text of each is read again.
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    Texts are not shuffled: a bitmap of the wanted ids passes over most others where they
+    are read, and the exact join takes the sets.  A full bitmap passes more, never less.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bytes(_bits(wanted)))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        table = np.frombuffer(bits.value, dtype=np.uint8)
+        at = b.column(2).to_numpy()
+        b = b.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
         sets = [shingles(t, n) for t in texts(b)]
         cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "s"])
 
-    rows = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
-    made = map_batches(rows.where("text IS NOT NULL"), run, "cls binary, s array<long>")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_LOG2)).alias("at")
+    made = map_batches(docs.select("doc_id", "text", place), run, "cls binary, s array<long>")
     return written(made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
@@ -172,9 +192,9 @@ def _blocks(percent: int):
         place[shared] = np.arange(len(shared))
         column = place[index]
         both = np.zeros((len(left), len(right)), dtype=np.float32)
-        for begin in range(0, len(shared), 4096):
-            part = (column >= begin) & (column < begin + 4096)
-            m = np.zeros((len(sets), min(4096, len(shared) - begin)), dtype=np.float32)
+        for begin in range(0, len(shared), 2048):
+            part = (column >= begin) & (column < begin + 2048)
+            m = np.zeros((len(sets), min(2048, len(shared) - begin)), dtype=np.float32)
             m[owner[part], column[part] - begin] = 1
             both += m[left] @ m[right].T
         size = np.array([len(s) for s in sets])

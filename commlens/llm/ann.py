@@ -7,8 +7,10 @@
   not nearer to a centroid already taken than to the vector.
 * Centroids are searched through an in-memory graph (each one linked with its nearest
   ones) by best-first search.
-* Of the lists found, a query probes those whose centroid's distance is at most ``RATIO``
-  times the nearest one's, ``PROBES`` at most.
+* Of the lists found, a query probes those whose centroid's distance is at most a ratio
+  times the nearest one's.  The ratio is the one that reaches ``RECALL`` of the nearest
+  neighbours of ``TRIALS`` sample vectors within the sample: where vectors lie in tight
+  clusters it prunes most lists, in isotropic noise few.
 
 Lists of more than ``LIST_ROWS`` vectors (many equal vectors, which no clustering can
 part) are dealt over several parts by id; queries go to all parts.  So no task gets an
@@ -37,7 +39,7 @@ from commlens.llm.common import map_batches, written
 
 LISTS_PER_ROOT, SAMPLE_PER_LIST, ROUNDS = 1.0, 64, 8
 REPLICAS, CLOSURE = 4, 1.15
-LINKS, RATIO, PROBES = 16, 1.8, 64
+LINKS, TRIALS, RECALL = 16, 256, 0.97
 LIST_ROWS = 4096
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -72,6 +74,7 @@ class Lists:
             d = _distances(c[a : a + 1024], c)
             self.links[a : a + 1024] = np.argsort(d, axis=1, kind="stable")[:, : self.links.shape[1]]
         self.start = int(_distances(c.mean(axis=0)[None], c)[0].argmin())
+        self.ratio = self._ratio(sample)
         self.entries = np.unique(np.concatenate([[self.start], rng.choice(k, min(k, 8), replace=False)]))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,34 +94,45 @@ class Lists:
             lists += taken
         return np.array(rows, dtype=np.int64), np.array(lists, dtype=np.int64)
 
-    def nearest(self, q: np.ndarray, most: int) -> list[tuple[float, int]]:
-        """(distance, list) by best-first search in the graph."""
-        beam = max(most, 2 * LINKS)
+    def _ratio(self, sample: np.ndarray) -> float:
+        """How much farther than the nearest centroid those of the neighbours' lists are."""
+        q = sample[:TRIALS]
+        d = _distances(q, sample)
+        d[np.arange(len(q)), np.arange(len(q))] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, : min(10, len(sample) - 1)]
+        if not near.size:
+            return 1.0
+        to_list = np.sqrt(_distances(q, self.c))
+        rows, lists = self.assign(sample[near.ravel()])
+        seen = np.full(near.size, np.inf)
+        np.minimum.at(seen, rows, to_list[rows // near.shape[1], lists])
+        least = np.repeat(to_list.min(axis=1), near.shape[1])
+        return float(np.quantile(seen / np.maximum(least, 1e-12), RECALL))
+
+    def probes(self, q: np.ndarray) -> list[int]:
+        """The lists within the ratio, by best-first search in the graph."""
         seen = set(self.entries.tolist())
         d = np.sqrt(((self.c[self.entries] - q) ** 2).sum(axis=1))
         heap = list(zip(d.tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(heap)
-        found = [(-a, b) for a, b in heap]
-        heapq.heapify(found)
+        found = list(heap)
+        best, idle = min(found)[0], 0
         while heap:
             a, i = heapq.heappop(heap)
-            if len(found) >= beam and a > -found[0][0]:
-                break
+            if a > self.ratio * best:
+                idle += 1  # a few steps beyond the range, to cross gaps in the graph
+                if idle > 2 * LINKS:
+                    break
             new = [j for j in self.links[i].tolist() if j not in seen]
             if not new:
                 continue
             seen.update(new)
             for x, j in zip(np.sqrt(((self.c[new] - q) ** 2).sum(axis=1)).tolist(), new, strict=True):
                 heapq.heappush(heap, (x, j))
-                heapq.heappush(found, (-x, j))
-                if len(found) > beam:
-                    heapq.heappop(found)
-        return sorted((-a, b) for a, b in found)[:most]
-
-    def probes(self, q: np.ndarray) -> list[int]:
-        """The lists that a query probes."""
-        near = self.nearest(q, PROBES)
-        return [j for a, j in near if a <= RATIO * near[0][0] + 1e-12]
+                found.append((x, j))
+                if x < best:
+                    best, idle = x, 0
+        return sorted(j for x, j in found if x <= self.ratio * best + 1e-12)
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
@@ -155,9 +169,11 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     posts = written(map_batches(v, place, "vec_id long, list long, embedding array<double>"))
     parts = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
-    posts = posts.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    parts = written(parts)
+    posts = posts.join(parts, "list").select("vec_id", "list", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
     queries = map_batches(v.where(is_query), probe, "query_id long, list long, q array<double>")
-    queries = queries.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = parts.select(F.col("list").alias("to"), F.col("parts").alias("n"))
+    queries = queries.join(many, F.col("list") == F.col("to")).select("query_id", "list", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -98,7 +98,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 out, base = store.open_output_stream(f"{root}/.{name}.rec"), root
                 first = b.column(0)[0].as_py()
             end = end_id.to_bytes(encoder.width, "little")
-            for doc, ids in zip(b.column(0).to_pylist(), encode_texts(encoder, texts(b)), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode_texts(encoder, texts(b), chunk=1 << 30), strict=True):
                 ids += end
                 data = frame(pack(doc, encoder.width, ids))
                 out.write(data)

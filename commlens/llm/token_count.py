@@ -98,7 +98,7 @@ class WordEncoder:
         self.merger = WordMerger.of(path)
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo = Memo(200_000)
+        self.memo = Memo(320_000)
 
     def words(self, text: str) -> list[str]:
         """The words; unlike str.split(), the separators \\x1c-\\x1f are no white space."""

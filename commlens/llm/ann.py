@@ -4,9 +4,9 @@
   order by hash) with a size penalty, which keeps the lists balanced.
 * Every vector is indexed: in the list of its nearest centroid, and, near a boundary, in
   up to ``REPLICAS`` lists: those whose centroid is at most ``CLOSURE`` times as far, and
-  not nearer to a centroid already taken than to the vector.
+  not much nearer to a centroid already taken than to the vector (``APART``).
 * Centroids are searched through an in-memory graph (each one linked with its nearest
-  ones) by best-first search.
+  ones, both ways, and with a few far ones) by best-first search.
 * Of the lists found, a query probes those whose centroid's distance is at most a ratio
   times the nearest one's.  The ratio is the one that reaches ``RECALL`` of the nearest
   neighbours of ``TRIALS`` sample vectors within the sample: where vectors lie in tight
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from commlens.llm.common import map_batches, written
 
 LISTS_PER_ROOT, SAMPLE_PER_LIST, ROUNDS = 1.0, 64, 8
-REPLICAS, CLOSURE = 4, 1.15
-LINKS, TRIALS, RECALL = 16, 256, 0.97
+REPLICAS, CLOSURE, APART = 4, 1.08, 0.25
+LINKS, FAR, TRIALS, RECALL = 16, 4, 256, 0.98
 LIST_ROWS = 4096
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -69,13 +69,18 @@ class Lists:
             np.add.at(total, near, sample)
             c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         self.c = c
-        self.links = np.empty((k, min(LINKS, k)), dtype=np.int64)
+        # the nearest centroids both ways, and a few far ones, so that no part is cut off
+        links: list[set[int]] = [set(rng.integers(0, k, FAR).tolist()) for _ in range(k)]
         for a in range(0, k, 1024):
             d = _distances(c[a : a + 1024], c)
-            self.links[a : a + 1024] = np.argsort(d, axis=1, kind="stable")[:, : self.links.shape[1]]
+            for i, row in enumerate(np.argsort(d, axis=1, kind="stable")[:, 1 : LINKS + 1].tolist(), a):
+                links[i].update(row)
+                for j in row:
+                    links[j].add(i)
+        self.links = [sorted(x - {i}) for i, x in enumerate(links)]
         self.start = int(_distances(c.mean(axis=0)[None], c)[0].argmin())
         self.ratio = self._ratio(sample)
-        self.entries = np.unique(np.concatenate([[self.start], rng.choice(k, min(k, 8), replace=False)]))
+        self.entries = np.unique(np.concatenate([[self.start], rng.choice(k, min(k, max(8, math.isqrt(k))), replace=False)]))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every place a vector is kept in."""
@@ -88,7 +93,7 @@ class Lists:
             for j in order[1:]:
                 if len(taken) == REPLICAS or d[i, j] > CLOSURE**2 * d[i, order[0]]:
                     break
-                if all(((self.c[j] - self.c[t]) ** 2).sum() > d[i, j] for t in taken):
+                if all(((self.c[j] - self.c[t]) ** 2).sum() > APART * d[i, j] for t in taken):
                     taken.append(j)
             rows += [i] * len(taken)
             lists += taken
@@ -123,7 +128,7 @@ class Lists:
                 idle += 1  # a few steps beyond the range, to cross gaps in the graph
                 if idle > 2 * LINKS:
                     break
-            new = [j for j in self.links[i].tolist() if j not in seen]
+            new = [j for j in self.links[i] if j not in seen]
             if not new:
                 continue
             seen.update(new)

@@ -55,8 +55,11 @@ def sender_counts_middle(df: DataFrame, sender: str, many: int) -> DataFrame:
 
 def explode_recipients(df: DataFrame, uid: str, fields: dict[str, str]) -> DataFrame:
     """One row for each address in each field; distinct within a field only."""
-    pairs = [F.transform(F.array_distinct(F.col(c)), lambda a, f=f: F.struct(a.alias("address"), F.lit(f).alias("field"))) for f, c in fields.items()]
-    return df.select(uid, F.explode(F.concat(*pairs)).alias("r")).select(uid, "r.address", "r.field").where("address IS NOT NULL")
+
+    def pairs(field: str) -> Column:
+        return F.transform(F.array_distinct(F.col(fields[field])), lambda a: F.struct(a.alias("address"), F.lit(field).alias("field")))
+
+    return df.select(uid, F.explode(F.concat(*map(pairs, fields))).alias("r")).select(uid, "r.address", "r.field").where("address IS NOT NULL")
 
 
 def thread_candidates(messages: DataFrame, recipients: DataFrame, uid: str, date: str, address: str) -> DataFrame:

@@ -23,8 +23,8 @@ def eigenvector_centrality(graph: DataFrame, rounds: int = 1000, tolerance: floa
     """Weighted eigenvector centrality by power iteration: x + A x, normalised, until the
     summed change is below n * tolerance; degree centrality if it doesn't settle.
 
-    The iterate is checkpointed every few rounds (reliably, to the shared folder), and the
-    edge list is the only large table: it is partitioned by source once and kept.
+    The iterate is checkpointed every round (reliably, to the shared folder), so the plan
+    stays that of one round; the edge list is the only large table.
     ``exact_rounds`` does so many rounds without tests.
     """
     from commlens.session import durable
@@ -41,18 +41,16 @@ def eigenvector_centrality(graph: DataFrame, rounds: int = 1000, tolerance: floa
         norm = raw.agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("norm"))
         moved = raw.crossJoin(F.broadcast(norm)).select("address", "x", (F.col("z") / F.col("norm")).alias("z"))
         last = k == step - 1
+        if exact_rounds and last:
+            return moved.select("address", F.col("z").alias("centrality"))
+        moved = durable(moved)  # the iterate is used twice a round: without this the plan grows as 4**k
         if exact_rounds:
             x = moved.select("address", F.col("z").alias("x"))
-            if k % 5 == 4 and not last:
-                x = durable(x)
             continue
-        moved = durable(moved)
         change = moved.agg(F.sum(F.abs(F.col("z") - F.col("x")))).first()[0]
         x = moved.select("address", F.col("z").alias("x"))
         if change < n * tolerance:
             return x.select("address", F.col("x").alias("centrality"))
-    if exact_rounds:
-        return x.select("address", F.col("x").alias("centrality"))
     return degrees(graph).select("address", ((F.col("in_degree") + F.col("out_degree")) / max(1, n - 1)).alias("centrality"))
 
 

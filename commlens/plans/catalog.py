@@ -368,8 +368,8 @@ def lexical_features(spark, sf_dir):
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), x -> trim(x) <> '') AS s FROM documents)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, x -> contains(lower(x), 'tion'))) / len(s), 6) END AS phrase_rate, CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, x -> rtrim(x) LIKE '%?')) / len(s), 6) END AS question_ratio FROM s"""
+    r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: trim(x) <> '') AS s FROM documents)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, lambda x: contains(lower(x), 'tion'))) / len(s), 6) END AS phrase_rate, CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, lambda x: rtrim(x) LIKE '%?')) / len(s), 6) END AS question_ratio FROM s"""
 )
 def sentence_rates(spark, sf_dir):
     out = S.lexical_features(read(spark, sf_dir, "documents"), "doc_id", "text", hedges=([], ["tion"]))
@@ -466,17 +466,17 @@ def _personas(spark, sf_dir):
     return P.with_fallback(cells, grid, "rank", "department", _STYLE, 60)
 
 
-@query(f"SELECT rank, department, pooled, n_people, n_messages, round(mean_price, 4) AS mean_price, round(mean_lines, 4) AS mean_lines FROM {_CELLS}")
+@query(f"SELECT rank, department, pooled, n_people, n_messages, round(mean_price, 1) AS mean_price, round(mean_lines, 3) AS mean_lines FROM {_CELLS}")
 def persona_cells(spark, sf_dir):
-    return _cells(spark, sf_dir).select("rank", "department", "pooled", "n_people", "n_messages", *[F.round(s, 4).alias(s) for s in _STYLE])
+    return _cells(spark, sf_dir).select("rank", "department", "pooled", "n_people", "n_messages", F.round("mean_price", 1).alias("mean_price"), F.round("mean_lines", 3).alias("mean_lines"))
 
 
-_GRID = f"(SELECT p.rank, d.department, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN 'cell' ELSE 'rank_pooled' END AS derivation, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_people ELSE p.n_people END AS n_people, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_messages ELSE p.n_messages END AS n_messages, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_price ELSE p.mean_price END, 4) AS mean_price, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_lines ELSE p.mean_lines END, 4) AS mean_lines FROM {_CELLS} p CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in [*_SEGMENTS, 'LEGAL'])}]) AS department) d LEFT JOIN {_CELLS} o ON o.rank = p.rank AND o.department = d.department AND o.pooled = 0 WHERE p.pooled = 1)"
+_GRID = f"(SELECT p.rank, d.department, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN 'cell' ELSE 'rank_pooled' END AS derivation, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_people ELSE p.n_people END AS n_people, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_messages ELSE p.n_messages END AS n_messages, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_price ELSE p.mean_price END, 1) AS mean_price, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_lines ELSE p.mean_lines END, 3) AS mean_lines FROM {_CELLS} p CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in [*_SEGMENTS, 'LEGAL'])}]) AS department) d LEFT JOIN {_CELLS} o ON o.rank = p.rank AND o.department = d.department AND o.pooled = 0 WHERE p.pooled = 1)"
 
 
 @query(f"SELECT * FROM {_GRID}")
 def persona_fallback(spark, sf_dir):
-    return _personas(spark, sf_dir).withColumns({s: F.round(s, 4) for s in _STYLE})
+    return _personas(spark, sf_dir).withColumns({"mean_price": F.round("mean_price", 1), "mean_lines": F.round("mean_lines", 3)})
 
 
 @query(f"SELECT rank, count(*) AS n_personas FROM {_GRID} GROUP BY 1 HAVING count(*) > 1 AND bool_and(derivation = 'rank_pooled') AND count(DISTINCT (mean_price, mean_lines)) = 1")

@@ -71,8 +71,8 @@ def normalize_display_name(raw: Column) -> Column:
 def mailbox_key(full_name: Column) -> Column:
     """surname-initial; null for fewer than two names."""
     parts = F.filter(F.split(F.lower(F.trim(full_name)), r"\s+"), lambda x: ~F.regexp_replace(x, r"\.", "").isin("jr", "sr", "ii", "iii", "iv") & (x != ""))
-    surname = F.regexp_replace(F.element_at(parts, -1), "[^a-z]", "")
-    initial = F.substring(F.regexp_replace(F.element_at(parts, 1), "[^a-z]", ""), 1, 1)
+    surname = F.regexp_replace(F.try_element_at(parts, F.lit(-1)), "[^a-z]", "")
+    initial = F.substring(F.regexp_replace(F.try_element_at(parts, F.lit(1)), "[^a-z]", ""), 1, 1)
     return F.when((F.size(parts) >= 2) & (surname != "") & (initial != ""), F.concat_ws("-", surname, initial))
 
 

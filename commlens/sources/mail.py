@@ -89,7 +89,7 @@ def parsed(files: DataFrame) -> DataFrame:
 def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unique messages (first copy in path order) and their recipients."""
     p = parsed(files)
-    first_id = lambda c: F.element_at(T.message_ids(F.col(c)), 1)
+    first_id = lambda c: F.get(T.message_ids(F.col(c)), 0)
     uid = T.content_fingerprint(F.col("from_addr"), F.col("date"), F.col("subject"), F.col("body_raw"))
     p = p.withColumns({"message_uid": uid, "path_parts": F.split("source_path", "/"), "reference_ids": T.message_ids(F.col("references")), "message_id": first_id("message_id"), "in_reply_to": first_id("in_reply_to")})
     one = keep_first(p, "message_uid", "path_parts").drop("path_parts")

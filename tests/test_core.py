@@ -58,7 +58,7 @@ def test_bodies(spark):
     assert one(spark, "A\nFrom: b@c\nSent: today\nx", T.strip_quoted) == "A\n"
     assert one(spark, "A\nFrom: here on\nall is well", T.strip_quoted).startswith("A\nFrom: here")
     assert one(spark, "Text\n\nJo\n713-555 1234\n\na@b.com\n", T.strip_signature) == "Text\n\nJo"
-    assert one(spark, "Text\n-- \nJo", T.strip_signature) == "Text\n"
+    assert one(spark, "Text\n-- \nJo", T.strip_signature) == "Text"
 
 
 def test_small_functions(spark):

@@ -7,19 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Reply prefixes, quoted-text banners and the deadline pattern.
+# Reply prefixes, patterns where quoted text begins, contact lines, deadlines.
 REPLY_PREFIXES = ["re", "fw", "fwd", "aw", "antw", "tr", "rv", "sv", "vs"]
 QUOTE_BANNERS = [
-    r"(?im)^\s*-{2,}\s*original message\s*-{2,}",
-    r"(?im)^\s*-{2,}\s*forwarded by\b",
-    r"(?im)^\s*-{3,}\s*forwarded message\s*-{3,}",
-    r"(?im)^\s*on .{1,200}wrote:\s*$",
-    r"(?im)^\s*_{10,}\s*$",
+    r"(?im)^-+\s*Original Message\s*-+",
+    r"(?im)^-+\s*Forwarded by\b.*$",
+    r"(?m)^\s*_{10,}\s*$",
+    r"(?m)^\s*-{10,}\s*$",
+    r"(?m)^On\b.{0,160}\bwrote:\s*$",
 ]
+CONTACT_LINE = r"(?i)\(\d{3}\)\s*\d{3}[-.\s]?\d{4}|\b\d{3}[-.]\d{3}[-.]\d{4}\b|\b(?:tel|telephone|fax|phone|mobile|cell|e-?mail|ext)\b\s*[:.]?|[\w.+-]+@[\w.-]+\.\w{2,}"
+DEADLINE = r"(?i)\b(deadline|due\s+by|no\s+later\s+than|by\s+(?:end\s+of\s+day|eod|cob|monday|tuesday|wednesday|friday|thursday|saturday|sunday|tomorrow|\d{1,2}[/-]\d{1,2})|\basap\b|\burgent\b)"
 #: A From: line that a Sent, To, Date or Subject line confirms within the next three lines.
-FROM_BLOCK = r"(?im)^[ \t]*from:[^\n]*(?=\n(?:[^\n]*\n){0,2}[ \t]*(?:sent|to|date|subject):)"
-CONTACT_LINE = r"(?i)(^\s*(tel|phone|ph|fax|cell|mobile|e-?mail|office)\b[:.]?.*$|^\s*\+?\(?\d[\d\s().\-]{6,}\s*$|^\s*\S+@\S+\s*$|^\s*(https?://|www\.)\S+\s*$)"
-DEADLINE = r"(?i)\b(by|before|no later than)\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow|today|noon|eod|cob|close of business|end of (day|week|month))|\bdeadline|\basap\b|\bdue (by|on|date)\b"
+FROM_BLOCK = r"(?m)^[ \t]*From:[ \t]+\S[^\n]*(?=\n(?:[^\n]*\n){0,2}[ \t]*(?:Sent|To|Date|Subject):[ \t]+\S)"
 SIGNATURE_LINES = 6
 
 

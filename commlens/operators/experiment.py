@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from commlens.functions.text import deterministic_choice, short_id
 from commlens.operators.features import average_ranks
 
-DECISIONS, CONFIDENCES = ["approve", "decline", "escalate", "defer"], ["low", "medium", "high"]
+# The closed domains of a response.
+DECISIONS, CONFIDENCES = ["accept", "decline", "defer", "escalate", "none"], ["low", "medium", "high"]
 #: Batch and prompt-cache multipliers of the base rates.
 BATCH, CACHE_WRITE, CACHE_READ = 0.50, 1.25, 0.10
 

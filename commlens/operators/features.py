@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from commlens.functions.text import has_deadline, phrase_hits, sentences, token_hits
 
-# Obligation modals; base verbs that open a request (the first-word heuristic
-# stands in for a dependency parser and is approximate).
-OBLIGATION_MODALS = ["must", "shall"]
-OBLIGATION_PHRASES = ["need to", "have to", "has to", "required to", "you should"]
+# Obligation modals and phrases; (tokens, phrases) of each lexicon.
+OBLIGATION_MODALS = ["must", "should", "shall", "need", "needs", "required"]
+OBLIGATION_PHRASES = ["have to", "has to", "need to", "needs to"]
+HEDGES = (
+    ["perhaps", "maybe", "possibly", "probably", "somewhat", "presumably", "arguably", "apparently", "seemingly", "roughly"],
+    ["i think", "i guess", "i believe", "i suppose", "i assume", "it seems", "it seems like", "sort of", "kind of", "i'm not sure", "im not sure", "not certain", "correct me if i'm wrong", "as far as i know", "i could be wrong"],
+)
+DEFERENCE = (
+    [],
+    ["would you mind", "if you don't mind", "if you dont mind", "if possible", "if it's not too much trouble", "when you get a chance", "when you have a chance", "no rush", "no worries if not", "sorry to bother", "sorry for the trouble", "at your convenience", "would it be possible", "i was wondering if", "i hope this is ok", "i hope that's ok", "please let me know if", "thanks in advance", "thank you in advance"],
+)
+COMMITMENT = ([], ["i will", "i'll", "i promise", "i plan to", "i intend to", "i'm going to", "im going to", "we will", "we'll", "i shall", "i commit to"])
+#: Base verbs that open a request: this first-word heuristic stands in for a parser and is approximate.
 REQUEST_VERBS = ["please", "send", "call", "let", "make", "give", "check", "review", "forward", "get", "keep", "note", "provide", "confirm", "see", "fix", "prepare", "schedule", "update"]
-HEDGES = (["maybe", "perhaps", "possibly", "might", "could", "seems", "probably", "somewhat", "guess", "roughly"], ["i think", "sort of", "kind of", "i believe", "not sure"])
-DEFERENCE = (["please", "sorry", "thanks", "kindly", "appreciate", "sir"], ["thank you", "would you mind", "if possible", "at your convenience", "i apologize"])
-COMMITMENT = (["will", "promise", "commit", "guarantee", "ensure", "definitely"], ["i will", "we will", "i'll", "we'll", "count on"])
 MAX_BODY_CHARS = 100_000
 
 

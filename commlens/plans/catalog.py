@@ -65,9 +65,7 @@ def address_extract(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.extract_addresses(F.col("text"))).alias("address"))
 
 
-@query(
-    r"SELECT doc_id, regexp_matches(text, '(?i)\b(by|before|no later than)\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow|today|noon|eod|cob|close of business|end of (day|week|month))|\bdeadline|\basap\b|\bdue (by|on|date)\b') AS has_deadline FROM documents"
-)
+@query(f"SELECT doc_id, regexp_matches(text, '{T.DEADLINE}') AS has_deadline FROM documents")
 def deadline_flag(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.has_deadline(F.col("text")).alias("has_deadline"))
 

@@ -8,9 +8,13 @@
 * Centroids are searched through an in-memory graph (each one linked with its nearest
   ones, both ways, and with a few far ones) by best-first search.
 * Of the lists found, a query probes those whose centroid's distance is at most a ratio
-  times the nearest one's.  The ratio is the one that reaches ``RECALL`` of the nearest
+  times its base: the distance up to which the nearest lists hold k candidates beside the
+  query itself (usually that of the nearest list; farther where the query lies on the
+  centroid of a few vectors).  The ratio is the one that reaches ``RECALL`` of the nearest
   neighbours of ``TRIALS`` sample vectors within the sample: where vectors lie in tight
   clusters it prunes most lists, in isotropic noise few.
+* A query that still has fewer than k results (repeated ids, small tables) is compared
+  with every vector.
 
 Lists of more than ``LIST_ROWS`` vectors (many equal vectors, which no clustering can
 part) are dealt over several parts by id; queries go to all parts.  So no task gets an
@@ -26,6 +30,7 @@ repeated id keeps its nearest row.  Without vectors the result is empty.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -79,7 +84,6 @@ class Lists:
                     links[j].add(i)
         self.links = [sorted(x - {i}) for i, x in enumerate(links)]
         self.start = int(_distances(c.mean(axis=0)[None], c)[0].argmin())
-        self.ratio = self._ratio(sample)
         self.entries = np.unique(np.concatenate([[self.start], rng.choice(k, min(k, max(8, math.isqrt(k))), replace=False)]))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,32 +103,56 @@ class Lists:
             lists += taken
         return np.array(rows, dtype=np.int64), np.array(lists, dtype=np.int64)
 
-    def _ratio(self, sample: np.ndarray) -> float:
-        """How much farther than the nearest centroid those of the neighbours' lists are."""
+    def calibrate(self, sample: np.ndarray, held: np.ndarray, k: int) -> None:
+        """Take what the lists hold (each id in its first list only), and fit the ratio."""
+        self.held, self.need = held.tolist(), k + 1
+        self.ratio = self._ratio(sample, k)
+
+    def _ratio(self, sample: np.ndarray, k: int) -> float:
+        """How much farther than a query's base the centroids of its neighbours' lists are."""
         q = sample[:TRIALS]
         d = _distances(q, sample)
         d[np.arange(len(q)), np.arange(len(q))] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(10, len(sample) - 1)]
+        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
         if not near.size:
             return 1.0
         to_list = np.sqrt(_distances(q, self.c))
         rows, lists = self.assign(sample[near.ravel()])
         seen = np.full(near.size, np.inf)
         np.minimum.at(seen, rows, to_list[rows // near.shape[1], lists])
-        least = np.repeat(to_list.min(axis=1), near.shape[1])
-        return float(np.quantile(seen / np.maximum(least, 1e-12), RECALL))
+        order = np.argsort(to_list, axis=1, kind="stable")
+        enough = np.cumsum(np.array(self.held)[order], axis=1) >= self.need
+        last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(self.c) - 1)
+        base = np.repeat(to_list[np.arange(len(q)), order[np.arange(len(q)), last]], near.shape[1])
+        return max(1.0, float(np.quantile(seen / np.maximum(base, 1e-12), RECALL)))
 
     def probes(self, q: np.ndarray) -> list[int]:
-        """The lists within the ratio, by best-first search in the graph."""
+        """The lists within the ratio of the base, by best-first search in the graph."""
         seen = set(self.entries.tolist())
         d = np.sqrt(((self.c[self.entries] - q) ** 2).sum(axis=1))
         heap = list(zip(d.tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(heap)
-        found = list(heap)
-        best, idle = min(found)[0], 0
+        found: list[tuple[float, int]] = []
+        first: list[tuple[float, int]] = []  # the nearest lists that together hold enough
+        held, base, idle = 0, math.inf, 0
+
+        def add(x: float, j: int) -> None:
+            nonlocal held, base, idle
+            found.append((x, j))
+            if x >= base:
+                return
+            bisect.insort(first, (x, j))
+            held += self.held[j]
+            while held - self.held[first[-1][1]] >= self.need:
+                held -= self.held[first.pop()[1]]
+            if held >= self.need and first[-1][0] < base:
+                base, idle = first[-1][0], 0
+
+        for x, j in heap:
+            add(x, j)
         while heap:
             a, i = heapq.heappop(heap)
-            if a > self.ratio * best:
+            if a > self.ratio * base:
                 idle += 1  # a few steps beyond the range, to cross gaps in the graph
                 if idle > 2 * LINKS:
                     break
@@ -134,10 +162,8 @@ class Lists:
             seen.update(new)
             for x, j in zip(np.sqrt(((self.c[new] - q) ** 2).sum(axis=1)).tolist(), new, strict=True):
                 heapq.heappush(heap, (x, j))
-                found.append((x, j))
-                if x < best:
-                    best, idle = x, 0
-        return sorted(j for x, j in found if x <= self.ratio * best + 1e-12)
+                add(x, j)
+        return sorted(j for x, j in found if x <= self.ratio * base + 1e-12)
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
@@ -161,24 +187,32 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     v = v.where(F.size("embedding") == size)
     lists = max(1, round(LISTS_PER_ROOT * 4 * math.sqrt(n) / 4))
     rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_PER_LIST * lists).select("embedding").toArrow()
-    index = spark.sparkContext.broadcast(Lists(_matrix(rows.column("embedding").combine_chunks()), lists))
+    sample = _matrix(rows.column("embedding").combine_chunks())
+    model = Lists(sample, lists)
+    index = spark.sparkContext.broadcast(model)
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
         at, to = index.value.assign(_matrix(b.column(1)))
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(to), b.column(1).take(pa.array(at))], ["vec_id", "list", "embedding"])
+        first = pa.array(np.diff(at, prepend=-1) > 0)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(to), first, b.column(1).take(pa.array(at))], ["vec_id", "list", "first", "embedding"])
 
     def probe(b: pa.RecordBatch) -> pa.RecordBatch:
-        to = [index.value.probes(q) for q in _matrix(b.column(1))]
+        to = [ready.value.probes(q) for q in _matrix(b.column(1))]
         at = [i for i, x in enumerate(to) for _ in x]
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([j for x in to for j in x], pa.int64()), b.column(1).take(pa.array(at))], ["query_id", "list", "q"])
 
-    posts = written(map_batches(v, place, "vec_id long, list long, embedding array<double>"))
-    parts = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
+    posts = written(map_batches(v, place, "vec_id long, list long, first boolean, embedding array<double>"))
+    held = F.count_distinct(F.when(F.col("first"), F.col("vec_id"))).alias("held")
+    parts = posts.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"), held)
     parts = written(parts)
-    posts = posts.join(parts, "list").select("vec_id", "list", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    counts = np.zeros(len(model.c), dtype=np.int64)
+    for r in parts.select("list", "held").collect():  # a row a list
+        counts[r.list] = r.held
+    model.calibrate(sample, counts, k)
+    ready = spark.sparkContext.broadcast(model)
+    posts = posts.join(parts, "list").select("vec_id", "list", "first", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
     queries = map_batches(v.where(is_query), probe, "query_id long, list long, q array<double>")
-    many = parts.select(F.col("list").alias("to"), F.col("parts").alias("n"))
-    queries = queries.join(many, F.col("list") == F.col("to")).select("query_id", "list", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    many = parts.select(F.col("list").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -192,8 +226,18 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 out += [(query, i, s) for i, s in zip(ids[near].tolist(), d[near].tolist(), strict=True) if s < np.inf]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = queries.groupBy("list", "part").cogroup(posts.groupBy("list", "part")).applyInPandas(nearest, SCHEMA)
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    # at most k rows for each of a query's probes meet here
-    top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
+    def best(queries: DataFrame, posts: DataFrame) -> DataFrame:
+        """query_id, top: its k nearest among the posts of its lists' parts."""
+        found = queries.groupBy("list", "part").cogroup(posts.groupBy("list", "part")).applyInPandas(nearest, SCHEMA)
+        one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        # at most k rows for each of a query's probes meet here
+        return one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
+
+    posts = posts.select("vec_id", "list", "part", "first", "embedding")
+    top = written(best(queries.join(many, F.col("list") == F.col("to")).select("query_id", "list", "part", "q"), posts))
+    full = top.where(F.size("top") == k)
+    short = v.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(full, "query_id", "left_anti")
+    if not short.isEmpty():
+        everywhere = short.crossJoin(many).select("query_id", F.col("to").alias("list"), "part", "q")
+        top = full.unionAll(best(everywhere, posts.where("first")))
     return top.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.score")

@@ -282,6 +282,21 @@ def test_nearest_neighbours(spark):
     assert ann.search(frame.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 11, 12, 400])
+def test_every_vector_gets_its_full_number_of_neighbours(spark, n):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 8))
+    if n == 400:
+        for a in range(0, 60, 3):  # far groups of three equal vectors, and far single ones
+            x[a : a + 3] = 40 * rng.normal(size=8)
+        x[60:80] = 40 * rng.normal(size=(20, 8))
+    table = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    out = ann.search(spark.createDataFrame(table, "vec_id long, embedding array<double>"), F.lit(True), 10).collect()
+    assert len({(r.query_id, r.vec_id) for r in out}) == len(out)
+    got = np.bincount([r.query_id for r in out], minlength=n)
+    assert got.tolist() == [min(10, n - 1)] * n
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
     items = [(i, f"{noise(rng, 25).capitalize()}. {noise(rng, 6).capitalize()}.") for i in range(60)] + [(90, ""), (91, None), (None, "x y")]

@@ -28,7 +28,8 @@ from commlens.llm.common import lower_az, map_batches, texts
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # label: (SPDX identifiers, name patterns).  In names a space stands for any run of white
-# space, comment leaders and punctuation that line wrapping may bring.
+# space, comment leaders and punctuation that line wrapping may bring, hyphens included;
+# so none may stand in brackets.
 _NAMES = {
     "mit": (["MIT", "MIT-0", "X11"], ["mit licen[sc]e", "x11 licen[sc]e", "expat licen[sc]e"]),
     "apache-2": (["Apache-2.0"], ["apache (?:software )?licen[sc]e,? (?:version|v\\.?) ?2(?:\\.0)?", "apache-2(?:\\.0)?", "apache licen[sc]e 2(?:\\.0)?"]),
@@ -63,11 +64,11 @@ _NAMES = {
     "wtfpl": (["WTFPL"], ["do what the f\\w+ you want to public licen[sc]e", "wtfpl"]),
     "cc0-1": (["CC0-1.0"], ["cc0(?: 1\\.0)?(?: universal)?", "creative commons zero", "publicdomain/zero/1\\.0"]),
     "cc-by": (["CC-BY-1.0", "CC-BY-2.0", "CC-BY-2.5", "CC-BY-3.0", "CC-BY-4.0"], ["creative commons attribution (?:[234]\\.[05] )?(?:international|unported|generic)", "creativecommons\\.org/licenses/by/[1-4]\\.[05]"]),
-    "cc-by-sa": (["CC-BY-SA-1.0", "CC-BY-SA-2.0", "CC-BY-SA-2.5", "CC-BY-SA-3.0", "CC-BY-SA-4.0"], ["creative commons attribution-share ?alike", "creativecommons\\.org/licenses/by-sa/[1-4]\\.[05]", "cc[ -]by[ -]sa"]),
-    "cc-by-nd": (["CC-BY-ND-2.0", "CC-BY-ND-3.0", "CC-BY-ND-4.0"], ["creative commons attribution-no ?deriv\\w*", "creativecommons\\.org/licenses/by-nd/[1-4]\\.[05]", "cc[ -]by[ -]nd"]),
-    "cc-by-nc": (["CC-BY-NC-1.0", "CC-BY-NC-2.0", "CC-BY-NC-2.5", "CC-BY-NC-3.0", "CC-BY-NC-4.0"], ["creative commons attribution-non ?commercial", "creativecommons\\.org/licenses/by-nc/[1-4]\\.[05]", "cc[ -]by[ -]nc"]),
-    "cc-by-nc-sa": (["CC-BY-NC-SA-2.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0"], ["creative commons attribution-non ?commercial-share ?alike", "creativecommons\\.org/licenses/by-nc-sa/[1-4]\\.[05]", "cc[ -]by[ -]nc[ -]sa"]),
-    "cc-by-nc-nd": (["CC-BY-NC-ND-2.0", "CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0"], ["creative commons attribution-non ?commercial-no ?deriv\\w*", "creativecommons\\.org/licenses/by-nc-nd/[1-4]\\.[05]", "cc[ -]by[ -]nc[ -]nd"]),
+    "cc-by-sa": (["CC-BY-SA-1.0", "CC-BY-SA-2.0", "CC-BY-SA-2.5", "CC-BY-SA-3.0", "CC-BY-SA-4.0"], ["creative commons attribution-share ?alike", "creativecommons\\.org/licenses/by-sa/[1-4]\\.[05]", "cc by sa"]),
+    "cc-by-nd": (["CC-BY-ND-2.0", "CC-BY-ND-3.0", "CC-BY-ND-4.0"], ["creative commons attribution-no ?deriv\\w*", "creativecommons\\.org/licenses/by-nd/[1-4]\\.[05]", "cc by nd"]),
+    "cc-by-nc": (["CC-BY-NC-1.0", "CC-BY-NC-2.0", "CC-BY-NC-2.5", "CC-BY-NC-3.0", "CC-BY-NC-4.0"], ["creative commons attribution-non ?commercial", "creativecommons\\.org/licenses/by-nc/[1-4]\\.[05]", "cc by nc"]),
+    "cc-by-nc-sa": (["CC-BY-NC-SA-2.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0"], ["creative commons attribution-non ?commercial-share ?alike", "creativecommons\\.org/licenses/by-nc-sa/[1-4]\\.[05]", "cc by nc sa"]),
+    "cc-by-nc-nd": (["CC-BY-NC-ND-2.0", "CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0"], ["creative commons attribution-non ?commercial-no ?deriv\\w*", "creativecommons\\.org/licenses/by-nc-nd/[1-4]\\.[05]", "cc by nc nd"]),
     "ofl-1.1": (["OFL-1.0", "OFL-1.1"], ["sil open font licen[sc]e", "open font licen[sc]e"]),
     "python-2": (["Python-2.0", "PSF-2.0"], ["python software foundation licen[sc]e", "psf licen[sc]e"]),
     "ruby": (["Ruby"], ["ruby licen[sc]e", "same terms as ruby"]),

@@ -151,6 +151,60 @@ def test_language_filters(spark):
     assert {r.lang_pred for r in langid.predict(frame, langid.train(frame.limit(0))).collect()} == {"und"}
 
 
+def samples(pattern):
+    """The shortest and the longest plain reading of a pattern: a space is a space."""
+    from re import _constants as sre, _parser
+
+    def read(items, longest):
+        out = ""
+        for op, arg in items:
+            if op is sre.LITERAL:
+                out += chr(arg)
+            elif op is sre.IN:
+                out += "x" if arg[0][0] is sre.CATEGORY else chr(arg[0][1] if arg[0][0] is sre.LITERAL else arg[0][1][0])
+            elif op is sre.ANY:
+                out += "x"
+            elif op is sre.SUBPATTERN:
+                out += read(arg[3], longest)
+            elif op is sre.BRANCH:
+                out += read(arg[1][-1 if longest else 0], longest)
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+                out += read(arg[2], longest) * (min(arg[1], max(1, arg[0])) if longest else arg[0])
+            else:
+                raise AssertionError(op)
+        return out
+
+    return [read(_parser.parse(pattern), longest) for longest in (False, True)]
+
+
+def test_every_license_rule_matches_its_own_sample():
+    own = []
+    for label, (ids, names) in license_scan._NAMES.items():
+        own += [(label, [x]) for i in ids for x in (f"SPDX-License-Identifier: {i}", f"license: {i}")]
+        own += [(label, samples(n)) for n in names]
+    own += [(label, samples(s)) for label, sentences in license_scan._TEXTS.items() for s in sentences]
+    table, automaton = license_scan.rules()
+    assert len(own) == len(table)
+    by_label = {}
+    for number, rule in enumerate(table):
+        by_label.setdefault(rule[0], []).append(number)
+    bad = []
+    for label, texts in own:
+        for text in texts:
+            low = f"see {text}, ok".lower()
+            tried = {k for _, numbers in automaton.iter(low) for k in numbers}
+            if not any(k in tried and any(text.lower() in m.group() or m.group() in text.lower() for m in table[k][2].finditer(low)) for k in by_label[label]):
+                bad.append((label, text))
+    assert not bad
+
+
+@pytest.mark.parametrize("name", ["by sa", "by nd", "by nc", "by nc sa", "by nc nd"])
+def test_creative_commons_names(name):
+    label = "cc-" + name.replace(" ", "-")
+    for text in (f"cc {name}", f"cc-{name.replace(' ', '-')}", f"CC {name.replace(' ', '-').upper()} 4.0", f"CC-{name.upper()}"):
+        assert [x for x, _, _ in license_scan.detect(f"licensed under {text}.")] == [label], text
+
+
 # ---- licences, URLs -----------------------------------------------------------------
 
 

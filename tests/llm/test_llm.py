@@ -135,6 +135,32 @@ def test_toxicity_learns_and_survives_edges(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_keeps_every_ngram_with_evidence(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [noise(rng, 60) + (" scum vermin wretch" if i % 5 == 0 else "") for i in range(300)] + ODD
+    frame = docs(spark, texts)
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    kept, own = [], toxicity.kneser_ney
+
+    def noted(counts):
+        kept.append(own(counts).count())
+        return own(counts)
+
+    monkeypatch.setattr(toxicity, "kneser_ney", noted)
+    model = toxicity.train(frame, marks)
+    assert len(model.keys) == kept[0] > 0 and len(set(model.keys.tolist())) == kept[0]
+    assert np.allclose(model.find(model.keys), model.llr) and np.isnan(model.find(model.keys + np.uint64(1))).all()
+    near = {i: r.score for i, r in rows(toxicity.score(frame, model)).items()}
+    left = {r.doc_id for r in toxicity.keep_below(frame, model, 0.5).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 0)
+    joined = toxicity.train(frame, marks)
+    assert joined.table.count() == kept[0] and not len(joined.keys)
+    far = {i: r.score for i, r in rows(toxicity.score(frame, joined)).items()}
+    assert near.keys() == far.keys() and max(abs(near[i] - far[i]) for i in near) < 1e-6
+    out = toxicity.keep_below(frame, joined, 0.5)
+    assert out.columns == frame.columns and left == {r.doc_id for r in out.collect()} and 0 < len(left) < len(texts)
+
+
 def test_language_filters(spark):
     rng = random.Random(6)
     syllables = {"aa": ["lor", "mip", "tas"], "bb": ["qua", "zoe", "wix"], "cc": ["é", "ñu", "ço"]}

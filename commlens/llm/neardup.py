@@ -213,7 +213,7 @@ def _blocks(percent: int):
 def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id (null for rows without words: they are their own)."""
     sketches = written(sketch(docs, n))
-    classes = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "keys")).alias("x")).select("cls", "x.doc_id", "x.keys")
+    classes = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     member = written(classes.select("cls", "doc_id", F.explode("keys").alias("key")))
     many = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bucket = written(member.join(many, "key"))

@@ -316,6 +316,12 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, n, percent):
     assert [out[i].n_shingles for i in range(len(texts))] == sizes
 
 
+def test_copies_without_id_do_not_part_a_component(spark):
+    table = [(None, "same text of seven words in all"), (9, "same text of seven words in all"), (7, "same text of seven words in all"), (7, "same text of seven words in all"), (3, "another text that stands for itself")]
+    out = neardup.components(spark.createDataFrame(table, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in out) == [(0, 7), (3, 3), (7, 7), (7, 7), (9, 7)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.components(docs(spark, []), 3, 85).count() == 0
     assert {r.component_id for r in neardup.components(docs(spark, [None, ""]), 3, 85).collect()} == {0, 1}

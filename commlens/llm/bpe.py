@@ -50,11 +50,15 @@ class Memo(dict):
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that are in neither generation; the others are in the new one afterwards."""
+    def turn(self) -> None:
+        """Start a new generation if this one is full."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are in neither generation; the others are in the new one afterwards."""
+        self.turn()
         new = {k for k in keys if k not in self}
         old = self.old
         if old and new:

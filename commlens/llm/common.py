@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,12 +11,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker: bounds its memory
-#: whatever the size of the input partition.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: whatever the size of the input partition (a single longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Characters of a slice of a text that is split into words at once.
+SLICE = 1 << 19
+_CUT = re.compile(r"[ \t\n\r]")
 
 _LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -32,12 +36,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset.
+    """A new folder below spark.checkpoint.dir; a temporary one only in local mode, where that may be unset.
 
     The folder is removed when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="commlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/commlens-{uuid.uuid4().hex}"
@@ -61,7 +67,45 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` made and nothing reads any more."""
+    _remove(df.sparkSession, df._written_to)
+
+
+class IdFilter:
+    """A bitmap of hashed ids: passes every id of a set and few others.
+
+    It has 16 to 32 bits for each id, and at most 2**``MOST_LOG2`` (16 MB): beyond, it passes more
+    ids, never fewer, so that an exact join after it gives the same rows at every size.
+    """
+
+    MOST_LOG2 = 27
+
+    def __init__(self, ids: DataFrame, column: str, count: int):
+        self.log2 = min(self.MOST_LOG2, max(15, (16 * count).bit_length()))
+        place = (self.place(F.col(column)) + 1).alias("at")
+        rows = ids.select(place).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        bits = bytearray((1 << self.log2) // 8)
+        for r in rows.collect():  # at most 2**MOST_LOG2 / 32768 rows of 4 KB
+            bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+        self.shared = ids.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def place(self, column: Column) -> Column:
+        """The bit of an id."""
+        return F.pmod(F.xxhash64(column), F.lit(1 << self.log2))
+
+    def passes(self, at: np.ndarray) -> np.ndarray:
+        """Whether the bits at these places are set (in a Python worker)."""
+        table = np.frombuffer(self.shared.value, dtype=np.uint8)
+        return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def __getstate__(self):
+        return {"shared": self.shared, "log2": self.log2}
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -86,11 +130,40 @@ def keep_rows(df: DataFrame, keep: Callable[[list[str]], np.ndarray], column: st
     return map_batches(df, lambda b: b.filter(pa.array(keep(texts(b, column)))), df.schema)
 
 
-def crc_mod(column: str, n: int) -> "F.Column":
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut before white space only (a longer word stays whole)."""
+    at = 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def grouped(docs: list[str], size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges (begin, end) of texts that together hold at most ``size`` characters, or one longer text."""
+    begin = total = 0
+    for i, d in enumerate(docs):
+        if total and total + len(d) > size:
+            yield begin, i
+            begin, total = i, 0
+        total += len(d)
+    if begin < len(docs):
+        yield begin, len(docs)
+
+
+def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[0], ... of sizes[0] places, then of the next run, and so on."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    return np.repeat((starts - ends + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)
+
+
 def lower_az(data: bytes) -> bytes:
     """Lower-case A-Z only."""
     return data.translate(_LOWER_AZ)

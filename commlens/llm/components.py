@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import written
+from commlens.llm.common import forget, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest one
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small_low.select("a", F.col("m").alias("b")))
-        links = written(small.where("a <> b").distinct())
+        links, old = written(small.where("a <> b").distinct()), links
+        forget(old)
         # one row of figures: edges, and a fingerprint of them
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

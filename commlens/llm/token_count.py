@@ -6,86 +6,47 @@ encodes white-space-delimited words independently of each other.  A text longer
 neighbours are spliced at a stable boundary: the start of a word that both chunks
 hold whole (not the first of the right chunk, which may have lost its beginning, nor
 the last of the left one, which may have lost its end), at the same offset and with
-the same ids.  If an overlap has no such word it is widened (doubled) and the left
-chunk encoded anew, up to the whole rest of the text; so the result is always that of
+the same ids.  If an overlap has no such word it is widened (doubled) and both chunks
+are encoded anew, up to the whole rest of the text; so the result is always that of
 the whole text.
 
-Words are remembered per worker, in a bounded memo.  A new word is merged in numpy by
-the file's own merges (the library takes several times as long for single words), or
-encoded by the library where the file holds anything but a byte-level BPE with word
-ends, and where the word may hold a special token.
+Words are found and numbered by Arrow; each distinct one of a batch goes to the library
+once, many in one call: they are joined by a special token, which the library never
+merges with its neighbours and whose id parts their ids again.  (Where the file lower-cases
+and parts marks from letters, a word's closing marks go apart from it.)  Texts that hold a special
+token themselves, and texts with the separators \\x1c-\\x1f (white space to Arrow, none to
+the library), go to the library as they are.  Words are remembered in a bounded memo.
 
-Null texts count as empty: 0 bytes, 0 tokens.  Repeated rows give repeated results; an
-empty table gives an empty table; only the id and text columns are read.
+Null texts count as empty: 0 bytes, 0 tokens.  Repeated rows (of texts or ids) give
+repeated results; an empty table gives an empty table; only the id and text columns are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from commlens.llm.bpe import MatrixMerger, Memo
-from commlens.llm.common import map_batches, texts
+from commlens.llm.bpe import Memo
+from commlens.llm.common import map_batches, ragged, slices, texts
 
 #: Characters of a chunk and of the first overlap.
 CHUNK, OVERLAP = 32768, 512
-#: Words handed to the library at once.
-_BATCH = 4096
-_SPACES = regex.compile(r"\p{White_Space}+")
-_ODD = regex.compile("[\x1c-\x1f]")
-
-
-#: The pretokenizer that the merging below knows, as it stands in a tokenizer file.
+#: Words handed to the library in one call.
+_BATCH = 2048
+#: Words a worker remembers in each of two generations, and characters of the longest one.
+MEMO_WORDS, LONGEST = 450_000, 64
+#: A pretokenizer that parts letters and digits from the marks after them, as it stands in a tokenizer file.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_LETTER = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
-
-
-class WordMerger(MatrixMerger):
-    """The file's own normalizer, pretokenizer and merges; None from ``of`` if it has others."""
-
-    @classmethod
-    def of(cls, path: str) -> WordMerger | None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, pre = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        if (model["type"], model.get("end_of_word_suffix"), model.get("ignore_merges")) != ("BPE", "</w>", False) or kinds != ["NFC", "Replace", "Lowercase"] or pre[0].get("pattern") != {"Regex": _SPLIT}:
-            return None
-        vocab = model["vocab"]
-        pairs, made = {}, []
-        for rank, m in enumerate(model["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            pairs[vocab[a], vocab[b]] = rank
-            made.append(vocab[a + b])
-        byte_ids = np.array([vocab[_LETTER[i]] for i in range(256)], dtype=np.int32)
-        ends = np.array([vocab[_LETTER[i] + "</w>"] for i in range(256)], dtype=np.int32)
-        out = cls(pairs, np.array(made, dtype=np.int32), byte_ids, ends, {})
-        out.pattern = regex.compile(_SPLIT.replace(r"[^\s", r"[^\p{White_Space}") + "|\n")
-        out.memo = Memo(200_000)
-        return out
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
-        plain = [w.lower() if w.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", w)]) for w in words]
-        split: list[list[str]] = [[] for _ in words]
-        at = 0
-        for m in self.pattern.findall("\n".join(plain)):
-            if m == "\n":
-                at += 1
-            else:
-                split[at].append(m)
-        memo = self.memo
-        if new := memo.missing(set().union(*split)):
-            memo.update(zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        return [memo[x[0]] if len(x) == 1 else b"".join([memo[p] for p in x]) for x in split]
+_MARKS = ".,;:!?*$%&#)]}\""
+_WORD = regex.compile(r"\P{White_Space}+")
+_PLAIN = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 
 
 class WordEncoder:
@@ -95,53 +56,116 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merger = WordMerger.of(path)
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        added = self.tokenizer.get_added_tokens_decoder()
+        names = "|".join(regex.escape(t.content) for t in added.values()) or r"(?!)"
+        self.special, self.whole = regex.compile(names), regex.compile("[\x1c-\x1f]|" + names, regex.I)
+        self.leads = sorted({"\x1c", "\x1d", "\x1e", "\x1f"} | {c for t in added.values() for c in (t.content[0].lower(), t.content[0].upper())})
+        apart = [(i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.apart = apart[0] if apart else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memo = Memo(320_000)
-
-    def words(self, text: str) -> list[str]:
-        """The words; unlike str.split(), the separators \\x1c-\\x1f are no white space."""
-        if _ODD.search(text):
-            return [w for w in _SPACES.split(text) if w]
-        return text.split()
+        self.dtype = np.dtype(f"<u{self.width}")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern")
+        lower = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.cuts = lower and first == {"Regex": _SPLIT}
+        self.memo = Memo(MEMO_WORDS)
+
+    def _alone(self, items: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        """Ids of words without a special token, many in one call."""
+        if self.apart is None:
+            return self._alone(words)
+        mark, between = self.apart
+        out: list[bytes] = []
+        for k in range(0, len(words), _BATCH):
+            part = words[k : k + _BATCH]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.append(np.flatnonzero(ids == mark), len(ids))
+            if len(ends) != len(part):
+                out += self._alone(part)
+                continue
+            flat, begin = ids.tobytes(), 0
+            for end in (ends * self.width).tolist():
+                out.append(flat[begin:end])
+                begin = end + self.width
+        return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The memo, holding all of the words."""
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
         memo = self.memo
-        if new := memo.missing(words):
-            dtype = f"<u{self.width}"
-            plain = [w for w in new if not self.special.search(w)] if self.merger else []
-            if plain:
-                ids = self.merger.words(plain)
-                if self.width == 2:
-                    ids = _narrow(ids)
-                memo.update(zip(plain, ids, strict=True))
-                new = [w for w in new if self.special.search(w)]
-            for k in range(0, len(new), _BATCH):
-                part = new[k : k + _BATCH]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, dtype=dtype).tobytes()
-        return memo
-
-    def encode(self, text: str) -> bytes:
-        """Ids of one text."""
-        words = self.words(text)
-        return b"".join(map(self.learn(set(words)).__getitem__, words))
+        memo.turn()
+        out = [*map(memo.get, words)]
+        open_ = [i for i, x in enumerate(out) if x is None]
+        if open_ and memo.old:
+            for i in open_:
+                if (x := memo.old.get(words[i])) is not None:
+                    out[i] = memo[words[i]] = x
+            open_ = [i for i in open_ if out[i] is None]
+        if open_:
+            plain, odd = [], []
+            for w in {words[i] for i in open_}:
+                (odd if self.special.search(w) else plain).append(w)
+            known = dict(zip(plain + odd, self._library(plain) + self._alone(odd), strict=True))
+            for i in open_:
+                out[i] = known[words[i]]
+            memo.update((w, x) for w, x in known.items() if len(w) <= LONGEST)
+        return out
+
+    @staticmethod
+    def _halves(words: pa.LargeStringArray) -> pa.LargeStringArray:
+        """Each word without its closing marks, and these marks, in turn; nothing is copied."""
+        if not len(words):
+            return words
+        _, at, data = words.buffers()
+        at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+        size = pc.binary_length(pc.utf8_rtrim(words, characters=_MARKS)).to_numpy(zero_copy_only=False)
+        raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        parts = (size > 0) & (size < np.diff(at))
+        parts[parts] = _PLAIN[raw[(at[:-1] + size - 1)[parts]]]
+        both = np.empty(2 * len(words) + 1, dtype=np.int64)
+        both[0::2], both[1::2] = at, np.where(parts, at[:-1] + size, at[1:])
+        return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(both), data)
+
+    def encode(self, docs: list[str], counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (or none), and how many each has."""
+        whole = [i for i, d in enumerate(docs) if any(c in d for c in self.leads) and self.whole.search(d)]
+        odd = set(whole)
+        owner, parts = [], []
+        for i, d in enumerate(docs):
+            for p in () if i in odd else slices(d):
+                owner.append(i)
+                parts.append(p)
+        text = pa.array(parts, pa.large_string())
+        split = pc.utf8_split_whitespace(pc.ascii_lower(text) if self.cuts else text)
+        words, ends = split.flatten(), np.asarray(split.offsets).astype(np.int64)
+        if self.cuts:
+            words, ends = self._halves(words), 2 * ends
+        coded = words.dictionary_encode()
+        known = self.ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), dtype=self.dtype)
+        size = np.array([len(x) // self.width for x in known], dtype=np.int64)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[word]
+        counts = np.zeros(len(docs), dtype=np.int64)
+        np.add.at(counts, np.array(owner, dtype=np.int64), np.diff(np.concatenate([[0], np.cumsum(n)])[ends - ends[0]]))
+        ids = flat[:0] if counts_only else flat[ragged((np.cumsum(size) - size)[word], n)]
+        if whole:  # these are put between the others
+            out = [] if counts_only else np.split(ids, np.cumsum(counts)[:-1])
+            for i in whole:
+                x = np.frombuffer(b"".join(self._alone(list(slices(docs[i])))), dtype=self.dtype)
+                counts[i] = len(x)
+                if out:
+                    out[i] = x
+            ids = np.concatenate(out) if out else ids
+        return ids, counts
 
     def encode_chunk(self, chunk: str, offset: int) -> tuple[np.ndarray, list[bytes]]:
         """Offset of each word, and its ids."""
-        spans = [m.span() for m in regex.finditer(r"\P{White_Space}+", chunk)]
-        words = [chunk[a:b] for a, b in spans]
-        memo = self.learn(set(words))
-        return np.array([a for a, _ in spans], dtype=np.int64) + offset, [memo[w] for w in words]
-
-
-def _narrow(ids: list[bytes]) -> list[bytes]:
-    """32-bit to 16-bit integers."""
-    flat = np.frombuffer(b"".join(ids), dtype="<u4").astype("<u2").tobytes()
-    ends = (np.array([len(x) for x in ids], dtype=np.int64) // 2).cumsum().tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        spans = [m.span() for m in _WORD.finditer(chunk)]
+        return np.array([a for a, _ in spans], dtype=np.int64) + offset, self.ids([chunk[a:b] for a, b in spans])
 
 
 def _boundary(left: tuple[np.ndarray, list[bytes]], right: tuple[np.ndarray, list[bytes]]) -> tuple[int, int] | None:
@@ -162,16 +186,18 @@ def encode_overlapping(encoder: WordEncoder, text: str, chunk: int = CHUNK, over
     while begin + chunk + overlap < len(text):
         wide, at = overlap, begin + chunk
         while True:
-            right = encoder.encode_chunk(text[at : at + chunk + overlap], at)
+            right = encoder.encode_chunk(text[at : at + chunk + wide], at)
             if cut := _boundary((left[0][skip:], left[1][skip:]), right):
                 out += left[1][skip : skip + cut[0]]
                 begin, left, skip = at, right, cut[1]
+                chunk_end = at + chunk + wide
                 break
             wide *= 2
-            end = at + wide
-            left = encoder.encode_chunk(text[begin:end], begin)
-            if end >= len(text):
+            left = encoder.encode_chunk(text[begin : at + wide], begin)
+            if at + wide >= len(text):
                 return b"".join([*out, *left[1][skip:]])
+        if chunk_end >= len(text):
+            break
     return b"".join([*out, *left[1][skip:]])
 
 
@@ -180,22 +206,18 @@ def loaded(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_texts(encoder: WordEncoder, docs: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[bytes]:
-    """Ids of each text; the words of the shorter texts are learnt together."""
-    words = [encoder.words(d) if len(d) <= chunk + overlap else None for d in docs]
-    memo = encoder.learn(set().union(*(w for w in words if w)))
-    short = [b"" if w is None else b"".join(map(memo.__getitem__, w)) for w in words]
-    return [encode_overlapping(encoder, d, chunk, overlap) if w is None else x for d, w, x in zip(docs, words, short, strict=True)]
-
-
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         encoder, docs_ = loaded(tokenizer_path), texts(b)
-        n = [len(x) // encoder.width for x in encode_texts(encoder, docs_, chunk, overlap)]
+        short = [i for i, d in enumerate(docs_) if len(d) <= chunk + overlap]
+        n = np.zeros(len(docs_), dtype=np.int64)
+        n[short] = encoder.encode([docs_[i] for i in short], counts_only=True)[1]
+        for i in sorted(set(range(len(docs_))) - set(short)):
+            n[i] = len(encode_overlapping(encoder, docs_[i], chunk, overlap)) // encoder.width
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in docs_], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+            [b.column(0), pa.array([len(x.encode("utf-8")) for x in docs_], pa.int64()), pa.array(n), pa.array(n > limit)],
             ["doc_id", "n_bytes", "n_tokens", "over_limit"],
         )
 

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 
-#: Words a worker remembers; beyond it the memo starts anew (results stay the same).
-MEMO_WORDS = 400_000
+#: Words a worker remembers, and bytes of the longest one; beyond that the memo starts
+#: anew, and longer words are hashed each time (results stay the same).
+MEMO_WORDS, LONGEST = 300_000, 64
 
 
 class WordHashes(dict):
@@ -16,7 +17,8 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        self[word] = h
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
     def of(self, words: Iterable[bytes], n: int) -> np.ndarray:

@@ -48,16 +48,29 @@ def random_texts(n, seed=1):
 
 def test_word_ids_equal_the_library():
     encoder = token_count.WordEncoder(WORD)
-    texts = [t or "" for t in ODD] + random_texts(300)
-    for t, ids in zip(texts, token_count.encode_texts(encoder, texts), strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == reference_ids(t)
+    texts = [t or "" for t in ODD] + random_texts(300) + ["a<|EndOfText|> <|end b", "End. end, 'x', É; ñ. $$ #a#"]
+    ids, n = encoder.encode(texts)
+    for t, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert part.tolist() == reference_ids(t)
+    assert encoder.encode(texts, counts_only=True)[1].tolist() == n.tolist()
+    assert encoder.encode([])[1].tolist() == []
 
 
 @pytest.mark.parametrize("chunk,overlap", [(10, 3), (1, 1), (40, 20)])
 def test_overlaps_splice_to_the_whole(chunk, overlap):
     encoder = token_count.WordEncoder(WORD)
     for t in [t or "" for t in ODD if len(t or "") < 100] + random_texts(100, 2) + ["y" * 90 + " z " + "w" * 90]:
-        assert token_count.encode_overlapping(encoder, t, chunk, overlap) == encoder.encode(t)
+        assert np.frombuffer(token_count.encode_overlapping(encoder, t, chunk, overlap), "<u2").tolist() == reference_ids(t)
+
+
+def test_a_word_longer_than_a_chunk_widens_both_chunks_only(monkeypatch):
+    encoder = token_count.WordEncoder(WORD)
+    text = "q " * 50 + "z" * 500 + " " + "ab cd " * 400
+    sizes = []
+    plain = encoder.encode_chunk
+    monkeypatch.setattr(encoder, "encode_chunk", lambda chunk, offset: (sizes.append(len(chunk)), plain(chunk, offset))[1])
+    assert np.frombuffer(token_count.encode_overlapping(encoder, text, 40, 8), "<u2").tolist() == reference_ids(text)
+    assert max(sizes) < 1500 < len(text)
 
 
 def test_token_counts_edges(spark):
@@ -97,6 +110,24 @@ def test_records_round_trip(spark):
     assert records.round_trip(docs(spark, []), WORD, 2).count() == 0
 
 
+def test_shuffled_reads_by_the_index(spark, tmp_path):
+    texts = [f"word{i} " * (i % 7) for i in range(60)]
+    folder = f"file://{tmp_path}/records"
+    manifest = records.write_records(docs(spark, texts), WORD, folder, 2, shard_bytes=500).collect()
+    assert len(manifest) > 2 and sum(r.n_docs for r in manifest) == 60
+    first, again, other = ([(r.doc_id, r.ids) for r in records.read_shuffled(spark, folder, seed).collect()] for seed in (1, 1, 2))
+    assert sorted(first) == [(i, [*reference_ids(t), 2]) for i, t in enumerate(texts)] == sorted(other)
+    assert [i for i, _ in first] == [i for i, _ in again] != [i for i, _ in other]
+    assert [i for i, _ in first] != sorted(i for i, _ in first)
+
+
+def test_records_of_repeated_and_missing_ids(spark):
+    table = spark.createDataFrame([(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i // 2}") for i in range(300)], "doc_id long, text string").repartition(5)
+    out = records.round_trip(table, WORD, 2).orderBy("start").collect()
+    assert [r.doc_id for r in out] == sorted((r.doc_id for r in out), key=lambda d: (d is not None, d or 0)) and len(out) == 300
+    assert [r.start for r in out] == np.cumsum([0] + [r.n_tokens for r in out])[:-1].tolist()
+
+
 def test_damaged_records_are_refused():
     import io
 

@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 # Reply prefixes, patterns where quoted text begins, contact lines, deadlines.
 REPLY_PREFIXES = ["re", "fw", "fwd", "aw", "antw", "tr", "rv", "sv", "vs"]
 QUOTE_BANNERS = [
-    r"(?im)^-+\s*Original Message\s*-+",
-    r"(?im)^-+\s*Forwarded by\b.*$",
-    r"(?m)^\s*_{10,}\s*$",
-    r"(?m)^\s*-{10,}\s*$",
-    r"(?m)^On\b.{0,160}\bwrote:\s*$",
+    r"(?imdU)^-+\s*Original Message\s*-+",
+    r"(?imdU)^-+\s*Forwarded by\b.*$",
+    r"(?mdU)^\s*_{10,}\s*$",
+    r"(?mdU)^\s*-{10,}\s*$",
+    r"(?mdU)^On\b.{0,160}\bwrote:\s*$",
 ]
-CONTACT_LINE = r"(?i)\(\d{3}\)\s*\d{3}[-.\s]?\d{4}|\b\d{3}[-.]\d{3}[-.]\d{4}\b|\b(?:tel|telephone|fax|phone|mobile|cell|e-?mail|ext)\b\s*[:.]?|[\w.+-]+@[\w.-]+\.\w{2,}"
-DEADLINE = r"(?i)\b(deadline|due\s+by|no\s+later\s+than|by\s+(?:end\s+of\s+day|eod|cob|monday|tuesday|wednesday|friday|thursday|saturday|sunday|tomorrow|\d{1,2}[/-]\d{1,2})|\basap\b|\burgent\b)"
-#: A From: line that a Sent, To, Date or Subject line confirms within the next three lines.
-FROM_BLOCK = r"(?m)^[ \t]*From:[ \t]+\S[^\n]*(?=\n(?:[^\n]*\n){0,2}[ \t]*(?:Sent|To|Date|Subject):[ \t]+\S)"
+CONTACT_LINE = r"(?iU)\(\d{3}\)\s*\d{3}[-.\s]?\d{4}|\b\d{3}[-.]\d{3}[-.]\d{4}\b|\b(?:tel|telephone|fax|phone|mobile|cell|e-?mail|ext)\b\s*[:.]?|[\w.+-]+@[\w.-]+\.\w{2,}"
+DEADLINE = r"(?iU)\b(deadline|due\s+by|no\s+later\s+than|by\s+(?:end\s+of\s+day|eod|cob|monday|tuesday|wednesday|friday|thursday|saturday|sunday|tomorrow|\d{1,2}[/-]\d{1,2})|\basap\b|\burgent\b)"
+# A From: line, what confirms it, and the window after it (characters, and parts
+# of it between line ends, of which the first is the rest of the From: line).
+FROM_LINE, FROM_CONFIRM, FROM_WINDOW, FROM_PARTS = r"(?mdU)^\s*From:\s+\S.*$", r"(?mdU)^\s*(?:Sent|To|Date|Subject):\s+\S", 400, 4
+#: White space as Python has it.
+SPACE = r"(?U)[\s\x1c-\x1f]"
 SIGNATURE_LINES = 6
 
 
 def collapse(text: Column) -> Column:
     """White space collapsed, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, SPACE + "+", " ")))
 
 
 def token_count(text: Column) -> Column:
@@ -35,7 +38,7 @@ def token_count(text: Column) -> Column:
 
 def normalize_subject(subject: Column) -> Column:
     """Reply prefixes (with an optional [n]) stripped again and again, then collapsed."""
-    prefix = rf"(?i)^(?:\s*(?:{'|'.join(REPLY_PREFIXES)})\s*(?:\[\d+\])?\s*:\s*)+"
+    prefix = rf"(?iU)^(?:\s*(?:{'|'.join(REPLY_PREFIXES)})\s*(?:\[\d+\])?\s*:\s*)+"
     return collapse(F.regexp_replace(F.coalesce(subject, F.lit("")), prefix, ""))
 
 
@@ -80,26 +83,38 @@ def path_part(path: Column, n: int) -> Column:
     return F.split_part(path, F.lit("/"), F.lit(n))
 
 
+def year(date: Column) -> Column:
+    return F.year(date)
+
+
 def has_deadline(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(DEADLINE)), F.lit(False))
 
 
+def confirmed_from(body: Column) -> Column:
+    """Where the first confirmed From: line begins (from 1); null without any."""
+    lines, windows = (F.regexp_extract_all(body, F.lit(f"{FROM_LINE}(?=((?s:.{{0,{FROM_WINDOW}}})))"), g) for g in (0, 1))
+    confirmed = F.transform(windows, lambda w: F.rlike(F.array_join(F.slice(F.split(w, "\n"), 1, FROM_PARTS), "\n"), F.lit(FROM_CONFIRM)))
+    nth = F.array_position(confirmed, True).cast("int")
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    return F.when(nth > 0, length(F.slice(F.split(body, FROM_LINE), F.lit(1), nth)) + length(F.slice(lines, F.lit(1), nth - 1)) + 1)
+
+
 def strip_quoted(body: Column) -> Column:
     """Cut at the earliest banner or confirmed From: line, then drop > lines."""
-    at = [F.nullif(F.regexp_instr(body, F.lit(p)), F.lit(0)) for p in [*QUOTE_BANNERS, FROM_BLOCK]]
-    first = F.least(*at)
+    first = F.least(*[F.nullif(F.regexp_instr(body, F.lit(p)), F.lit(0)) for p in QUOTE_BANNERS], confirmed_from(body))
     head = F.when(first.isNull(), body).otherwise(F.substring(body, F.lit(1), first - 1))
-    return F.array_join(F.filter(F.split(head, "\n"), lambda x: ~F.rlike(x, F.lit(r"^\s*>"))), "\n")
+    return F.array_join(F.filter(F.split(head, "\n"), lambda x: ~F.rlike(x, F.lit(r"(?U)^\s*>"))), "\n")
 
 
 def strip_signature(body: Column) -> Column:
     """Cut at a -- line; then up to six contact lines at the end go (blank ones don't count)."""
-    at = F.nullif(F.regexp_instr(body, F.lit(r"(?m)^--\s*$")), F.lit(0))
+    at = F.nullif(F.regexp_instr(body, F.lit(r"(?mdU)^--\s*$")), F.lit(0))
     lines = F.split(F.when(at.isNull(), body).otherwise(F.substring(body, F.lit(1), at - 1)), "\n")
     start = F.struct(F.lit(0).alias("dropped"), F.lit(0).alias("contacts"), F.lit(False).alias("stopped"))
 
     def step(s: Column, line: Column) -> Column:
-        blank = F.trim(line) == ""
+        blank = F.rlike(line, F.lit(f"^{SPACE}*$"))
         contact = ~blank & F.rlike(line, F.lit(CONTACT_LINE)) & (s["contacts"] < SIGNATURE_LINES)
         go = ~s["stopped"] & (blank | contact)
         return F.struct(
@@ -113,7 +128,7 @@ def strip_signature(body: Column) -> Column:
 
 
 def clean_body(body: Column) -> Column:
-    return F.trim(F.regexp_replace(strip_signature(strip_quoted(F.coalesce(body, F.lit("")))), r"^\s+|\s+$", ""))
+    return F.regexp_replace(strip_signature(strip_quoted(F.coalesce(body, F.lit("")))), rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commlens.functions.text import has_deadline, phrase_hits, sentences, token_hits
@@ -88,6 +88,12 @@ def score_by_rank(df: DataFrame, rank: str, score: str) -> DataFrame:
     return df.where(F.col(rank).isNotNull() & F.col(score).isNotNull()).groupBy(rank).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.count(F.lit(1)).alias("n"))
 
 
+def is_monotone(ranked: DataFrame, rank: str, value: str) -> DataFrame:
+    """Whether the value never falls from one rank to the next (a table of a few ranks)."""
+    before = F.lag(value).over(Window.orderBy(rank))
+    return ranked.withColumn("_ok", F.coalesce(F.col(value) >= before, F.lit(True))).agg(F.coalesce(F.bool_and("_ok"), F.lit(True)).alias("is_monotone"))
+
+
 def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
     """Average rank of each distinct value (ties share theirs).
 
@@ -96,8 +102,6 @@ def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     ranged = counts.repartitionByRange(column).withColumn("p", F.spark_partition_id())
-    from pyspark.sql import Window
-
     inner = Window.partitionBy("p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("upto", F.sum("n").over(inner))
     sizes = local.groupBy("p").agg(F.max("upto").alias("size"))

@@ -69,6 +69,15 @@ def thread_candidates(messages: DataFrame, recipients: DataFrame, uid: str, date
     return messages.where(F.col(date).isNotNull()).join(lists, uid, "left").withColumn("participants", F.coalesce("participants", F.array().cast(kind)))
 
 
+# Folders that hold a mailbox's own mail.
+SENT_FOLDERS = ["sent", "sent_items", "_sent_mail", "sent items"]
+
+
+def in_sent_folder(path: Column) -> Column:
+    """Whether the second part of a message's path is a folder of sent mail."""
+    return F.lower(F.split_part(path, F.lit("/"), F.lit(2))).isin(SENT_FOLDERS)
+
+
 def resolve_owners(sent: DataFrame, mailbox: str, sender: str, least_share: float = 0.02) -> DataFrame:
     """Addresses of each mailbox: those with a large enough share of its sent mail, or else
     its most frequent one; the primary one is the most frequent (ties: the smaller)."""

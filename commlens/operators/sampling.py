@@ -51,6 +51,11 @@ def shots_and_replies(turns: DataFrame, thread: str, position: str, uid: str, el
     return rows.where(F.col(position) == 0), replies
 
 
+def in_persona_cells(department: str, rank: str, departments: list[str], lowest: int = 1, highest: int = 5) -> Column:
+    """Rows that personas are made of: some departments, ranks from lowest to highest."""
+    return F.col(department).isin(departments) & F.col(rank).between(lowest, highest)
+
+
 def persona_cells(df: DataFrame, rank: str, department: str, person: str, style: list[str]) -> DataFrame:
     """Style means and people by (rank, department) and by rank, in one pass."""
     g = df.groupingSets([[rank, department], [rank]], rank, department)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commlens.functions.text import seeded_order
+
 
 def links(candidates: DataFrame, uid: str, subject: str, date: str, participants: str, days: int = 30, shared: int = 2, largest_group: int = 500) -> DataFrame:
     """Pairs (a, b) of messages with one subject, at most ``days`` apart, b not before a,
@@ -89,6 +91,15 @@ def summary(threads: DataFrame, thread: str) -> DataFrame:
     )
 
 
+def review_sample(threads: DataFrame, thread: str, position: str, line: Column, n: int, seed: int) -> DataFrame:
+    """One text block for each of n conversations, in a seeded hash order, to be judged by hand."""
+    chosen = threads.where("is_conversation").select(thread).distinct().orderBy(seeded_order(seed, F.col(thread))).limit(n)
+    rows = threads.join(F.broadcast(chosen), thread).select(thread, F.struct(F.col(position).alias("at"), F.format_string("  %2d. %s", F.col(position), line).alias("line")).alias("x"))
+    blocks = rows.groupBy(thread).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    head = F.format_string("THREAD %s  (%d messages)   [ ] CORRECT  [ ] WRONG", F.col(thread).cast("string"), F.size("x"))
+    return blocks.select(thread, F.concat_ws("\n", head, F.transform("x", lambda r: r["line"])).alias("block"))
+
+
 def size_histogram(threads: DataFrame, thread: str, most: int = 10) -> DataFrame:
     """Threads of each of the smallest sizes above one."""
     return threads.where("thread_size > 1").groupBy("thread_size").agg(F.countDistinct(thread).alias("threads")).orderBy("thread_size").limit(most)

@@ -571,14 +571,6 @@ def ledger_total(spark, sf_dir):
     return _ledger(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 4).alias("total_usd"))
 
 
-@query(
-    "SELECT event_type, count(*) FILTER (WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NOT NULL) AS valid, count(*) FILTER (WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL) AS invalid FROM events GROUP BY 1"
-)
-def response_validate(spark, sf_dir):
-    k = F.from_json("props", "k int")["k"]
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(k.isNotNull()).alias("valid"), F.count_if(k.isNull()).alias("invalid"))
-
-
 @query("SELECT doc_id, round(pow(0.995, doc_id % 500), 6) AS recency FROM documents")
 def memory_recency(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.round(X.recency(F.col("doc_id") % 500), 6).alias("recency"))

@@ -150,11 +150,9 @@ def phrase_hits(sentence: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [sentence.contains(p) for p in phrases], F.lit(False))
 
 
-def token_hits(sentence: Column, tokens: list[str]) -> Column:
-    """Whether any token is a word of the (lower-case) sentence."""
-    if not tokens:
-        return F.lit(False)
-    return F.arrays_overlap(F.regexp_extract_all(sentence, F.lit(r"(?U)\w+"), 0), F.array(*[F.lit(t) for t in tokens]))
+def token_hits(words: Column, tokens: list[str]) -> Column:
+    """Whether any token is among the (lower-case) words."""
+    return F.arrays_overlap(words, F.array(*[F.lit(t) for t in tokens])) if tokens else F.lit(False)
 
 
 def seeded_order(seed: int, *ids: Column) -> Column:

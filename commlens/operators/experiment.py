@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commlens.functions.text import deterministic_choice, short_id
-from commlens.operators.features import average_ranks
+from commlens.functions.prompts import direction
+from commlens.functions.text import deterministic_choice, seeded_order, short_id
+from commlens.operators.ranks import average_ranks, medians, positions
+from commlens.session import durable
 
 # The closed domains of a response.
 DECISIONS, CONFIDENCES = ["accept", "decline", "defer", "escalate", "none"], ["low", "medium", "high"]
@@ -40,21 +42,12 @@ def complete(requests: DataFrame, cache: DataFrame, key: str, answer: Callable[[
 
 
 def batch_chunks(rows: DataFrame, uid: str, size: int) -> DataFrame:
-    """Custom ids and chunk numbers of at most ``size`` rows, in id order.
-
-    Numbers come from range partitions and their sizes, so no single task numbers all rows.
-    """
-    ids = rows.select(uid).repartitionByRange(uid).withColumn("p", F.spark_partition_id())
-    n = F.row_number().over(Window.partitionBy("p").orderBy(uid))
-    local = ids.withColumn("n", n)
-    sizes = local.groupBy("p").agg(F.max("n").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    place = F.col("before") + F.col("n") - 1
-    return local.join(F.broadcast(before.select("p", "before")), "p").select(uid, short_id(F.col(uid).cast("string")).alias("custom_id"), F.floor(place / size).alias("chunk"))
+    """Custom ids and chunk numbers of at most ``size`` rows, in id order; no task numbers all rows."""
+    return positions(rows.select(uid), [uid], "place").select(uid, short_id(F.col(uid).cast("string")).alias("custom_id"), F.floor(F.col("place") / size).alias("chunk"))
 
 
 def cost_usd(usage: DataFrame, prices: DataFrame, batch: Column) -> DataFrame:
-    """Cost of every call from (model, rate_in, rate_out) a million; an unknown model is an error."""
+    """Cost of every call from (model, rate_in, rate_out) a million, a row a model; an unknown model is an error."""
     x = usage.join(F.broadcast(prices), "model", "left")
     cost = (F.col("input_tokens") + F.col("cache_write_tokens") * CACHE_WRITE + F.col("cache_read_tokens") * CACHE_READ) * F.col("rate_in") + F.col("output_tokens") * F.col("rate_out")
     known = F.when(F.col("rate_in").isNull(), F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("double")).otherwise(cost / 1e6)
@@ -65,7 +58,10 @@ def dry_run(cells: DataFrame, prices: DataFrame, tokens: Column, output_tokens:
     """Upper bound of cost: the first cell of each cache group stands for its group."""
     first = cells.withColumn("tokens", tokens).groupBy("cache_group").agg(F.min_by("model", "cell_id").alias("model"), F.min_by("tokens", "cell_id").alias("tokens"), F.count(F.lit(1)).alias("n"))
     one = (F.col("tokens") * F.col("rate_in") + output_tokens * F.col("rate_out")) / 1e6
-    return first.join(F.broadcast(prices), "model").groupBy("model").agg(F.sum("n").alias("cells"), F.round(F.sum(one * F.col("n")), 6).alias("cost_usd"))
+    priced = first.join(F.broadcast(prices), "model", "left")  # a row a model
+    unknown = F.raise_error(F.concat(F.lit("no price for model "), F.col("model"))).cast("double")
+    priced = priced.withColumn("rate_in", F.coalesce("rate_in", unknown))
+    return priced.groupBy("model").agg(F.sum("n").alias("cells"), F.round(F.sum(one * F.col("n")), 6).alias("cost_usd"))
 
 
 def validate(responses: DataFrame, body: str) -> DataFrame:
@@ -122,6 +118,25 @@ def reflection_batches(items: DataFrame, group: str, position: str, size: int =
     return numbered.join(full, [group, "batch"], "left_semi")
 
 
+def stimulus_pairs(turns: DataFrame, thread: str, position: str, ranks: DataFrame, replier: str, personas: DataFrame) -> DataFrame:
+    """Replies to each thread's opener with the persona that stands for the replier, and the direction.
+
+    turns: (thread, position, sender rank of the opener as ``stimulus_rank``, replier);
+    ranks: (replier, seniority_rank, department); personas: (seniority_rank, department,
+    persona_id).  Replies without a persona keep a null persona_id (see ``unmatched_pairs``).
+    """
+    roots = turns.where(F.col(position) == 0).select(thread, "stimulus_rank")
+    replies = turns.where(F.col(position) > 0).drop("stimulus_rank").join(roots, thread)
+    known = replies.join(ranks, replier)
+    out = known.join(personas, ["seniority_rank", "department"], "left")
+    return out.withColumn("direction", direction(F.col("stimulus_rank"), F.col("seniority_rank")))
+
+
+def unmatched_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs, and those for which there is no persona."""
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("persona_id").isNull()).alias("unmatched"))
+
+
 # ---- judging and statistics --------------------------------------------------
 
 
@@ -133,8 +148,8 @@ def scores_wide(long: DataFrame, item: list[str], key: str, keys: list[str]) ->
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Mann-Whitney AUC on average ranks, null for a single class."""
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).cast("boolean").alias("label"), F.col(score).alias("score"))
-    ranked = rows.join(average_ranks(rows, "score", "r"), "score")
-    one = ranked.agg(F.count_if("label").cast("double").alias("p"), F.count_if(~F.col("label")).cast("double").alias("n"), F.sum(F.when(F.col("label"), F.col("r"))).alias("r"))
+    counts = rows.groupBy("score").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))  # a value is one row, however many share it
+    one = counts.join(average_ranks(rows, "score", "r"), "score").agg(F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"), F.sum(F.col("p") * F.col("r")).alias("r"))
     return one.select(F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
 
 
@@ -142,22 +157,31 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """Paired signed-rank statistic W = min(W+, W-), median difference, number of non-zero pairs."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
     rows = d.where("d <> 0").select("d", F.abs("d").alias("size"))
-    ranked = rows.join(average_ranks(rows, "size", "r"), "size")
-    sums = ranked.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("minus"), F.count(F.lit(1)).alias("n"))
-    return sums.crossJoin(d.agg(F.median("d").alias("median_difference"))).select(F.least("plus", "minus").alias("w"), "n", "median_difference")
+    counts = rows.groupBy("size").agg(F.count_if(F.col("d") > 0).alias("plus"), F.count_if(F.col("d") < 0).alias("minus"))
+    ranked = counts.join(average_ranks(rows, "size", "r"), "size")
+    t = F.col("plus") + F.col("minus")
+    sums = ranked.agg(*[F.coalesce(F.sum(F.col(c) * F.col("r")), F.lit(0.0)).alias(c) for c in ("plus", "minus")], F.coalesce(F.sum(t), F.lit(0)).alias("n"), F.coalesce(F.sum((t * t * t - t).cast("double")), F.lit(0.0)).alias("ties"))
+    middle = medians(d, [], "d", "median_difference")  # one row
+    return sums.crossJoin(F.broadcast(middle)).select(F.least("plus", "minus").alias("w"), "n", "ties", "median_difference")
+
 
+def wilcoxon_p(w: float, n: int, ties: float = 0.0) -> float:
+    """Two-sided p of W: exact up to 50 pairs without ties, else the normal approximation.
 
-def wilcoxon_p(w: float, n: int) -> float:
-    """Two-sided p of W without ties: exact up to 50 pairs, else the normal approximation."""
+    ``ties`` is the sum of t**3 - t over groups of t equal differences; it lowers the variance.
+    """
     if n == 0:
         return 1.0
-    if n <= 50:
+    if n <= 50 and not ties:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for k in range(1, n + 1):
             for s in range(len(ways) - 1, k - 1, -1):
                 ways[s] += ways[s - k]
         return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
-    z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    variance = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    if variance <= 0:
+        return 1.0
+    z = (w - n * (n + 1) / 4) / math.sqrt(variance)
     return min(1.0, math.erfc(abs(z) / math.sqrt(2)))
 
 
@@ -201,20 +225,34 @@ def tost(n: int, mean: float, se: float | None, margin: float = 0.4, alpha: floa
 
 
 def text_auc(df: DataFrame, uid: str, text: str, label: str, folds: int = 5, seed: int = 20260807) -> DataFrame:
-    """Mean cross-validated AUC of TF-IDF and logistic regression; folds are stratified by
-    label in a seeded hash order; TF-IDF is fitted on all texts."""
+    """Mean cross-validated AUC of TF-IDF (without English stop words) and logistic regression.
+
+    Folds are stratified: within each label, rows in a seeded hash order go to the folds in
+    turn.  TF-IDF is fitted on all texts.  A single class, or fewer rows of one than folds,
+    is an error.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-
-    fold = F.pmod(F.xxhash64(F.col(uid), F.lit(seed)), F.lit(folds)).cast("int")
-    rows = df.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"), fold.alias("fold"))
-    features = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\W+", minTokenLength=2), HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 16), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")])
-    x = features.fit(rows).transform(rows).select("features", "label", "fold").persist()
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
+
+    rows = df.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"), seeded_order(seed, F.col(uid)).alias("order_key"), F.col(uid).alias("uid"))
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(3).collect()}
+    if len(sizes) != 2 or min(sizes.values()) < folds:
+        raise ValueError(f"two labels with at least {folds} rows each are needed, not {sizes}")
+    place = positions(rows.select("label", "order_key", "uid"), ["label", "order_key", "uid"], "place").select("uid", "label", (F.col("place") % folds).cast("int").alias("fold"))
+    rows = rows.drop("order_key").join(place, ["uid", "label"])
+    steps = [
+        RegexTokenizer(inputCol="text", outputCol="all", pattern=r"(?U)\W+", minTokenLength=2),
+        StopWordsRemover(inputCol="all", outputCol="words"),
+        HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18),
+        IDF(inputCol="tf", outputCol="idf"),
+        Normalizer(inputCol="idf", outputCol="features"),
+    ]
+    x = durable(Pipeline(stages=steps).fit(rows).transform(rows).select("features", "label", "fold"))
     values = []
     for k in range(folds):
-        model = LogisticRegression(regParam=1e-3, maxIter=30, standardization=False).fit(x.where(F.col("fold") != k))
+        n = sum(sizes.values()) * (folds - 1) / folds
+        model = LogisticRegression(regParam=1 / n, maxIter=30, standardization=False).fit(x.where(F.col("fold") != k))
         values.append(BinaryClassificationEvaluator(numBins=0).evaluate(model.transform(x.where(F.col("fold") == k))))
-    x.unpersist()
     return df.sparkSession.createDataFrame([(folds, sum(values) / folds)], "folds int, mean_auc double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commlens.functions.text import has_deadline, phrase_hits, sentences, token_hits
+from commlens.operators.ranks import average_ranks, small
 
 # Obligation modals and phrases; (tokens, phrases) of each lexicon.
 OBLIGATION_MODALS = ["must", "should", "shall", "need", "needs", "required"]
@@ -34,32 +35,39 @@ def oversized(messages: DataFrame, body: str, most: int = MAX_BODY_CHARS) -> Dat
 
 def lexical_features(df: DataFrame, uid: str, body: str, hedges=HEDGES, deference=DEFERENCE, commitment=COMMITMENT) -> DataFrame:
     """Sentence-level shares; a sentence counts once however many hits it has; no sentence: zeros."""
-    s = sentences(F.col(body))
     n = F.size("sentences")
 
-    def share(test) -> Column:
-        return F.when(n == 0, 0.0).otherwise(F.size(F.filter("sentences", lambda x: test(F.lower(x)))) / n)
-
-    def lexicon(pair) -> Column:
+    def lexicon(x: Column, pair) -> Column:
         tokens, phrases = pair
-        return share(lambda x: token_hits(x, tokens) | phrase_hits(x, phrases))
+        return token_hits(x["words"], tokens) | phrase_hits(x["low"], phrases)
 
     def imperative(x: Column) -> Column:
-        opener = F.rlike(x, F.lit(rf"^\W*(?:{'|'.join(REQUEST_VERBS)})\b"))
-        return opener | token_hits(x, OBLIGATION_MODALS) | phrase_hits(x, OBLIGATION_PHRASES)
-
-    words = F.size(F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(?U)\w+"), 0))
-    return df.withColumn("sentences", s).select(
+        return F.coalesce(F.try_element_at(x["words"], F.lit(1)).isin(REQUEST_VERBS), F.lit(False)) | token_hits(x["words"], OBLIGATION_MODALS) | phrase_hits(x["low"], OBLIGATION_PHRASES)
+
+    # every sentence is lower-cased and cut into words once
+    cut = F.transform(sentences(F.col(body)), lambda x: F.struct(F.lower(x).alias("low"), F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), 0).alias("words")))
+    tests = {
+        "question_ratio": lambda x: F.endswith(F.rtrim(x["low"]), F.lit("?")),
+        "imperative_ratio": imperative,
+        "hedge_rate": lambda x: lexicon(x, hedges),
+        "deference_rate": lambda x: lexicon(x, deference),
+        "commitment_rate": lambda x: lexicon(x, commitment),
+    }
+    hits = F.transform("sentences", lambda x: F.struct(*[f(x).cast("int").alias(c) for c, f in tests.items()]))
+    words = F.aggregate("sentences", F.lit(0), lambda k, x: k + F.size(x["words"]))
+    x = df.select(uid, has_deadline(F.col(body)).alias("has_deadline"), cut.alias("sentences"))
+    x = x.select(uid, "has_deadline", words.alias("words"), n.alias("n"), hits.alias("hits"))
+
+    def share(c: str) -> Column:
+        return F.when(F.col("n") == 0, 0.0).otherwise(F.aggregate("hits", F.lit(0), lambda k, h: k + h[c]) / F.col("n"))
+
+    return x.select(
         uid,
-        words.cast("long").alias("n_tokens"),
-        n.cast("long").alias("n_sentences"),
-        F.when(n == 0, 0.0).otherwise(words / n).alias("mean_sentence_len"),
-        share(lambda x: F.endswith(F.rtrim(x), F.lit("?"))).alias("question_ratio"),
-        share(imperative).alias("imperative_ratio"),
-        lexicon(hedges).alias("hedge_rate"),
-        lexicon(deference).alias("deference_rate"),
-        lexicon(commitment).alias("commitment_rate"),
-        has_deadline(F.col(body)).alias("has_deadline"),
+        F.col("words").cast("long").alias("n_tokens"),
+        F.col("n").cast("long").alias("n_sentences"),
+        F.when(F.col("n") == 0, 0.0).otherwise(F.col("words") / F.col("n")).alias("mean_sentence_len"),
+        *[share(c).alias(c) for c in tests],
+        "has_deadline",
     )
 
 
@@ -94,23 +102,18 @@ def is_monotone(ranked: DataFrame, rank: str, value: str) -> DataFrame:
     return ranked.withColumn("_ok", F.coalesce(F.col(value) >= before, F.lit(True))).agg(F.coalesce(F.bool_and("_ok"), F.lit(True)).alias("is_monotone"))
 
 
-def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """Average rank of each distinct value (ties share theirs).
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Spearman's rho of two columns over rows that have both, and their number.
 
-    Ranks come from a histogram with range-partitioned prefix sums, so no single task
-    sorts all rows.
+    Ranks are joined with a histogram of the pairs; a table of few ranks is broadcast, so
+    that a value which many rows share is no hot key.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.repartitionByRange(column).withColumn("p", F.spark_partition_id())
-    inner = Window.partitionBy("p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("upto", F.sum("n").over(inner))
-    sizes = local.groupBy("p").agg(F.max("upto").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    return local.join(F.broadcast(before.select("p", "before")), "p").select(column, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).cast("double").alias(alias))
-
-
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's rho of two columns over rows that have both, and their number."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    ranked = rows.join(average_ranks(rows, a, "rank_a"), a).join(average_ranks(rows, b, "rank_b"), b)
-    return ranked.agg(F.corr("rank_a", "rank_b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = pairs.join(small(average_ranks(rows, a, "ra")), a).join(small(average_ranks(rows, b, "rb")), b)
+    n, x, y = F.col("n"), F.col("ra"), F.col("rb")
+    mean = (F.sum(n) + 1) / 2
+    sums = ranked.agg(F.sum(n).alias("n"), mean.alias("m"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    square = F.col("n") * F.col("m") * F.col("m")
+    spread = (F.col("xx") - square) * (F.col("yy") - square)
+    return sums.select(F.when(spread > 0, (F.col("xy") - square) / F.sqrt(spread)).alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commlens.operators.ranks import medians
+
 
 def edges(messages: DataFrame, recipients: DataFrame, uid: str, sender: str, address: str, n_recipients: str, broadcast_from: int = 10) -> DataFrame:
     """src, dst, weight without broadcasts and mail to oneself."""
@@ -77,10 +79,13 @@ def turn_latencies(turns: DataFrame, thread: str, order: list[str], sender: str,
 
 def latency_asymmetry(latencies: DataFrame, least: int = 3) -> DataFrame:
     """Median time others take to answer, less the median time the person takes; null unless
-    both have ``least`` observations.  Exact medians, both sides in one aggregation."""
+    both have ``least`` observations.  Exact medians of both sides, by position."""
     both = latencies.select(F.explode(F.array(F.struct(F.col("replier").alias("address"), F.lit("out").alias("side"), "latency"), F.struct(F.col("author").alias("address"), F.lit("in").alias("side"), "latency"))).alias("e"))
-    sides = {s: F.when(F.col("e.side") == s, F.col("e.latency")) for s in ("out", "in")}
-    out = both.groupBy("e.address").agg(*[f(x).alias(f"{name}_{s}") for s, x in sides.items() for name, f in (("n", F.count), ("median", F.median))])
+    both = both.select("e.*")
+    sides = ("out", "in")
+    n = both.groupBy("address").agg(*[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in sides])
+    middle = medians(both, ["address", "side"], "latency", "median").groupBy("address").agg(*[F.max(F.when(F.col("side") == s, F.col("median"))).alias(f"median_{s}") for s in sides])
+    out = n.join(middle, "address")
     fine = (F.col("n_out") >= least) & (F.col("n_in") >= least)
     return out.select("address", "n_out", "n_in", F.when(fine, F.col("median_out") - F.col("median_in")).alias("reply_latency_asymmetry"))
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from commlens.functions.text import seeded_order
 
 
+#: Hexadecimal digits of the hash in the histogram that finds a sample's cut.
+CUT_DIGITS = 3
+
+
 def quotas(pool: DataFrame, strata: list[str], n: int) -> DataFrame:
     """Proportional quotas, rounded half to even; the residual goes to the largest stratum
     (the first one in key order on ties); never more than the stratum has.  Rows without a
@@ -23,19 +27,20 @@ def quotas(pool: DataFrame, strata: list[str], n: int) -> DataFrame:
 
 
 def stratified_sample(pool: DataFrame, strata: list[str], uid: str, n: int, seed: int) -> DataFrame:
-    """Without replacement, in a seeded hash order.
+    """Without replacement, in a seeded hash order; every stratum gives its whole quota.
 
-    A stratum's quota-th smallest hash is found first (approximate cut, then exact), so the
-    window sorts little more than the sample, not whole strata.
+    A histogram of the hash's first ``CUT_DIGITS`` digits finds the digits up to which a
+    stratum's rows reach its quota, so the window sorts little more than the sample, not
+    whole strata, whatever ids repeat.
     """
-    q = quotas(pool, strata, n)
-    keyed = pool.join(F.broadcast(q), strata).where("quota > 0").withColumn("order_key", seeded_order(seed, F.col(uid)))
-    # a row passes if its hash, as a fraction, is below quota/size with a wide margin
-    fraction = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") / 2.0**32
-    margin = (F.col("quota") + 10 * F.sqrt(F.col("quota").cast("double")) + 50) / F.col("size")
-    near = keyed.where(fraction <= margin)
+    q = quotas(pool, strata, n).where("quota > 0")
+    keyed = pool.where(" AND ".join(f"{s} IS NOT NULL" for s in strata)).withColumn("order_key", seeded_order(seed, F.col(uid))).withColumn("digits", F.substring("order_key", 1, CUT_DIGITS))
+    counts = keyed.groupBy(*strata, "digits").agg(F.count(F.lit(1)).alias("k"))  # at most 16**CUT_DIGITS rows a stratum
+    upto = F.sum("k").over(Window.partitionBy(*strata).orderBy("digits"))
+    cut = counts.withColumn("before", upto - F.col("k")).join(q, strata).where(F.col("before") < F.col("quota")).groupBy(*strata).agg(F.max("digits").alias("cut"), F.max("quota").alias("quota"))
+    near = keyed.join(cut, strata).where(F.col("digits") <= F.col("cut"))
     place = F.row_number().over(Window.partitionBy(*strata).orderBy("order_key"))
-    return near.withColumn("place", place).where(F.col("place") <= F.col("quota")).drop("place", "order_key", "size", "quota")
+    return near.withColumn("place", place).where(F.col("place") <= F.col("quota")).select(pool.columns)
 
 
 def fully_eligible(threads: DataFrame, thread: str, eligible: Column) -> DataFrame:
@@ -70,7 +75,7 @@ def with_fallback(cells: DataFrame, grid: DataFrame, rank: str, department: str,
     fine = F.coalesce(F.col("own_n_people"), F.lit(0)) >= least_people
     return (
         grid.join(own, [rank, department], "left")
-        .join(F.broadcast(pool), rank)
+        .join(pool, rank)
         .select(rank, department, F.when(fine, "cell").otherwise("rank_pooled").alias("derivation"), *[F.when(fine, F.col(f"own_{v}")).otherwise(F.col(f"pool_{v}")).alias(v) for v in values])
     )
 

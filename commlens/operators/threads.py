@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commlens.functions.text import seeded_order
+from commlens.operators.ranks import small
 
 
 def links(candidates: DataFrame, uid: str, subject: str, date: str, participants: str, days: int = 30, shared: int = 2, largest_group: int = 500) -> DataFrame:
@@ -17,7 +18,11 @@ def links(candidates: DataFrame, uid: str, subject: str, date: str, participants
     Only the keys and dates meet in the self-join; equal days are bucketed, so that only
     neighbouring buckets of a subject are compared.
     """
-    size = candidates.groupBy(subject).agg(F.count(F.lit(1)).alias("n_subject")).where(F.col("n_subject").between(2, largest_group)).select(subject)
+    size = candidates.groupBy(subject).agg(F.count(F.lit(1)).alias("n_subject"))
+    # the few template subjects are left out where rows are read, so that their rows don't meet in one task
+    template = size.where(F.col("n_subject") > largest_group).select(subject)
+    candidates = candidates.join(small(template), subject, "left_anti")
+    size = size.where(F.col("n_subject").between(2, largest_group)).select(subject)
     day = F.floor(F.unix_seconds(F.col(date).cast("timestamp")) / (86400 * days))
     m = candidates.join(size, subject).select(F.col(subject).alias("subject"), F.col(uid).alias("uid"), F.col(date).alias("at"), F.col(participants).alias("who"), day.alias("bin"))
     a = m.select("subject", F.col("uid").alias("a"), F.col("at").alias("at_a"), F.col("who").alias("who_a"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))

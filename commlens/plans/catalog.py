@@ -19,6 +19,7 @@ from commlens.operators import messages as M
 from commlens.operators import network as N
 from commlens.operators import sampling as P
 from commlens.operators import threads as H
+from commlens.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -317,15 +318,15 @@ _STEP = "x{k} AS MATERIALIZED (SELECT address, z / sqrt(sum(z * z) OVER ()) AS x
 
 
 @query(
-    "WITH g AS MATERIALIZED (SELECT user_id AS src, nxt AS dst, count(*) AS weight FROM (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt <> user_id GROUP BY 1, 2), nodes AS (SELECT src AS address FROM g UNION SELECT dst FROM g), x0 AS MATERIALIZED (SELECT address, 1.0 / (SELECT count(*) FROM nodes) AS x FROM nodes), "
+    "WITH g AS MATERIALIZED (SELECT user_id AS src, nxt AS dst, count(*) AS weight FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt <> user_id GROUP BY 1, 2), nodes AS (SELECT src AS address FROM g UNION SELECT dst FROM g), x0 AS MATERIALIZED (SELECT address, 1.0 / (SELECT count(*) FROM nodes) AS x FROM nodes), "
     + ", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, _ROUNDS + 1))
     + f" SELECT address, round(x, 6) AS centrality FROM x{_ROUNDS}"
 )
 def eigenvector_centrality(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    # a global order is the stand-in's definition of an edge; a mail graph needs none
-    nxt = e.withColumn("dst", F.lead("user_id").over(Window.orderBy("ts", "event_id")))
-    g = nxt.where("dst <> user_id").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight")).persist()
+    # the stand-in's edges: from each event's user to that of the next event of the same hour
+    nxt = e.withColumn("dst", F.lead("user_id").over(Window.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id")))
+    g = durable(nxt.where("dst <> user_id").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight")))
     return N.eigenvector_centrality(g, exact_rounds=_ROUNDS).select("address", F.round("centrality", 6).alias("centrality"))
 
 
@@ -360,18 +361,49 @@ def sender_features(spark, sf_dir):
 # ---- features and score ----------------------------------------------------------------
 
 
-@query()
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _lexical_sql(source: str, hedges, deference, commitment) -> str:
+    """The shares over the (doc_id, text) of ``source``: sentences as structs of lower case and words."""
+
+    def hit(tokens: list[str], phrases: list[str]) -> str:
+        words = f"list_has_any(x.w, {_sql_list(tokens)})" if tokens else "FALSE"
+        return f"({words} OR len(list_filter({_sql_list(phrases)}, lambda p: contains(x.l, p))) > 0)"
+
+    tests = {
+        "question_ratio": "rtrim(x.l, ' ') LIKE '%?'",
+        "imperative_ratio": f"(coalesce(list_contains({_sql_list(S.REQUEST_VERBS)}, x.w[1]), FALSE) OR {hit(S.OBLIGATION_MODALS, S.OBLIGATION_PHRASES)})",
+        "hedge_rate": hit(*hedges), "deference_rate": hit(*deference), "commitment_rate": hit(*commitment),
+    }
+    shares = ", ".join(f"CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, lambda x: {t})) / len(s), 6) END AS {c}" for c, t in tests.items())
+    return rf"""WITH d AS ({source}),
+s AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: trim(x) <> ''), lambda x: {{'l': lower(x), 'w': regexp_extract_all(lower(x), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+')}}) AS s FROM d),
+n AS (SELECT *, CAST(coalesce(list_sum(list_transform(s, lambda x: len(x.w))), 0) AS BIGINT) AS n_tokens FROM s)
+SELECT doc_id, n_tokens, CAST(len(s) AS BIGINT) AS n_sentences, CASE WHEN len(s) = 0 THEN 0 ELSE round(n_tokens / len(s), 6) END AS mean_sentence_len, {shares} FROM n"""
+
+
+_RATES = ["mean_sentence_len", "question_ratio", "imperative_ratio", "hedge_rate", "deference_rate", "commitment_rate"]
+
+
+def _rounded(features):
+    return features.select("doc_id", "n_tokens", "n_sentences", *[F.round(c, 6).alias(c) for c in _RATES])
+
+
+@query(_lexical_sql("SELECT doc_id, text FROM documents", S.HEDGES, S.DEFERENCE, S.COMMITMENT))
 def lexical_features(spark, sf_dir):
-    return S.lexical_features(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return _rounded(S.lexical_features(read(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-@query(
-    r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: trim(x) <> '') AS s FROM documents)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, lambda x: contains(lower(x), 'tion'))) / len(s), 6) END AS phrase_rate, CASE WHEN len(s) = 0 THEN 0 ELSE round(len(list_filter(s, lambda x: rtrim(x) LIKE '%?')) / len(s), 6) END AS question_ratio FROM s"""
-)
+# lexicons and marks that do occur in the invented prose
+_STAND_INS = ((["the", "de", "und"], ["tion"]), ([], ["ing", "ment"]), (["la"], ["ou", "er "]))
+
+
+@query(_lexical_sql("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '.', '?') ELSE text END AS text FROM documents", *_STAND_INS))
 def sentence_rates(spark, sf_dir):
-    out = S.lexical_features(read(spark, sf_dir, "documents"), "doc_id", "text", hedges=([], ["tion"]))
-    return out.select("doc_id", "n_sentences", F.round("hedge_rate", 6).alias("phrase_rate"), F.round("question_ratio", 6).alias("question_ratio"))
+    d = read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("."), F.lit("?"))).otherwise(F.col("text")))
+    return _rounded(S.lexical_features(d, "doc_id", "text", *_STAND_INS))
 
 
 _WEIGHTS = {"n_chars": 0.5, "quality": -0.25, "toxic": 1.0}
@@ -447,6 +479,7 @@ def shots_and_replies(spark, sf_dir):
 
 
 _STYLE = ["mean_price", "mean_lines"]
+_DEPARTMENTS = [*_SEGMENTS, "LEGAL", "TAX"]
 _PEOPLE = "(SELECT n_regionkey AS rank, c_mktsegment AS department, o_custkey AS person, o_totalprice AS mean_price, CAST(o_orderkey % 7 AS DOUBLE) AS mean_lines FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 _CELLS = f"(SELECT rank, department, CAST(grouping(department) AS INTEGER) AS pooled, count(DISTINCT person) AS n_people, count(*) AS n_messages, avg(mean_price) AS mean_price, avg(mean_lines) AS mean_lines FROM {_PEOPLE} GROUP BY GROUPING SETS ((rank, department), (rank)))"
 
@@ -460,7 +493,7 @@ def _cells(spark, sf_dir):
 
 def _personas(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    grid = cells.where("pooled = 1").select("rank", F.explode(F.array(*[F.lit(s) for s in [*_SEGMENTS, "LEGAL"]])).alias("department"))
+    grid = cells.where("pooled = 1").select("rank", F.explode(F.array(*[F.lit(s) for s in _DEPARTMENTS])).alias("department"))
     return P.with_fallback(cells, grid, "rank", "department", _STYLE, 60)
 
 
@@ -469,7 +502,7 @@ def persona_cells(spark, sf_dir):
     return _cells(spark, sf_dir).select("rank", "department", "pooled", "n_people", "n_messages", F.round("mean_price", 1).alias("mean_price"), F.round("mean_lines", 3).alias("mean_lines"))
 
 
-_GRID = f"(SELECT p.rank, d.department, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN 'cell' ELSE 'rank_pooled' END AS derivation, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_people ELSE p.n_people END AS n_people, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_messages ELSE p.n_messages END AS n_messages, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_price ELSE p.mean_price END, 1) AS mean_price, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_lines ELSE p.mean_lines END, 3) AS mean_lines FROM {_CELLS} p CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in [*_SEGMENTS, 'LEGAL'])}]) AS department) d LEFT JOIN {_CELLS} o ON o.rank = p.rank AND o.department = d.department AND o.pooled = 0 WHERE p.pooled = 1)"
+_GRID = f"(SELECT p.rank, d.department, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN 'cell' ELSE 'rank_pooled' END AS derivation, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_people ELSE p.n_people END AS n_people, CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.n_messages ELSE p.n_messages END AS n_messages, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_price ELSE p.mean_price END, 1) AS mean_price, round(CASE WHEN coalesce(o.n_people, 0) >= 60 THEN o.mean_lines ELSE p.mean_lines END, 3) AS mean_lines FROM {_CELLS} p CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in _DEPARTMENTS)}]) AS department) d LEFT JOIN {_CELLS} o ON o.rank = p.rank AND o.department = d.department AND o.pooled = 0 WHERE p.pooled = 1)"
 
 
 @query(f"SELECT * FROM {_GRID}")
@@ -477,9 +510,11 @@ def persona_fallback(spark, sf_dir):
     return _personas(spark, sf_dir).withColumns({"mean_price": F.round("mean_price", 1), "mean_lines": F.round("mean_lines", 3)})
 
 
-@query(f"SELECT rank, count(*) AS n_personas FROM {_GRID} GROUP BY 1 HAVING count(*) > 1 AND bool_and(derivation = 'rank_pooled') AND count(DISTINCT (mean_price, mean_lines)) = 1")
+# ranks 0 and 1 have personas of departments without people only, so theirs are all the same pool
+@query(f"SELECT rank, count(*) AS n_personas FROM {_GRID} WHERE rank > 1 OR department IN ('LEGAL', 'TAX') GROUP BY 1 HAVING count(*) > 1 AND bool_and(derivation = 'rank_pooled') AND count(DISTINCT (mean_price, mean_lines)) = 1")
 def collapsed_ranks(spark, sf_dir):
-    return P.collapsed_ranks(_personas(spark, sf_dir), "rank", _STYLE)
+    some = _personas(spark, sf_dir).where((F.col("rank") > 1) | F.col("department").isin("LEGAL", "TAX"))
+    return P.collapsed_ranks(some, "rank", _STYLE)
 
 
 _DIRECTIONS, _STAKES, _MODELS, _REPLICATES = ["up", "down", "lateral"], ["low", "high"], ["model-a", "model-b"], 3
@@ -611,16 +646,25 @@ def reflection_batches(spark, sf_dir):
     return X.reflection_batches(read(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 3).select("conv_id", "batch", "turn")
 
 
-@query(
-    "SELECT a.conv_id, b.turn, c.c_mktsegment, CASE WHEN n_regionkey < a.conv_id % 5 THEN 'down' WHEN n_regionkey > a.conv_id % 5 THEN 'up' ELSE 'lateral' END AS direction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 JOIN customer c ON c_custkey = a.conv_id + 1 JOIN nation ON n_nationkey = c_nationkey"
-)
+def _pairs(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 5).alias("stimulus_rank"), (F.col("conv_id") + 1).alias("c_custkey"))
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("seniority_rank"))
+    ranks = read(spark, sf_dir, "customer").join(nation, "c_nationkey").select("c_custkey", "seniority_rank", F.col("c_mktsegment").alias("department"))
+    personas = ranks.where("department <> 'FURNITURE'").select("seniority_rank", "department").distinct().withColumn("persona_id", F.concat_ws("-", "department", "seniority_rank"))
+    return X.stimulus_pairs(t, "conv_id", "turn", ranks, "c_custkey", personas)
+
+
+_PAIRS = "(SELECT a.conv_id, b.turn, c_mktsegment AS department, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_mktsegment || '-' || n_regionkey END AS persona_id, CASE WHEN n_regionkey > a.conv_id % 5 THEN 'down' WHEN n_regionkey < a.conv_id % 5 THEN 'up' ELSE 'lateral' END AS direction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 JOIN customer c ON c_custkey = a.conv_id + 1 JOIN nation ON n_nationkey = c_nationkey)"
+
+
+@query(f"SELECT conv_id, turn, department, persona_id, direction FROM {_PAIRS} WHERE persona_id IS NOT NULL")
 def real_stimulus_pairs(spark, sf_dir):
-    t = read(spark, sf_dir, "conversations").select("conv_id", "turn")
-    people = read(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("conv_id"), "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")).join(read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
-    roots = t.where("turn = 0").select("conv_id")
-    rank, other = F.col("n_regionkey"), F.col("conv_id") % 5
-    direction = F.when(rank < other, "down").when(rank > other, "up").otherwise("lateral")
-    return t.where("turn > 0").join(roots, "conv_id").join(people, "conv_id").select("conv_id", "turn", "c_mktsegment", direction.alias("direction"))
+    return _pairs(spark, sf_dir).where("persona_id IS NOT NULL").select("conv_id", "turn", "department", "persona_id", "direction")
+
+
+@query(f"SELECT count(*) AS pairs, count(*) FILTER (WHERE persona_id IS NULL) AS unmatched FROM {_PAIRS}")
+def unmatched_pairs(spark, sf_dir):
+    return X.unmatched_pairs(_pairs(spark, sf_dir))
 
 
 # ---- judging and statistics ---------------------------------------------------------------------

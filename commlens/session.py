@@ -18,8 +18,11 @@ def session(master: str | None = None, name: str = "commlens", **conf: str) -> S
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir (a temporary folder only where unset)."""
+    """A reliable checkpoint in spark.checkpoint.dir (in local mode a temporary folder, where that is unset)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="commlens-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="commlens-"))
     return df.checkpoint()

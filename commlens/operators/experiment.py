@@ -105,6 +105,20 @@ def tfidf_relevance(items: DataFrame, group: str, uid: str, text: str, query: st
     return items.withColumn("u", F.col(uid).cast("string")).join(scored, [group, "u"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).drop("u")
 
 
+def retrieve(items: DataFrame, group: str, uid: str, text: str, query: str, importance: str, hours: str, k: int = 8, decay: float = 0.995, relevance: Callable[..., DataFrame] = tfidf_relevance) -> DataFrame:
+    """The k items of each group with the highest sum of scaled recency, importance and relevance.
+
+    ``relevance(items, group, uid, text, query)`` adds a column ``relevance``; any scorer
+    of that form may stand in.  Ties go to the smaller uid.
+    """
+    scored = relevance(items, group, uid, text, query).withColumn("recency", recency(F.col(hours), decay))
+    parts = {"recency": "r", importance: "i", "relevance": "v"}
+    for column, alias in parts.items():
+        scored = min_max(scored, [group], column, f"_{alias}")
+    total = sum((F.col(f"_{a}") for a in parts.values()), F.lit(0.0))
+    return top_memories(scored.withColumn("score", F.round(total, 9)), [group], "score", uid, k).drop(*[f"_{a}" for a in parts.values()])
+
+
 def top_memories(scored: DataFrame, groups: list[str], score: str, position: str, k: int = 8) -> DataFrame:
     """The k best of each group, ties by position: a limit that the plan pushes below the shuffle."""
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(score).desc(), position))

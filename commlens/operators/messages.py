@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commlens.functions.text import normalize_display_name
+
 
 def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key (the survivor of a dedup).
@@ -28,9 +30,9 @@ def duplication_report(df: DataFrame, key: str, is_empty: Column) -> DataFrame:
     )
 
 
-def eligible(tokens: Column, date: Column, internal: Column, least: float, most: float, begin: str, end: str) -> Column:
-    """Size and date in range (the end date counts up to its midnight), internal sender."""
-    return tokens.between(least, most) & date.between(F.lit(begin).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")) & internal
+def eligible(is_empty: Column, tokens: Column, date: Column, internal: Column, least: float, most: float, begin: str, end: str) -> Column:
+    """Not empty, size and date in range (the end date counts up to its midnight), internal sender."""
+    return ~is_empty & tokens.between(least, most) & date.between(F.lit(begin).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")) & internal
 
 
 def eligibility_report(df: DataFrame, eligible_: Column, known_sender: Column) -> DataFrame:
@@ -78,6 +80,12 @@ def in_sent_folder(path: Column) -> Column:
     return F.lower(F.split_part(path, F.lit("/"), F.lit(2))).isin(SENT_FOLDERS)
 
 
+def owner_names(sent: DataFrame, mailbox: str, name: str) -> DataFrame:
+    """The distinct normalised display names of each mailbox's sent mail, in order."""
+    one = sent.select(mailbox, normalize_display_name(F.col(name)).alias("name")).where("name <> ''").distinct()
+    return one.groupBy(mailbox).agg(F.array_sort(F.collect_list("name")).alias("display_names"))
+
+
 def resolve_owners(sent: DataFrame, mailbox: str, sender: str, least_share: float = 0.02) -> DataFrame:
     """Addresses of each mailbox: those with a large enough share of its sent mail, or else
     its most frequent one; the primary one is the most frequent (ties: the smaller)."""

@@ -98,10 +98,10 @@ def _orders(spark, sf_dir):
 
 
 def _eligible():
-    return M.eligible(F.col("o_totalprice"), F.col("o_orderdate"), F.col("o_orderstatus") == "O", 1000.0, 200000.0, "1996-01-01", "1999-12-31")
+    return M.eligible(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice"), F.col("o_orderdate"), F.col("o_orderstatus") == "O", 1000.0, 200000.0, "1996-01-01", "1999-12-31")
 
 
-_ELIGIBLE = "(o_totalprice BETWEEN 1000 AND 200000 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' AND o_orderstatus = 'O')"
+_ELIGIBLE = "(o_orderkey % 7 <> 0 AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' AND o_orderstatus = 'O')"
 
 
 @query(f"SELECT o_orderkey, o_custkey FROM orders WHERE {_ELIGIBLE}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from commlens.functions import text as T
 from commlens.operators.messages import explode_recipients, keep_first
+from commlens.operators.ranks import small
 
 RAW = "path string, modificationTime timestamp, length long, content binary"
 PARSED = (
@@ -21,13 +22,31 @@ PARSED = (
 )
 
 
-def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    """source_path (relative), content.  The order of paths is by their parts, so that the
-    surviving copy of a message does not depend on how separators sort."""
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """path, source_path (relative) and content of every file; content is read only where it is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     base = root.split("://")[-1].rstrip("/")
-    out = files.select(F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})").alias("source_path"), "content")
-    return out.orderBy(F.split("source_path", "/")).limit(limit) if limit is not None else out
+    return files.select("path", F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})").alias("source_path"), "content")
+
+
+def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """source_path, content.  The order of paths is by their parts, so that the surviving
+    copy of a message does not depend on how separators sort.
+
+    A limit takes the first paths, readable or not; only these files are opened.
+    """
+    files = _files(spark, root)
+    if limit is None:
+        return files.drop("path")
+    first = files.select("path", F.split("source_path", "/").alias("parts")).orderBy("parts").limit(limit).select("path")
+    return files.join(small(first), "path", "left_semi").drop("path")
+
+
+def scan_report(spark: SparkSession, root: str) -> DataFrame:
+    """Files found, and those that can't be read (skipped by ``scan``)."""
+    found = _files(spark, root).select("path").agg(F.count(F.lit(1)).alias("files_found"))
+    read = _files(spark, root).select(F.length("content").alias("n")).agg(F.count("n").alias("n"))
+    return found.crossJoin(read).select("files_found", (F.col("files_found") - F.col("n")).alias("files_unreadable"))  # single rows
 
 
 def _header(msg, name: str) -> str | None:
@@ -105,6 +124,7 @@ def ingest_report(parsed_: DataFrame, unique: DataFrame, recipients: DataFrame)
     every = parsed_.agg(
         F.count(F.lit(1)).alias("scanned"), F.countDistinct("message_id").alias("distinct_message_ids"),
         F.count_if(F.col("date").isNull()).alias("missing_date"), F.count_if(F.col("from_addr").isNull()).alias("missing_from"),
+        F.count_if(F.col("in_reply_to").isNotNull() | F.col("references").isNotNull()).alias("has_threading_headers"),
     )
     kept = unique.agg(F.count(F.lit(1)).alias("unique_messages"), F.count_if("is_empty_after_clean").alias("empty_after_clean"))
     rows = recipients.agg(F.count(F.lit(1)).alias("recipient_rows"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,14 @@ def known_addresses(spark: SparkSession, addresses: Iterable[str], name: str) ->
 
 def ledger_total(spark: SparkSession, path: str) -> float:
     """Sum of the ledger; 0 without one."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return 0.0
-    return spark.read.schema(LEDGER).csv(path).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0]
+    return spark.read.schema(LEDGER).option("header", "true").csv(path).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0]
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").csv(path)
+    """Append rows; every file of the ledger has a header."""
+    rows.select([x.split()[0] for x in LEDGER.split(", ")]).write.mode("append").option("header", "true").csv(path)
 
 
 def write_parts(df: DataFrame, path: str, rows_per_file: int = 20_000) -> None:
@@ -68,31 +69,79 @@ def freeze(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> dict:
-    """A one-row report as JSON with sorted keys."""
+    """A one-row report as JSON with sorted keys, on the driver's machine."""
     report = df.first().asDict(recursive=True)
     Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, default=str) + "\n")
     return report
 
 
 def markdown(report: dict, title: str) -> str:
-    """A report as a Markdown table."""
-    lines = [f"# {title}", "", "| figure | value |", "| --- | ---: |"]
-    return "\n".join([*lines, *(f"| {k} | {v:.4f} |" if isinstance(v, float) else f"| {k} | {v} |" for k, v in sorted(report.items()))]) + "\n"
+    """A report as Markdown: a table of its figures, and a section for each nested report."""
+
+    def table(figures: dict) -> list[str]:
+        rows = [f"| {k} | {v:,.4f} |" if isinstance(v, float) else f"| {k} | {v:,} |" if isinstance(v, int) and not isinstance(v, bool) else f"| {k} | {v} |" for k, v in figures.items()]
+        return ["| figure | value |", "| --- | ---: |", *rows] if rows else []
+
+    lines = [f"# {title}", "", *table({k: v for k, v in sorted(report.items()) if not isinstance(v, dict)})]
+    for name, part in report.items():
+        if isinstance(part, dict):
+            lines += ["", f"## {name}", "", *table(part)]
+    return "\n".join(lines) + "\n"
 
 
 def cache_entries(spark: SparkSession, path: str, response: str) -> DataFrame:
-    """The newest entry of each key of an append-only response cache."""
-    rows = spark.read.schema(f"key string, created timestamp, response {response}").json(path)
+    """The newest entry of each key of an append-only response cache, sharded folders included."""
+    rows = spark.read.schema(f"key string, created timestamp, response {response}").option("recursiveFileLookup", "true").json(path)
     return rows.groupBy("key").agg(F.max_by("response", "created").alias("response"))
 
 
-def cache_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Files, and one digest over the sorted digests of all of them (a sum of per-file
-    hashes could be forged; the digest is taken over digests by leading byte)."""
+def cache_manifest(spark: SparkSession, path: str) -> dict:
+    """Entries of a cache folder, and the sha256 over all keys and their files' sha256 in key order.
+
+    Files are hashed on the executors; the driver streams the sorted pairs and holds one
+    range of them at a time.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    one = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
-    parts = one.groupBy(F.substring(F.sha2("name", 256), 1, 2).alias("lead")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("name", "digest"))), ""), 256).alias("d"))
-    return parts.agg(F.sum("n").alias("entries"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("lead", "d"))), ""), 256).alias("digest"))
+    name = F.element_at(F.split("path", "/"), -1)
+    pairs = files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("key"), F.sha2("content", 256).alias("digest")).orderBy("key", "digest")
+    whole, n = hashlib.sha256(), 0
+    for r in pairs.toLocalIterator():
+        whole.update(f"{r.key}{r.digest}".encode())
+        n += 1
+    return {"n_entries": n, "combined_sha256": whole.hexdigest()}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store Spark reads it from."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def live_or_snapshot(spark: SparkSession, live: list[str], derive: Callable[[], DataFrame], snapshot: Callable[[], DataFrame]) -> tuple[str, DataFrame]:
+    """Derived from the processed tables if all of them are there, else the frozen snapshot."""
+    if all(exists(spark, p) for p in live):
+        return "live", derive()
+    return "snapshot", snapshot()
+
+
+def read_config(*paths: str) -> dict:
+    """Layered YAML (or JSON) files; an empty one counts as no settings."""
+    layers = []
+    for p in paths:
+        text = Path(p).read_text(encoding="utf-8")
+        layer = json.loads(text) if p.endswith(".json") else _yaml(text)
+        if not isinstance(layer or {}, dict):
+            raise TypeError(f"{p} must hold a mapping")
+        layers.append(layer or {})
+    return layered_config(*layers)
+
+
+def _yaml(text: str):
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML configuration needs the yaml package; use JSON files") from e
+    return yaml.safe_load(text)
 
 
 def layered_config(*layers: dict) -> dict:

@@ -11,7 +11,11 @@ def arrivals(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def collect_once(results: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what is new, each key once, and stop: a rerun collects only what came since."""
-    fresh = results.dropDuplicates([key])
+def collect_once(results: DataFrame, key: str, created: str, path: str, checkpoint: str, within: str = "30 days") -> StreamingQuery:
+    """Append what is new, each key once, and stop: a rerun collects only what came since.
+
+    Keys are remembered for ``within`` of the newest result's time, so the state stays
+    bounded; a batch service returns results well within that.
+    """
+    fresh = results.withWatermark(created, within).dropDuplicatesWithinWatermark([key])
     return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -167,4 +167,120 @@ def test_tables(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"p": [{"text": "a", "importance": 0.5, "hours_ago": 1, "kind": "observation"}]}')
     assert tables.memory_snapshot(spark, str(tmp_path / "m.json")).first().text == "a"
     assert tables.ledger_total(spark, str(tmp_path / "none")) == 0.0
+    usage = {"timestamp": "t", "run_id": "r", "provider": "p", "model": "m", "call_kind": "k", "batch": 0, "from_cache": 0, "input_tokens": 1, "cache_creation_input_tokens": 0, "cache_read_input_tokens": 0, "output_tokens": 2, "cost_usd": 0.25}
+    for _ in range(2):
+        tables.append_ledger(spark.createDataFrame([usage]), str(tmp_path / "ledger"))
+    assert tables.ledger_total(spark, str(tmp_path / "ledger")) == 0.5
     assert tables.layered_config({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}}) == {"a": {"b": 1, "c": 3}}
+
+
+def test_tables_of_ranks_and_addresses(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("title,seniority_rank,rank_label,given_seniority\nVP,5,Vice,Senior\n")
+    assert tables.title_ranks(spark, str(tmp_path / "t.csv")).first() == ("VP", 5, "Vice", "Senior")
+    tables.known_addresses(spark, ["paul.y'barbo@x.com"], "known")
+    assert spark.sql("SELECT address FROM known").first().address == "paul.y'barbo@x.com"
+
+
+def test_parts_are_bounded_and_stale_ones_go(spark, tmp_path):
+    path = tmp_path / "parts"
+    for n, parts in ((50, 5), (20, 2)):
+        tables.write_parts(spark.range(n).coalesce(1), str(path), rows_per_file=10)
+        files = list(path.glob("*.parquet"))
+        assert len(files) == parts and all(f.name.endswith(".zstd.parquet") for f in files) and tables.parquet(spark, str(path)).count() == n
+
+
+def test_reports_and_snapshots(spark, tmp_path):
+    report = tables.write_report(spark.createDataFrame([(2, 0.5)], "n int, share double"), str(tmp_path / "r.json"))
+    assert (tmp_path / "r.json").read_text().index("n") < (tmp_path / "r.json").read_text().index("share")
+    text = tables.markdown({"files": 1200, "corpus": report}, "Report")
+    assert "| files | 1,200 |" in text and "## corpus" in text and "| share | 0.5000 |" in text
+    tables.freeze(spark.createDataFrame([("a", 1)], "persona_id string, n int"), str(tmp_path / "frozen"))
+    frozen = lambda: spark.read.schema("persona_id string, n int").json(str(tmp_path / "frozen"))
+    live = lambda: spark.createDataFrame([("b", 2)], "persona_id string, n int")
+    assert [(w, df.first().persona_id) for w, df in (tables.live_or_snapshot(spark, p, live, frozen) for p in ([str(tmp_path)], [str(tmp_path), str(tmp_path / "no")]))] == [("live", "b"), ("snapshot", "a")]
+
+
+def test_configuration_files(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("run: {n: 1, m: 2}\n")
+    (tmp_path / "b.yaml").write_text("run: {n: 3}\n")
+    (tmp_path / "empty.yaml").write_text("")
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    assert tables.read_config(*[str(tmp_path / f"{x}.yaml") for x in ("a", "empty", "b")]) == {"run": {"n": 3, "m": 2}}
+    with pytest.raises(TypeError):
+        tables.read_config(str(tmp_path / "list.yaml"))
+
+
+def test_cache_manifest_over_sharded_folders(spark, tmp_path):
+    import hashlib
+
+    entries = {f"{k}{i}": f'{{"key": "{k}{i}"}}' for i, k in enumerate(["ab", "cd", "ab"])}
+    for key, text in entries.items():
+        (tmp_path / key[:2]).mkdir(exist_ok=True)
+        (tmp_path / key[:2] / f"{key}.json").write_text(text)
+    digests = {k: hashlib.sha256(t.encode()).hexdigest() for k, t in entries.items()}
+    whole = hashlib.sha256("".join(f"{k}{v}" for k, v in sorted(digests.items())).encode()).hexdigest()
+    assert tables.cache_manifest(spark, str(tmp_path)) == {"n_entries": 3, "combined_sha256": whole}
+    assert {r.key for r in tables.cache_entries(spark, str(tmp_path), "string").collect()} == set(entries)
+
+
+def test_first_files_in_path_order(spark, tmp_path):
+    for name in ("a/2", "a-b/1", "a/1"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"Message-ID: <{name}>\nX-From: Jos\u00e9\n\nhi")
+    assert sorted(r.source_path for r in mail.scan(spark, str(tmp_path), 2).collect()) == ["a/1", "a/2"]
+    assert mail.scan_report(spark, str(tmp_path)).first() == (3, 0)
+    assert mail.parsed(mail.scan(spark, str(tmp_path), 1)).first().message_id == "<a/1>"
+
+
+def test_retrieval_with_any_scorer(spark):
+    items = spark.createDataFrame([("g", i, f"text {i}", "q", 0.5, float(i)) for i in range(5)] + [("g", 9, "far", "q", 0.5, 4.0)], "g string, i int, t string, q string, importance double, hours double")
+    by_length = lambda df, group, uid, text, query: df.withColumn("relevance", F.length(text).cast("double"))
+    out = X.retrieve(items, "g", "i", "t", "q", "importance", "hours", k=3, relevance=by_length).orderBy("place").collect()
+    assert [r.i for r in out] == [0, 1, 2]
+    assert [r.i for r in X.retrieve(items.withColumn("t", F.when(F.col("i") == 9, "q").otherwise(F.col("t"))).withColumn("hours", F.lit(1.0)).withColumn("q", F.lit("text 3")), "g", "i", "t", "q", "importance", "hours", k=1).collect()] == [0]
+
+
+def test_medians_and_ranks_by_position(spark):
+    import random
+    import statistics
+
+    from commlens.operators import ranks
+
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), float(rng.randrange(12))) for _ in range(301)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    assert {r.g: r.m for r in ranks.medians(df, ["g"], "v", "m").collect()} == {g: statistics.median([v for k, v in rows if k == g]) for g in "abc"}
+    assert ranks.medians(df, [], "v", "m").first().m == statistics.median([v for _, v in rows])
+    assert ranks.medians(df.limit(0), [], "v", "m").first().m is None
+    assert sorted(r.p for r in ranks.positions(df.distinct(), ["g", "v"], "p").collect()) == list(range(len(set(rows))))
+
+
+def test_wilcoxon_p_with_ties():
+    # by the tie-corrected normal approximation: n = 60, all differences equal in size
+    n, ties = 60, 60**3 - 60
+    assert math.isclose(X.wilcoxon_p(600, n, ties), math.erfc(abs(600 - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / math.sqrt(2)))
+    assert X.wilcoxon_p(0, 60) < 1e-10 and 0.02 < X.wilcoxon_p(0, 6, 6) < 0.04
+
+
+def test_samples_fill_their_quota_with_repeated_ids(spark):
+    pool = spark.createDataFrame([("a", 1)] * 40 + [("b", i) for i in range(60)], "s string, i int")
+    out = P.stratified_sample(pool, ["s"], "i", 50, 1)
+    assert {r.s: r.n for r in out.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()} == {"a": 20, "b": 30} and out.columns == ["s", "i"]
+
+
+def test_text_auc_needs_both_classes(spark):
+    one = spark.createDataFrame([(i, "a b", 1) for i in range(10)], "i int, t string, y int")
+    with pytest.raises(ValueError):
+        X.text_auc(one, "i", "t", "y")
+
+
+def test_results_are_collected_once(spark, tmp_path):
+    from commlens.streaming import collect
+
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = lambda ids: spark.createDataFrame([(i, "2001-01-01 00:00:00") for i in ids], "key string, at string").selectExpr("key", "CAST(at AS TIMESTAMP) AS at")
+    for ids in (["a", "b", "a"], ["b", "c"]):
+        rows(ids).write.mode("append").json(source)
+        collect.collect_once(collect.arrivals(spark, source, "key string, at timestamp"), "key", "at", out, state).awaitTermination()
+    assert sorted(r.key for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]

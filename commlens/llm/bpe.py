@@ -33,7 +33,7 @@ LONG_BYTES = 512
 #: Rows of one matrix at most (memory: rows x bucket width x 12 bytes).
 MATRIX_CELLS = 1 << 21
 #: Chunks (and matches) a worker remembers in each of two generations.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 100_000
 _NONE = np.int32(2**31 - 1)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker: bounds its memory
 #: whatever the size of the input partition (a single longer row is a batch of its own).
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Characters of a slice of a text that is split into words at once.
 SLICE = 1 << 19
 _CUT = re.compile(r"[ \t\n\r]")
@@ -72,6 +72,10 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def _drop(b: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c for k, c in enumerate(b.columns) if k != at], [n for k, n in enumerate(b.schema.names) if k != at])
+
+
 def forget(df: DataFrame) -> None:
     """Delete the folder of a table that ``written`` made and nothing reads any more."""
     _remove(df.sparkSession, df._written_to)
@@ -86,18 +90,28 @@ class IdFilter:
 
     MOST_LOG2 = 27
 
-    def __init__(self, ids: DataFrame, column: str, count: int):
-        self.log2 = min(self.MOST_LOG2, max(15, (16 * count).bit_length()))
-        place = (self.place(F.col(column)) + 1).alias("at")
+    def __init__(self, ids: DataFrame, *columns: str):
+        self.log2 = min(self.MOST_LOG2, max(15, (16 * ids.count()).bit_length()))
+        place = (self.place(*columns) + 1).alias("at")
         rows = ids.select(place).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
         bits = bytearray((1 << self.log2) // 8)
         for r in rows.collect():  # at most 2**MOST_LOG2 / 32768 rows of 4 KB
             bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
         self.shared = ids.sparkSession.sparkContext.broadcast(bytes(bits))
 
-    def place(self, column: Column) -> Column:
+    def place(self, *columns: str) -> Column:
         """The bit of an id."""
-        return F.pmod(F.xxhash64(column), F.lit(1 << self.log2))
+        return F.pmod(F.xxhash64(*columns), F.lit(1 << self.log2))
+
+    def part(self, df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose id may be in the set, and rows whose id is not."""
+        at = len(df.columns)
+        placed = df.withColumn("commlens_at", self.place(*columns))
+
+        def rows(inside: bool) -> DataFrame:
+            return map_batches(placed, lambda b: _drop(b.filter(pa.array(self.passes(b.column(at).to_numpy()) == inside)), at), df.schema)
+
+        return rows(True), rows(False)
 
     def passes(self, at: np.ndarray) -> np.ndarray:
         """Whether the bits at these places are set (in a Python worker)."""
@@ -121,6 +135,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

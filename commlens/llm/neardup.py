@@ -25,7 +25,9 @@ at 0.8 for the defaults.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing;
 texts with fewer words than a shingle have their whole sequence as one; rows with a null
-id take part but have no id to give (the component's smallest non-null id counts).
+id take part but have no id to give (the component's smallest non-null id counts).  A
+repeated id gives a row for each of its texts; an empty table gives an empty table; only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,31 +37,35 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import lower_az, map_batches, mix64, texts, written
+from commlens.llm.common import IdFilter, grouped, map_batches, mix64, slices, texts, written
 from commlens.llm.components import connected_components
-from commlens.llm.words import WordHashes
+from commlens.llm.words import hashed_words
 
 ROWS, BANDS = 4, 28
 #: Elements whose permutations are held at once (a byte for each of their slots).
 _ELEMENTS = 1 << 15
 #: Members of a block in the exact comparison.
 BLOCK = 2048
-#: Logarithm of the bits of the filter of candidate ids (8 MB).
-FILTER_LOG2 = 26
-_MEMO = WordHashes()
 _ONE = 2.0**-53
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles."""
-    words = lower_az(text.encode("utf-8", "surrogatepass")).split()
-    if not words:
+def shingle_sets(docs: list[str], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's n-word shingles."""
+    out: list[np.ndarray] = []
+    for a, b in grouped(docs):
+        parts = docs[a:b] if b - a > 1 else list(slices(docs[a]))
+        h, counts = hashed_words(parts, lower=True)
+        out += [_shingles(x, n) for x in np.split(h, np.cumsum(counts)[:-1])] if b - a > 1 else [_shingles(h, n)]
+    return out
+
+
+def _shingles(h: np.ndarray, n: int) -> np.ndarray:
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = _MEMO.of(words, len(words))
-    n = min(n, len(words))
+    n = min(n, len(h))
     m = len(h) - n + 1
     out = np.full(m, np.uint64(n))
     for k in range(n):
@@ -96,7 +102,7 @@ def _sign(sets: list[np.ndarray], group: list[int], out: np.ndarray, m: int) ->
                 h, owner, perm = h[open_], owner[open_], perm[open_]
                 if not len(h):
                     break
-            r = mix64(h + np.uint64(2 * j + 1) * np.uint64(0xD1B54A32D192ED03))
+            r = mix64(h + np.uint64((2 * j + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
             k = j + ((r >> np.uint64(40)) % np.uint64(m - j)).astype(np.int64)
             lines = np.arange(len(h))
             slot = perm[lines, k]
@@ -111,56 +117,47 @@ def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
     bits = signatures.view(np.uint64).reshape(len(signatures), -1, rows)
     key = np.broadcast_to(np.arange(1, bits.shape[1] + 1, dtype=np.uint64), bits.shape[:2]).copy()
     for k in range(rows):
-        key = mix64(key ^ bits[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key = mix64(key ^ bits[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)  # of an array, so it wraps silently
     return key
 
 
 def sketch(docs: DataFrame, n: int, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the set; null if empty), keys (its bands)."""
+    """doc_id, md5 (of the text), n_shingles, cls (digest of the set; null if empty), keys (its bands)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n) for t in texts(b)]
+        sets = shingle_sets(texts(b), n)
         cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         first = {c: i for i, c in reversed(list(enumerate(cls))) if c is not None}  # equal sets are signed once
         at = sorted(first.values())
         keys = bands(super_minhash([sets[i] for i in at], n_bands * rows), rows).view(np.int64) if at else []
         by = {cls[i]: k.tolist() for i, k in zip(at, keys, strict=True)}
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array([by.get(c, []) for c in cls], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "cls", "keys"],
+            [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array([by.get(c, []) for c in cls], pa.list_(pa.int64()))],
+            ["doc_id", "md5", "n_shingles", "cls", "keys"],
         )
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, cls binary, keys array<long>")
+    return map_batches(docs.select("doc_id", "text", _md5()), run, "doc_id long, md5 binary, n_shingles long, cls binary, keys array<long>")
 
 
-def _bits(ids: DataFrame) -> bytearray:
-    """A bitmap of 2**FILTER_LOG2 bits with the hashed ids: a fixed size, whatever their number."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_LOG2)) + 1
-    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = bytearray((1 << FILTER_LOG2) // 8)
-    for r in rows.collect():  # at most 2**FILTER_LOG2 / 32768 rows of 4 KB
-        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
-    return out
+def _md5() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cls, s (its set) for the classes in ``wanted`` (cls, doc_id): one text of each is read again.
 
     Texts are not shuffled: a bitmap of the wanted ids passes over most others where they
-    are read, and the exact join takes the sets.  A full bitmap passes more, never less.
+    are read, and the exact join takes the sets.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bytes(_bits(wanted)))
+    bits = IdFilter(wanted, "doc_id")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        table = np.frombuffer(bits.value, dtype=np.uint8)
-        at = b.column(2).to_numpy()
-        b = b.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-        sets = [shingles(t, n) for t in texts(b)]
+        b = b.filter(pa.array(bits.passes(b.column(2).to_numpy())))
+        sets = shingle_sets(texts(b), n)
         cls = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "s"])
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_LOG2)).alias("at")
-    made = map_batches(docs.select("doc_id", "text", place), run, "cls binary, s array<long>")
+    made = map_batches(docs.select("doc_id", "text", bits.place("doc_id").alias("at")), run, "cls binary, s array<long>")
     return written(made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
@@ -210,9 +207,8 @@ def _blocks(percent: int):
     return run
 
 
-def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (null for rows without words: they are their own)."""
-    sketches = written(sketch(docs, n))
+def _roots(docs: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
+    """cls, doc_id (the smallest of its rows), root (of its component) of every class."""
     classes = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     member = written(classes.select("cls", "doc_id", F.explode("keys").alias("key")))
     many = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -240,7 +236,42 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     late = dealt.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary")
     found = connected_components(stars.unionAll(late))
     by_class = classes.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    by_class = written(by_class)
+    return written(by_class)
+
+
+def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id (rows without words are their own)."""
+    sketches = written(sketch(docs, n))
+    by_class = _roots(docs, sketches, n, percent)
     low = by_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = by_class.join(low, "root").select("cls", "component_id")
     return sketches.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _matching(left: DataFrame, right: DataFrame, how: str, md5: str = "md5") -> DataFrame:
+    """A semi or anti join by (doc_id, md5), null ids included."""
+    r = right.select(F.col("doc_id").alias("commlens_id"), F.col("md5").alias("commlens_digest"))
+    return left.join(r, left["doc_id"].eqNullSafe(r["commlens_id"]) & (left[md5] == r["commlens_digest"]), how)
+
+
+def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The documents without near-duplicates: one row of each component stays, with all columns.
+
+    It is a row with the component's smallest id (any id before none; of several texts under
+    that id the one with the smallest md5; of equal rows any one).  Rows without words stay.
+    Texts are shuffled only if their (id, md5) may be among those that go.
+    """
+    sketches = written(sketch(docs, n))
+    by_class = _roots(docs, sketches, n, percent)
+    some = sketches.where("cls IS NOT NULL")
+    first = some.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "md5")).alias("first"))
+    best = first.join(by_class.select("cls", "root"), "cls").groupBy("root").agg(F.min("first").alias("first"))
+    best = written(best.select("first.doc_id", "first.md5"))
+    rows = some.groupBy("doc_id", "md5").agg(F.count(F.lit(1)).alias("n"))
+    gone = written(_matching(rows, best, "left_anti").select("doc_id", "md5"))
+    twice = written(_matching(rows.where("n > 1"), best, "left_semi").select("doc_id", "md5"))
+    digest = "commlens_md5"
+    unsure, clear = IdFilter(gone.unionAll(twice), "doc_id", "md5").part(docs.withColumn(digest, _md5()), "doc_id", digest)
+    unsure = _matching(unsure, gone, "left_anti", digest)
+    once = _matching(unsure, twice, "left_semi", digest).dropDuplicates(["doc_id", digest])
+    return clear.unionAll(_matching(unsure, twice, "left_anti", digest)).unionAll(once).select(docs.columns)

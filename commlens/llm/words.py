@@ -1,27 +1,31 @@
-"""Bounded per-worker memo of words."""
+"""Words of many texts and their hashes, found and numbered by Arrow."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Words a worker remembers, and bytes of the longest one; beyond that the memo starts
-#: anew, and longer words are hashed each time (results stay the same).
-MEMO_WORDS, LONGEST = 300_000, 64
 
+def numbered_words(parts: list, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word in order, and how many words each part has.
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered."""
+    Words stand between ASCII white space; ``lower`` lower-cases A-Z first.  Only distinct
+    words become Python objects, so memory stays near the size of the parts.
+    """
+    text = pa.array(parts, pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    words = split.flatten()
+    ends = np.asarray(split.offsets).astype(np.int64)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # a part may begin or end with white space
+    counts = np.diff(np.concatenate([[0], np.cumsum(some)])[ends - ends[0]])
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), counts
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= LONGEST:
-            self[word] = h
-        return h
 
-    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=n)
+def hashed_words(parts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and how many words each part has."""
+    distinct, number, counts = numbered_words(parts, lower)
+    known = distinct.cast(pa.large_binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))[number], counts

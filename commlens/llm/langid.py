@@ -1,9 +1,8 @@
 """Language identification with bit-sliced n-gram Bloom filters.
 
 Training: n-gram counts by language over all training texts.  A language's filter holds
-its n-grams of a relative frequency of at least ``min_share`` (so never more than
-1 / min_share of them, whatever the corpus) that are at least ``max_ratio`` times as
-frequent as in the language where they are most frequent.
+every n-gram that occurs in its texts and is at least ``max_ratio`` times as frequent
+there as in the language where it is most frequent.
 
 The filters of all languages share their hash functions and are stored bit-sliced: slot
 s holds a bitmask of the languages whose bit s is set; the AND of an n-gram's slots is
@@ -11,22 +10,31 @@ the set of languages whose filters contain it.  For each language the hits of a
 n-grams are counted and corrected for the filter's false-positive rate f:
 (hits - n f) / (1 - f).  The highest count decides; ties go to the first name.
 
+The filters grow with the n-grams, 10 to 20 slots for each of the language that has the
+most, up to 2**``MOST_LOG2`` slots (16 MB with 8 languages, 128 MB with 64).  Beyond, all
+n-grams still go in: false positives become more frequent, and the correction grows.
+Slots are set on the executors; the driver gets one row a slot in use.
+
 Texts that are null or hold no letter get ``und`` and score 0.  Without any training
-text every prediction is ``und``.  Up to 64 languages; more raise an error.
+text every prediction is ``und``.  Up to 64 languages; more raise an error.  Repeated rows
+count as often as they occur; only doc_id, text and lang are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import code_points, map_batches, texts, window_hashes
+from commlens.llm.common import SLICE, code_points, grouped, map_batches, texts, window_hashes, written
 
-NGRAM, SLOTS_LOG2, HASHES = 4, 20, 3
-MIN_SHARE, MAX_RATIO = 2e-5, 0.2
+NGRAM, HASHES, SLOTS_EACH, MOST_LOG2 = 4, 3, 10, 24
+MAX_RATIO = 0.2
 _OTHER = regex.compile(r"[^\p{L}\p{M}']+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -40,44 +48,59 @@ def _grams(docs: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams, and the text each belongs to; none spans two texts."""
     codes, starts = code_points(docs)
     h = window_hashes(codes, n)
-    owner = np.repeat(np.arange(len(docs)), np.diff(starts))
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(starts))
     if len(h) == 0:
         return h, owner[:0]
     same = owner[: len(h)] == owner[n - 1 :]
     return h[same], owner[: len(h)][same]
 
 
+def _parts(docs: list[str], n: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Normalised texts in groups of bounded size; long ones in parts that share n - 1 characters."""
+    for a, b in grouped(docs):
+        clean = [_normal(d) for d in docs[a:b]]
+        if b - a > 1:
+            yield np.arange(a, b), clean
+            continue
+        for at in range(0, max(1, len(clean[0]) - n + 1), SLICE):
+            yield np.array([a]), [clean[0][at : at + SLICE + n - 1]]
+
+
+def _places(h: np.ndarray, log2: int) -> list[np.ndarray]:
+    """The slots of each n-gram."""
+    low = np.uint64((1 << log2) - 1)
+    a, b = h & low, (h >> np.uint64(log2)) | np.uint64(1)
+    return [((a + np.uint64(i) * b) & low).astype(np.int64) for i in range(HASHES)]
+
+
 class Filters:
-    """The bit-sliced filters; about 8 MB, whatever the corpus."""
-
-    def __init__(self, grams: dict[str, np.ndarray], n: int = NGRAM):
-        if len(grams) > 64:
-            raise ValueError("more than 64 languages")
-        self.languages, self.n = sorted(grams), n
-        self.slots = np.zeros(1 << SLOTS_LOG2, dtype=np.uint64)
-        for k, lang in enumerate(self.languages):
-            for at in self._places(grams[lang].astype(np.int64).view(np.uint64)):
-                self.slots[np.unique(at)] |= np.uint64(1 << k)
-        fill = [float(((self.slots >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(self.languages))]
+    """The bit-sliced filters."""
+
+    def __init__(self, languages: list[str], log2: int, at: np.ndarray, mask: np.ndarray, n: int = NGRAM):
+        self.languages, self.log2, self.n = languages, log2, n
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(k).itemsize)
+        self.slots = np.zeros(1 << log2, dtype=kind)
+        self.slots[at] = mask.astype(np.int64).view(np.uint64).astype(kind)
+        fill = [float(np.count_nonzero(self.slots & kind(1 << k))) / len(self.slots) for k in range(len(languages))]
         self.false_rate = np.array(fill) ** HASHES
 
-    @staticmethod
-    def _places(h: np.ndarray) -> list[np.ndarray]:
-        a = h & np.uint64((1 << SLOTS_LOG2) - 1)
-        b = (h >> np.uint64(SLOTS_LOG2)) | np.uint64(1)
-        return [((a + np.uint64(i) * b) & np.uint64((1 << SLOTS_LOG2) - 1)).astype(np.int64) for i in range(HASHES)]
+    def hits(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams of each text, and how many of them each language's filter holds."""
+        n = np.zeros(len(docs))
+        hits = np.zeros((len(docs), max(1, len(self.languages))))
+        for index, part in _parts(docs, self.n):
+            h, owner = _grams(part, self.n)
+            n[index] += np.bincount(owner, minlength=len(part))
+            mask = np.full(len(h), ~self.slots.dtype.type(0))
+            for at in _places(h, self.log2):
+                mask &= self.slots[at]
+            for k in range(len(self.languages)):
+                hits[index, k] += np.bincount(owner[(mask & self.slots.dtype.type(1 << k)) != 0], minlength=len(part))
+        return n, hits
 
     def predict(self, docs: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score (its share of all corrected counts) of each text."""
-        clean = [_normal(d) for d in docs]
-        h, owner = _grams(clean, self.n)
-        n = np.bincount(owner, minlength=len(docs)).astype(float)
-        mask = np.full(len(h), ~np.uint64(0))
-        for at in self._places(h):
-            mask &= self.slots[at]
-        hits = np.zeros((len(docs), max(1, len(self.languages))))
-        for k in range(len(self.languages)):
-            hits[:, k] = np.bincount(owner, weights=((mask >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=len(docs))
+        n, hits = self.hits(docs)
         if self.languages:
             hits = np.maximum(0, (hits - n[:, None] * self.false_rate) / (1 - np.minimum(self.false_rate, 0.999)))
         best, total = hits.argmax(axis=1), hits.sum(axis=1)
@@ -86,37 +109,51 @@ class Filters:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known, strict=True)], np.where(known, score, 0.0)
 
 
-def train(docs: DataFrame, n: int = NGRAM, min_share: float = MIN_SHARE, max_ratio: float = MAX_RATIO) -> Filters:
+def train(docs: DataFrame, n: int = NGRAM, max_ratio: float = MAX_RATIO) -> Filters:
     """Fit on all rows of ``docs`` (text, lang) with a language."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        langs = b.column(b.schema.get_field_index("lang")).to_pylist()
-        h, owner = _grams([_normal(d) for d in texts(b)], n)
-        if not len(h):
-            return None
-        names, code = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
+        names, code = np.unique(np.array(b.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True)
+        grams: list[list[np.ndarray]] = [[] for _ in names]
+        for index, part in _parts(texts(b), n):
+            h, owner = _grams(part, n)
+            lang = code[index][owner]
+            for k in range(len(names)):
+                grams[k].append(h[lang == k])
         out = []
-        for k, name in enumerate(names):
-            g, c = np.unique(h[code[owner] == k], return_counts=True)
+        for name, x in zip(names, grams, strict=True):
+            g, c = np.unique(np.concatenate(x), return_counts=True)
             out.append(pa.RecordBatch.from_arrays([pa.array([str(name)] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "gram", "n"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(len(x) for x in out) else None
 
+    spark = docs.sparkSession
     counts = map_batches(docs.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), count, "lang string, gram long, n long")
-    totals = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = totals.persist()
-    sizes = totals.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = totals.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= min_share)
-    top = share.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = share.join(top, "gram").where(F.col("share") >= max_ratio * F.col("top")).select("lang", "gram")
-    table = kept.toArrow()  # at most languages / min_share rows
-    totals.unpersist()
-    lang, gram = table.column("lang").to_numpy(zero_copy_only=False), table.column("gram").to_numpy()
-    return Filters({x: gram[lang == x] for x in sorted(set(lang))}, n)
+    totals = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    sizes = totals.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("grams")).limit(65).collect()  # a row a language
+    if len(sizes) > 64:
+        raise ValueError("more than 64 languages")
+    languages = sorted(r.lang for r in sizes)
+    log2 = min(MOST_LOG2, max(10, (SLOTS_EACH * max((r.grams for r in sizes), default=0)).bit_length()))
+    if not languages:
+        return Filters([], log2, np.zeros(0, np.int64), np.zeros(0, np.int64), n)
+    bit = {x: (1 << k) - (1 << 64 if k == 63 else 0) for k, x in enumerate(languages)}
+    table = spark.createDataFrame([(r.lang, bit[r.lang], r.total) for r in sizes], "lang string, bit long, total long")
+    share = totals.join(F.broadcast(table), "lang").select("gram", "bit", (F.col("n") / F.col("total")).alias("share"))
+    met = share.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("bit", "share")).alias("x"))  # at most a row a language
+    own = F.filter("x", lambda e: e["share"] >= max_ratio * F.col("top"))
+    masks = met.select("gram", F.aggregate(own, F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(e["bit"])).alias("mask"))
+
+    def place(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.concatenate(_places(b.column(0).to_numpy().view(np.uint64), log2))
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(b.column(1).to_numpy(), HASHES))], ["at", "mask"])
+
+    slots = map_batches(masks, place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2**MOST_LOG2 rows
+    return Filters(languages, log2, slots.column("at").to_numpy(), slots.column("mask").to_numpy(), n)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # about 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most 2**MOST_LOG2 slots
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = shared.value.predict(texts(b))

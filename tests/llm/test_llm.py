@@ -259,7 +259,7 @@ def test_every_license_rule_matches_its_own_sample():
 def test_creative_commons_names(name):
     label = "cc-" + name.replace(" ", "-")
     for text in (f"cc {name}", f"cc-{name.replace(' ', '-')}", f"CC {name.replace(' ', '-').upper()} 4.0", f"CC-{name.upper()}"):
-        assert [x for x, _, _ in license_scan.detect(f"licensed under {text}.")] == [label], text
+        assert [x for x, *_ in license_scan.detect(f"licensed under {text}.")] == [label], text
 
 
 # ---- licences, URLs -----------------------------------------------------------------
@@ -414,7 +414,7 @@ def test_every_vector_gets_its_full_number_of_neighbours(spark, n):
     assert got.tolist() == [min(10, n - 1)] * n
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, f"{noise(rng, 25).capitalize()}. {noise(rng, 6).capitalize()}.") for i in range(60)] + [(90, ""), (91, None), (None, "x y")]
     texts = [noise(rng, 300) for _ in range(40)]
@@ -428,11 +428,69 @@ def test_decontamination(spark):
     texts[1] += " " + items[3][1].split(".")[0]  # the question alone
     bench = spark.createDataFrame(items, "item_id long, text string")
     frame = docs(spark, texts + ODD)
-    out = {(r.doc_id, r.item_id) for r in decontam.find_contaminated(frame, bench).collect()}
-    assert out == set(planted.items())
+    out = {tuple(r) for r in decontam.find_contaminated(frame, bench).collect()}
+    assert {r[:2] for r in out} == set(planted.items())
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 2000)
+    parts = list(decontam.indexes(bench, 2000))
+    assert len(parts) > 3 and sum(len(x.ids) for x in parts) == len(items)
+    assert {tuple(r) for r in decontam.find_contaminated(frame, bench).collect()} == out  # scores and overlaps too
     clean = decontam.keep_clean(frame, bench)
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts + ODD))) - set(planted) and clean.columns == frame.columns
     assert decontam.find_contaminated(frame, bench.limit(0)).count() == 0
+    assert decontam.find_contaminated(docs(spark, []), bench).count() == 0
+
+
+def test_an_item_without_id_does_not_leak(spark):
+    rng = random.Random(12)
+    item = f"{noise(rng, 40).capitalize()}. {noise(rng, 9).capitalize()}."
+    bench = spark.createDataFrame([(None, item), (4, noise(rng, 30))], "item_id long, text string")
+    edited = item.split()
+    edited[44] = "changed"  # one word of the answer
+    frame = docs(spark, [item, " ".join(edited), noise(rng, 60)])
+    assert [(r.doc_id, r.item_id) for r in decontam.find_contaminated(frame, bench).orderBy("doc_id").collect()] == [(0, None), (1, None)]
+    assert [r.doc_id for r in decontam.keep_clean(frame, bench).collect()] == [2]
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Every passage against every item, by the definitions and without an index."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(13)
+    words = [noise(rng, 1) for _ in range(80)]
+    items = [" ".join(rng.choices(words, k=rng.randrange(8, 40))) + ". " + " ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(25)]
+    texts = []
+    for i in range(40):
+        base = rng.choices(words, k=rng.randrange(0, 300))
+        item = rng.choice(items).split()
+        for _ in range(i % 5):
+            item[rng.randrange(len(item))] = rng.choice(words)
+        at = rng.randrange(len(base) + 1)
+        texts.append(" ".join([*base[:at], *item, *base[at:]] if i % 4 else base))
+    split = [decontam.words_of(x) for x in items]
+    df, mean = Counter(w for s in split for w in set(s)), sum(map(len, split)) / len(split)
+    window, expected = max(64, 2 * max(map(len, split))), set()
+
+    def runs(x, n):
+        return {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if n else set()
+
+    for d, t in enumerate(texts):
+        doc = decontam.words_of(t)
+        for begin in range(0, max(1, len(doc)), window // 2):
+            passage = doc[begin : begin + window]
+            for i, (s, x) in enumerate(zip(split, items, strict=True)):
+                weight = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(s) / mean)) for w, c in Counter(s).items()}
+                score = sum(x for w, x in weight.items() if w in set(passage)) / sum(weight.values())
+                shares = []
+                halves = decontam.question_and_answer(x)
+                for part, other in (halves, halves[::-1]):
+                    n = min(len(part), 5 if len(part) >= 30 else 2 if len(part) >= 12 or len(other) < 12 else 1)
+                    shares.append(len(runs(part, n) & runs(passage, n)) / len(runs(part, n)) if part else 1.0)
+                if score >= 0.6 - 1e-9 and min(shares) >= 0.8:
+                    expected.add((d, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_contaminated(docs(spark, texts), bench).collect()}
+    assert found == expected and len(expected) > 8
 
 
 def test_wand_returns_all_above_the_threshold():
@@ -440,12 +498,12 @@ def test_wand_returns_all_above_the_threshold():
     index = decontam.Index([(i, noise(rng, 12) + " the of and") for i in range(200)])
     for _ in range(60):
         i = rng.randrange(200)
-        terms = sorted(rng.sample(range(len(index.term)), 20) + [t for t in range(len(index.term)) if i in index.lists[t][0] and rng.random() < 0.8])
+        terms = sorted(rng.sample(range(len(index.term)), 20) + [t for t in range(len(index.term)) if i in index.item[index.at[t] : index.at[t + 1]] and rng.random() < 0.8])
         terms = sorted(set(terms))
         full = {}
         for t in terms:
-            for k, x in zip(*index.lists[t], strict=True):
-                full[k] = full.get(k, 0) + x
+            for k in range(index.at[t], index.at[t + 1]):
+                full[int(index.item[k])] = full.get(int(index.item[k]), 0) + index.share[k]
         for threshold in (0.1, 0.4, 0.6):
             assert {k for k, _ in index.search(terms, threshold)} == {k for k, x in full.items() if x >= threshold - 1e-6}
 

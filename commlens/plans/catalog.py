@@ -641,6 +641,21 @@ def memory_topk(spark, sf_dir):
     return X.top_memories(_relevance(spark, sf_dir), ["source"], "relevance", "doc_id").select("source", "doc_id", F.col("place").cast("long").alias("place"))
 
 
+_RETRIEVED = f"""{_TFIDF},
+parts AS (SELECT source, doc_id, pow(0.995, doc_id % 500) AS r, n_chars AS i, relevance AS v FROM rel JOIN documents USING (doc_id, source)),
+scaled AS (SELECT source, doc_id, round({" + ".join(f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 1 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END" for c in "riv")}, 9) AS score FROM parts WINDOW w AS (PARTITION BY source))"""
+
+
+@query(f"{_RETRIEVED} SELECT source, doc_id, round(score, 5) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM scaled) WHERE place <= 8")
+def memory_retrieve(spark, sf_dir):
+    def scorer(items, *columns):
+        return X.tfidf_relevance(items, *columns, token="[a-z0-9_]{2,}").withColumn("relevance", F.round("relevance", 5))
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars", (F.col("doc_id") % 500).alias("hours"), F.lit("the of de la que der und").alias("query"))
+    out = X.retrieve(d, "source", "doc_id", "text", "query", "n_chars", "hours", relevance=scorer)
+    return out.select("source", "doc_id", F.round("score", 5).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT conv_id, turn // 3 AS batch, turn FROM conversations SEMI JOIN (SELECT conv_id, turn // 3 AS b FROM conversations GROUP BY 1, 2 HAVING count(*) = 3) f ON f.conv_id = conversations.conv_id AND f.b = conversations.turn // 3")
 def reflection_batches(spark, sf_dir):
     return X.reflection_batches(read(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 3).select("conv_id", "batch", "turn")

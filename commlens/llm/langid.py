@@ -31,10 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import SLICE, code_points, grouped, map_batches, texts, window_hashes, written
+from commlens.llm.common import SLICE, code_points, grouped, keep_rows, map_batches, texts, window_hashes, written
 
 NGRAM, HASHES, SLOTS_EACH, MOST_LOG2 = 4, 3, 10, 24
 MAX_RATIO = 0.2
+#: Labelled texts on which the typical coverage is measured, at most.
+SAMPLE = 5000
 _OTHER = regex.compile(r"[^\p{L}\p{M}']+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -98,15 +100,20 @@ class Filters:
                 hits[index, k] += np.bincount(owner[(mask & self.slots.dtype.type(1 << k)) != 0], minlength=len(part))
         return n, hits
 
-    def predict(self, docs: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score (its share of all corrected counts) of each text."""
+    def measure(self, docs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language of each text, score (its share of all corrected counts) and coverage (its share of the text's n-grams)."""
         n, hits = self.hits(docs)
         if self.languages:
             hits = np.maximum(0, (hits - n[:, None] * self.false_rate) / (1 - np.minimum(self.false_rate, 0.999)))
         best, total = hits.argmax(axis=1), hits.sum(axis=1)
-        score = np.where(total > 0, hits[np.arange(len(docs)), best] / np.maximum(total, 1e-12), 0.0)
-        known = [bool(self.languages) and bool(_LETTER.search(d)) for d in docs]
-        return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known, strict=True)], np.where(known, score, 0.0)
+        most = hits[np.arange(len(docs)), best]
+        known = np.array([bool(self.languages) and bool(_LETTER.search(d)) for d in docs], dtype=bool)
+        lang = [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return lang, np.where(known & (total > 0), most / np.maximum(total, 1e-12), 0.0), np.where(known, most / np.maximum(n, 1), 0.0)
+
+    def predict(self, docs: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        return self.measure(docs)[:2]
 
 
 def train(docs: DataFrame, n: int = NGRAM, max_ratio: float = MAX_RATIO) -> Filters:
@@ -160,3 +167,36 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
+
+
+def typical_coverage(docs: DataFrame, filters: Filters, sample: int = SAMPLE) -> float:
+    """The median coverage of labelled texts; of at most ``sample`` ids, taken in an order by hash."""
+    order = F.xxhash64("doc_id", F.lit("coverage"))
+    some = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    ids = written(some.select("doc_id").orderBy(order, "doc_id").limit(sample).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shared.value.measure(texts(b))[2])], ["coverage"])
+
+    return map_batches(some.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text"), run, "coverage double").agg(F.median("coverage")).first()[0] or 0.0
+
+
+def keep_covered(docs: DataFrame, filters: Filters, share: float) -> DataFrame:
+    """Rows whose text is in one of the languages, with all their columns.
+
+    The language's n-grams must cover the text to ``share`` of what they cover of a typical
+    labelled text.  This cut is fitted, and does not depend on the number of languages as a
+    share of all hits would.  Texts without a letter go; without any language to learn from,
+    all others stay.
+    """
+    if not filters.languages:
+        return keep_rows(docs, lambda t: [bool(_LETTER.search(d)) for d in t])
+    least = share * typical_coverage(docs, filters)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def keep(t: list[str]) -> np.ndarray:
+        lang, _, coverage = shared.value.measure(t)
+        return (coverage >= least) & np.array([x != "und" for x in lang], dtype=bool)
+
+    return keep_rows(docs, keep)

@@ -47,7 +47,7 @@ def folder(spark, tmp_path_factory):
     rows += [(320 + i, rows[20 + i][1] + " coda", "bb") for i in range(10)]  # near copies
     items = [(i, f"{text('aa', 40).capitalize()}. {text('aa', 20).capitalize()}.") for i in range(8)] + [(None, f"{text('bb', 40).capitalize()}. {text('bb', 20)}."), (90, ""), (91, None)]
     rows += [(400 + i, f"{text('cc', 30)} {items[i][1]} {text('cc', 30)}", "cc") for i in (0, 3, 8)]
-    rows += [(500, None, "aa"), (501, "", "aa"), (502, " \n\t", None), (503, "12 !?", None), (504, "漢字 кот", None), (7, rows[7][1], "aa"), (7, "another text of the same id", "aa"), (None, rows[9][1], "bb"), (505, "short", "aa"), (506, "short", "aa")]
+    rows += [(500, None, "aa"), (501, "", "aa"), (502, " \n\t", None), (503, "12 !?", None), (504, "漢字 кот", None), (7, rows[7][1], "aa"), (7, "another text of the same id", "aa"), (None, rows[9][1], "bb"), (505, "short", "aa"), (506, "short", "aa"), (507, "xyzzy qwfpg jluyb vkmhz " * 20, None)]
     rows += [(600, text("bb", 40_000), "bb"), (601, "z" * 70_000 + " " + text("aa", 200), "aa")]
     extra = {k: F.lit(v) for k, v in CLASH.items()}
     where = str(tmp_path_factory.mktemp("tables"))
@@ -333,7 +333,7 @@ def test_stages_keep_columns_and_take_odd_and_empty_tables(spark, folder, docume
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert {500, 501, 502} <= set(left["toxicity"])  # without words: not rejected
     assert not {0, 6, 12, 18} & set(left["toxicity"])
-    assert not {500, 501, 502, 503} & set(left["language"]) and {1, 2, 3} <= set(left["language"])
+    assert not {500, 501, 502, 503, 504, 507} & set(left["language"]) and {1, 2, 3} <= set(left["language"])
     assert not {400, 403, 408} & set(left["decontamination"]) and len(left["decontamination"]) == len(documents) - 3
     assert left["near_duplicates"].count(7) == 2 and not set(range(300, 310)) & set(left["near_duplicates"])
     assert not set(range(320, 330)) & set(left["near_duplicates"])
@@ -341,6 +341,11 @@ def test_stages_keep_columns_and_take_odd_and_empty_tables(spark, folder, docume
     assert last(spark, docs.limit(0), folder).count() == 0 and last(spark, docs, folder).count() == len(documents)
 
 
+def test_without_languages_only_texts_without_letters_go(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()] == [1]
+
+
 def test_the_whole_pipeline_is_its_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:

@@ -123,6 +123,81 @@ _TEXTS = {
     "epl-2": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
 }
 
+# label: more sentences of licence texts and notices, without their punctuation (a space
+# stands for that as well)
+_NOTICES = {
+    "mit": ["the software is provided as is without warranty of any kind express or implied", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", "to deal in the software without restriction including without limitation the rights"],
+    "isc": ["the software is provided as is and the author disclaims all warranties with regard to this software"],
+    "0bsd": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"],
+    "bsd": ["redistributions of source code must retain the above copyright notice", "this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is and any express or implied warranties"],
+    "bsd-4-clause": ["this product includes software developed by the university of california"],
+    "apache-2": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "see the license for the specific language governing permissions and limitations", "each contributor hereby grants to you a perpetual worldwide", "www\\.apache\\.org/licenses/license-2\\.0"],
+    "apache-1.1": ["this product includes software developed by the apache software foundation"],
+    "gpl": ["this program is distributed in the hope that it will be useful but without any warranty", "you should have received a copy of the gnu general public licen[sc]e", "www\\.gnu\\.org/licenses/gpl"],
+    "gpl-2": ["either version 2 of the licen[sc]e or at your option any later version", "the licenses for most software are designed to take away your freedom to share and change it"],
+    "gpl-3": ["either version 3 of the licen[sc]e or at your option any later version", "the gnu general public license is a free copyleft license for software and other kinds of works"],
+    "lgpl": ["you should have received a copy of the gnu lesser general public licen[sc]e", "www\\.gnu\\.org/licenses/lgpl"],
+    "lgpl-2.1": ["either version 2\\.1 of the licen[sc]e or at your option any later version"],
+    "lgpl-3": ["this version of the gnu lesser general public license incorporates the terms and conditions of version 3"],
+    "agpl-3": ["you should have received a copy of the gnu affero general public licen[sc]e", "interacting with it remotely through a computer network"],
+    "gfdl": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation"],
+    "mpl-2": ["if a copy of the mpl was not distributed with this file you can obtain one", "incompatible with secondary licenses as defined by the mozilla public"],
+    "mpl-1.1": ["the contents of this file are subject to the mozilla public license version 1\\.1"],
+    "epl-1": ["the accompanying program is provided under the terms of this eclipse public license"],
+    "cddl-1": ["the contents of this file are subject to the terms of the common development and distribution"],
+    "cpl-1": ["the accompanying program is provided under the terms of this common public license"],
+    "artistic-1": ["the package is provided as is and without any express or implied warranties including without limitation the implied warranties of merchantibility"],
+    "artistic-2": ["this license establishes the terms under which a given free software package may be copied modified distributed"],
+    "zlib": ["this notice may not be removed or altered from any source distribution", "in no event will the authors be held liable for any damages arising from the use of this software"],
+    "boost-1": ["distributed under the boost software license version 1\\.0", "www\\.boost\\.org/license_1_0\\.txt"],
+    "unlicense": ["anyone is free to copy modify publish use compile sell or distribute this software"],
+    "wtfpl": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
+    "cc0-1": ["the person who associated a work with this deed has dedicated the work to the public domain"],
+    "cc-by": ["this work is licensed under a creative commons attribution (?:[234]\\.[05] )?(?:international |unported |generic )?licen[sc]e"],
+    "cc-by-sa": ["this work is licensed under a creative commons attribution share ?alike"],
+    "cc-by-nc": ["this work is licensed under a creative commons attribution non ?commercial (?:[234]\\.[05] )?(?:international |unported |generic )?licen[sc]e"],
+    "ofl-1.1": ["the font software may be bundled redistributed and or sold with any software", "reserved font name"],
+    "python-2": ["psf is making python available to licensee on an as is basis", "psf hereby grants licensee a nonexclusive royalty-free"],
+    "php-3": ["this product includes php software freely available from"],
+    "openssl": ["this product includes software developed by the openssl project for use in the openssl toolkit"],
+    "postgresql": ["this software and its documentation for any purpose without fee and without a written agreement is hereby granted"],
+    "ncsa": ["to deal with the software without restriction including without limitation the rights"],
+    "w3c": ["by obtaining using and or copying this work you the licensee agree that you have read understood and will comply"],
+    "ms-pl": ["this license governs use of the accompanying software if you use the software you accept this license"],
+    "eupl": ["licensed under the eupl", "european union public licence v\\. 1\\.[12]"],
+    "cecill": ["this software is governed by the cecill"],
+    "sspl-1": ["offering the program as a service to third parties"],
+    "busl-1.1": ["grants you the right to copy modify create derivative works redistribute and make non-production use of the licensed work"],
+    "elastic-2": ["you may not provide the software to third parties as a hosted or managed service"],
+    "odbl-1": ["made available under the open database licen[sc]e"],
+    "odc-by": ["made available under the open data commons attribution"],
+    "pddl-1": ["public domain dedication and licen[sc]e", "open data commons pddl"],
+    "llama": ["llama 2 community licen[sc]e", "llama 3(?:\\.[0-9])? community licen[sc]e", "meta llama (?:[23] )?is licensed under"],
+    "gemma": ["gemma terms of use"],
+    "commons-clause": ["commons clause licen[sc]e condition", "the license does not grant to you the right to sell the software"],
+    "polyform": ["polyform noncommercial licen[sc]e", "polyform small business licen[sc]e", "polyform shield licen[sc]e", "polyform perimeter licen[sc]e"],
+    "hippocratic": ["hippocratic licen[sc]e"],
+    "mulan": ["mulan permissive software licen[sc]e"],
+    "vim": ["vim licen[sc]e"],
+    "nasa": ["nasa open source agreement"],
+    "ipl-1": ["ibm public licen[sc]e"],
+    "lucent": ["lucent public licen[sc]e"],
+    "sun": ["sun public licen[sc]e", "sun industry standards source licen[sc]e"],
+    "apsl": ["apple public source licen[sc]e"],
+    "qpl": ["q public licen[sc]e"],
+    "sleepycat": ["sleepycat licen[sc]e"],
+    "watcom": ["sybase open watcom public licen[sc]e"],
+    "zpl": ["zope public licen[sc]e"],
+    "icu": ["icu licen[sc]e"],
+    "ijg": ["this software is based in part on the work of the independent jpeg group"],
+    "ftl": ["freetype project licen[sc]e", "portions of this software are copyright \\w+ the freetype project"],
+    "lppl": ["latex project public licen[sc]e"],
+    "bitstream-vera": ["bitstream vera fonts copyright"],
+    "ogl": ["open government licen[sc]e", "contains public sector information licensed under"],
+    "public-domain": ["this work is in the public domain", "dedicated to the public domain", "not subject to copyright protection (?:and is )?in the united states"],
+    "proprietary": ["unauthorized copying of this file via any medium is strictly prohibited", "may not be reproduced distributed or transmitted in any form without (?:the )?prior written permission", "this software is the confidential and proprietary information of", "the software is licensed not sold", "by installing or using the software you agree to (?:be bound by )?the terms of this (?:end user )?licen[sc]e agreement"],
+}
+
 #: What may stand between two words of a phrase.
 _GAP = r"[\s\p{P}\p{S}]{1,12}"
 
@@ -153,7 +228,7 @@ def rules() -> tuple[list[tuple[str, int, regex.Pattern]], ahocorasick.Automaton
             add(label, 1, i.lower(), rf"licen[sc]e[sd]?[\"']?\s*[:=]\s*[\"'\[(]*{regex.escape(i.lower())}(?![\w.+-])")
         for n in names:
             add(label, 3, _keyword(n), n)
-    for label, sentences in _TEXTS.items():
+    for label, sentences in [*_TEXTS.items(), *_NOTICES.items()]:
         for s in sentences:
             add(label, 2, _keyword(s), s)
     automaton = ahocorasick.Automaton()

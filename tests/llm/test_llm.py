@@ -239,7 +239,7 @@ def test_every_license_rule_matches_its_own_sample():
     for label, (ids, names) in license_scan._NAMES.items():
         own += [(label, [x]) for i in ids for x in (f"SPDX-License-Identifier: {i}", f"license: {i}")]
         own += [(label, samples(n)) for n in names]
-    own += [(label, samples(s)) for label, sentences in license_scan._TEXTS.items() for s in sentences]
+    own += [(label, samples(s)) for label, sentences in [*license_scan._TEXTS.items(), *license_scan._NOTICES.items()] for s in sentences]
     table, automaton = license_scan.rules()
     assert len(own) == len(table)
     by_label = {}

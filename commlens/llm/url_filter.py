@@ -13,7 +13,9 @@ corpus.  URLs are reduced to host and path first (the scheme, query and fragment
 nothing of the site), and every distinct one is scored once.
 
 Null URLs and URLs without "://" have an empty host and path and are allowed (no evidence).
-Without URLs of both classes every unruled URL is allowed.
+Without URLs of both classes every unruled URL is allowed.  Repeated URLs count as often as
+they occur and get equal results; an empty table gives an empty table; ties (a URL at the cut)
+are allowed.  Only page_id and url are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commlens.llm.common import written
+
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ORDER = 4
@@ -64,9 +68,11 @@ def probabilities(urls: DataFrame, order: int = ORDER) -> DataFrame:
     ``urls`` holds u and the weights a and b (how many accepted and rejected URLs are u).
     """
     level = _grams(urls, order).groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    level = written(level)  # each level is read twice, and the next shorter one comes from it
     levels = {order: level}
     for k in range(order - 1, -1, -1):
         level = level.groupBy(F.substr("g", F.lit(2)).alias("g")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        level = written(level)
         levels[k] = level
     p = None
     for k in range(order + 1):
@@ -89,7 +95,9 @@ def judge(pages: DataFrame) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     ruled = parts.withColumns({"rule": rule, "verdict": verdict, "u": F.concat("host", "path")})
     distinct = ruled.groupBy("u").agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
-    # a row for each of a URL's n-grams meets its probability; their mean is the score
+    distinct = written(distinct)
+    # a row for each of a URL's n-grams meets its probability; their mean is the score.
+    # Common n-grams have many rows on this side and one on the other: adaptive joins split them
     pieces = _grams(distinct, ORDER)
     scored = pieces.join(probabilities(distinct), "g").groupBy("u").agg(F.round(F.avg("llr"), 9).alias("llr"), F.first("a").alias("a"), F.first("b").alias("b"))
     moments = scored.agg(*[F.sum(F.col(c) * x).alias(f"{c}{n}") for c in "ab" for n, x in enumerate([F.lit(1.0), F.col("llr"), F.col("llr") * F.col("llr")])])

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import SLICE, code_points, grouped, keep_rows, map_batches, texts, window_hashes, written
+from commlens.llm.common import SLICE, code_points, forget, grouped, keep_rows, map_batches, texts, window_hashes, written
 
 NGRAM, HASHES, SLOTS_EACH, MOST_LOG2 = 4, 3, 10, 24
 MAX_RATIO = 0.2
@@ -155,6 +155,7 @@ def train(docs: DataFrame, n: int = NGRAM, max_ratio: float = MAX_RATIO) -> Filt
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(b.column(1).to_numpy(), HASHES))], ["at", "mask"])
 
     slots = map_batches(masks, place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2**MOST_LOG2 rows
+    forget(totals)
     return Filters(languages, log2, slots.column("at").to_numpy(), slots.column("mask").to_numpy(), n)
 
 

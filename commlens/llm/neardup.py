@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import IdFilter, grouped, map_batches, mix64, slices, texts, written
+from commlens.llm.common import IdFilter, forget, grouped, map_batches, mix64, slices, texts, written
 from commlens.llm.components import connected_components
 from commlens.llm.words import hashed_words
 
@@ -236,7 +236,10 @@ def _roots(docs: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFr
     late = dealt.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary")
     found = connected_components(stars.unionAll(late))
     by_class = classes.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    return written(by_class)
+    by_class = written(by_class)
+    for used in (member, bucket, held, led, sets, stars, rest):
+        forget(used)
+    return by_class
 
 
 def components(docs: DataFrame, n: int, percent: int) -> DataFrame:

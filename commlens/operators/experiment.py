@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from commlens.functions.prompts import direction
 from commlens.functions.text import deterministic_choice, seeded_order, short_id
-from commlens.operators.ranks import average_ranks, medians, positions
+from commlens.operators.ranks import average_ranks, medians, positions, small
 from commlens.session import durable
 
 # The closed domains of a response.
@@ -89,18 +89,19 @@ def min_max(df: DataFrame, groups: list[str], column: str, alias: str) -> DataFr
 def tfidf_relevance(items: DataFrame, group: str, uid: str, text: str, query: str, token: str = r"(?U)\b\w\w+\b") -> DataFrame:
     """Cosine of smooth-idf tf-idf vectors of each item and its group's query.
 
-    The corpus of a group is its query and its items.  Everything is token rows and
-    aggregations with map-side combine.
+    The corpus of a group is its query and its items.  Texts are cut into words once; the
+    counts are written and serve both the document frequencies and the vectors.  Tables of
+    words are broadcast while they are small, so that a common word is no hot key.
     """
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(token), 0)).alias("w")
     queries = items.groupBy(group).agg(F.first(query).alias("q"), F.count(F.lit(1)).alias("n"))
     rows = items.select(group, F.col(uid).cast("string").alias("u"), words(F.col(text))).unionAll(queries.select(group, F.lit(None).cast("string").alias("u"), words(F.col("q"))))
-    tf = rows.groupBy(group, "u", "w").agg(F.count(F.lit(1)).alias("tf"))
+    tf = durable(rows.groupBy(group, "u", "w").agg(F.count(F.lit(1)).alias("tf")))
     idf = tf.groupBy(group, "w").agg(F.count(F.lit(1)).alias("df")).join(queries.select(group, "n"), group).select(group, "w", (F.log((F.col("n") + 2) / (F.col("df") + 1)) + 1).alias("idf"))
-    x = tf.join(idf, [group, "w"]).withColumn("x", F.col("tf") * F.col("idf"))
+    x = tf.join(small(idf), [group, "w"]).withColumn("x", F.col("tf") * F.col("idf"))
     asked = x.where("u IS NULL").select(group, "w", F.col("x").alias("y"))
     norm = asked.groupBy(group).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    dots = x.where("u IS NOT NULL").join(asked, [group, "w"], "left").groupBy(group, "u").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    dots = x.where("u IS NOT NULL").join(small(asked), [group, "w"], "left").groupBy(group, "u").agg(F.sum(F.col("x") * F.coalesce("y", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
     scored = dots.join(norm, group).select(group, "u", F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("dot") / (F.col("nx") * F.col("ny"))).alias("relevance"))
     return items.withColumn("u", F.col(uid).cast("string")).join(scored, [group, "u"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).drop("u")
 

@@ -47,9 +47,23 @@ def token_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
 
 
-@query()
+# a body is the text on one line, with one of four tails: a forwarded message, quoted lines, a
+# signature below its mark, contact lines without one
+_W = r"[\p{L}\p{M}\p{N}_]"
+_CONTACT_SQL = rf"(?i)\(\d{{3}}\)\s*\d{{3}}[-.\s]?\d{{4}}|(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|tel|telephone|fax|phone|mobile|cell|e-?mail|ext)(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])|(?:{_W}|[.+-])+@(?:{_W}|[.-])+\.{_W}{{2,}}"
+
+
+@query(
+    rf"""WITH x AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS line FROM documents)
+SELECT doc_id, trim(CASE WHEN k = 1 THEN line || chr(10) || 'last words' WHEN regexp_matches(line, '{_CONTACT_SQL}') THEN '' ELSE line END, ' ' || chr(10)) AS body_clean FROM x"""
+)
 def clean_body(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.clean_body(F.col("text")).alias("body_clean"))
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")
+    k = F.col("doc_id") % 4
+    tails = ["\n----- Original Message -----\nold", "\n> quoted\nlast words", "\n-- \nJo\n713-555-1234", "\n\n713-555-1234\n \t\nme@b.com\n"]
+    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (k + 1).cast("int"))
+    body = F.concat(F.when(k == 1, "> first\n").otherwise(""), line, tail)
+    return read(spark, sf_dir, "documents").select("doc_id", T.clean_body(body).alias("body_clean"))
 
 
 @query(

@@ -17,15 +17,19 @@
   with every vector.
 
 Lists of more than ``LIST_ROWS`` vectors (many equal vectors, which no clustering can
-part) are dealt over several parts by id; queries go to all parts.  So no task gets an
-unbounded list.  Every part returns its ten nearest of each query, which are merged.
+part) are dealt over several parts by id; queries go to all parts.  A list that more than
+``QUERY_ROWS`` queries probe gets them in several parts as well, and its vectors go to each.
+So no task gets an unbounded list.  Every part returns its ten nearest of each query, which
+are merged.
 
 The number of lists grows with the square root of the rows, so the centroids (and their
-graph) stay small: 100 million vectors have 40,000.
+graph) stay small: 100 million vectors have 10,000, fitted on 640,000 in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do
 vectors of another length than the first one's.  Equal distances go to the smaller id.  A
-repeated id keeps its nearest row.  Without vectors the result is empty.
+repeated id keeps its nearest row, and a repeated query the nearest to any of its rows.
+Without vectors the result is empty.  Only vec_id and embedding are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -45,7 +49,10 @@ from commlens.llm.common import map_batches, written
 LISTS_PER_ROOT, SAMPLE_PER_LIST, ROUNDS = 1.0, 64, 8
 REPLICAS, CLOSURE, APART = 4, 1.08, 0.25
 LINKS, FAR, TRIALS, RECALL = 16, 4, 256, 0.98
-LIST_ROWS = 4096
+#: Vectors of a list's part, and queries of a part, that meet in one task.
+LIST_ROWS, QUERY_ROWS = 4096, 8192
+#: Rows of a block of distances.
+_BLOCK = 2048
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -54,6 +61,11 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (x * x).sum(1)[:, None] - 2.0 * x @ c.T + (c * c).sum(1)[None, :])
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The centroid of the smallest squared distance plus ``more``, block by block."""
+    return np.concatenate([(_distances(x[a : a + _BLOCK], c) + more).argmin(axis=1) for a in range(0, len(x), _BLOCK)])
+
+
 class Lists:
     """Centroids and their graph."""
 
@@ -65,9 +77,8 @@ class Lists:
         load = np.zeros(k)
         for _ in range(ROUNDS):
             # a fuller list counts as farther, so that the lists come out even
-            d = _distances(sample, c)
-            typical = np.median(d.min(axis=1)) + 1e-12
-            near = (d + typical * 0.3 * np.maximum(0, load - 1)).argmin(axis=1)
+            typical = np.median(_distances(sample[:_BLOCK], c).min(axis=1)) + 1e-12
+            near = _nearest(sample, c, typical * 0.3 * np.maximum(0, load - 1))
             n = np.bincount(near, minlength=k)
             load = n * k / max(1, len(sample))
             total = np.zeros_like(c)
@@ -76,8 +87,8 @@ class Lists:
         self.c = c
         # the nearest centroids both ways, and a few far ones, so that no part is cut off
         links: list[set[int]] = [set(rng.integers(0, k, FAR).tolist()) for _ in range(k)]
-        for a in range(0, k, 1024):
-            d = _distances(c[a : a + 1024], c)
+        for a in range(0, k, _BLOCK):
+            d = _distances(c[a : a + _BLOCK], c)
             for i, row in enumerate(np.argsort(d, axis=1, kind="stable")[:, 1 : LINKS + 1].tolist(), a):
                 links[i].update(row)
                 for j in row:
@@ -88,6 +99,9 @@ class Lists:
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every place a vector is kept in."""
+        if len(x) > _BLOCK:
+            parts = [(a, *self.assign(x[a : a + _BLOCK])) for a in range(0, len(x), _BLOCK)]
+            return np.concatenate([r + a for a, r, _ in parts]), np.concatenate([p for _, _, p in parts])
         d = _distances(x, self.c)
         near = np.argpartition(d, min(2 * REPLICAS, d.shape[1]) - 1, axis=1)[:, : 2 * REPLICAS]
         rows, lists = [], []
@@ -167,7 +181,11 @@ class Lists:
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.array(column.to_pylist() if isinstance(column, pa.Array) else list(column), dtype=np.float64)
+    """Vectors of one length as rows."""
+    if isinstance(column, pa.Array):
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        return np.asarray(flat, dtype=np.float64).reshape(len(column), -1)
+    return np.array(list(column), dtype=np.float64)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -199,7 +217,7 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     def probe(b: pa.RecordBatch) -> pa.RecordBatch:
         to = [ready.value.probes(q) for q in _matrix(b.column(1))]
         at = [i for i, x in enumerate(to) for _ in x]
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([j for x in to for j in x], pa.int64()), b.column(1).take(pa.array(at))], ["query_id", "list", "q"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([j for x in to for j in x], pa.int64())], ["query_id", "list"])
 
     posts = written(map_batches(v, place, "vec_id long, list long, first boolean, embedding array<double>"))
     held = F.count_distinct(F.when(F.col("first"), F.col("vec_id"))).alias("held")
@@ -211,7 +229,8 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     model.calibrate(sample, counts, k)
     ready = spark.sparkContext.broadcast(model)
     posts = posts.join(parts, "list").select("vec_id", "list", "first", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
-    queries = map_batches(v.where(is_query), probe, "query_id long, list long, q array<double>")
+    asked = v.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = written(map_batches(v.where(is_query), probe, "query_id long, list long").distinct())
     many = parts.select(F.col("list").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -226,18 +245,27 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 out += [(query, i, s) for i, s in zip(ids[near].tolist(), d[near].tolist(), strict=True) if s < np.inf]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    def best(queries: DataFrame, posts: DataFrame) -> DataFrame:
-        """query_id, top: its k nearest among the posts of its lists' parts."""
-        found = queries.groupBy("list", "part").cogroup(posts.groupBy("list", "part")).applyInPandas(nearest, SCHEMA)
+    def best(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+        """query_id, top: its k nearest among the posts of its lists' parts.
+
+        A list that many queries probe gets them in several parts, and its posts go to each.
+        """
+        shares = pairs.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("shares"))  # a row a list
+        dealt = pairs.join(shares, "list").withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int")).drop("shares")
+        dealt = dealt.join(many, F.col("list") == F.col("to")).drop("to").join(asked, "query_id")
+        spread = posts.join(shares, "list").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        keys = ["list", "part", "share"]
+        found = dealt.select("query_id", "q", *keys).groupBy(*keys).cogroup(spread.select("vec_id", "embedding", *keys).groupBy(*keys)).applyInPandas(nearest, SCHEMA)
         one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         # at most k rows for each of a query's probes meet here
         return one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
 
     posts = posts.select("vec_id", "list", "part", "first", "embedding")
-    top = written(best(queries.join(many, F.col("list") == F.col("to")).select("query_id", "list", "part", "q"), posts))
+    top = written(best(pairs, posts))
     full = top.where(F.size("top") == k)
-    short = v.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(full, "query_id", "left_anti")
+    short = asked.select("query_id").distinct().join(full, "query_id", "left_anti")
     if not short.isEmpty():
-        everywhere = short.crossJoin(many).select("query_id", F.col("to").alias("list"), "part", "q")
+        # a stated set of queries against all rows, list by list
+        everywhere = short.crossJoin(parts.select("list"))
         top = full.unionAll(best(everywhere, posts.where("first")))
     return top.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.score")

@@ -10,7 +10,8 @@ Very long matches (over ``LONG_BYTES``) would make wide matrices, so they are me
 one by one with a heap; the merge order is the same.
 
 Nulls encode as empty texts (no ids); repeated rows give repeated results; an empty
-table gives an empty table.
+table gives an empty table; only doc_id and text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LONG_BYTES = 512
 MATRIX_CELLS = 1 << 21
 #: Chunks (and matches) a worker remembers in each of two generations.
 MEMO_CHUNKS = 100_000
+#: Characters of the longest one it remembers.
+LONGEST = 64
 _NONE = np.int32(2**31 - 1)
 
 
@@ -44,14 +47,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memo(dict):
-    """A bounded memo of two generations: what is still in use outlives a full one."""
+    """A memo of two generations, bounded in number and bytes: what is still in use outlives a full one.
+
+    Keys of more than ``LONGEST`` characters are held for one batch only.
+    """
 
     def __init__(self, most: int = MEMO_CHUNKS):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.old, self.long = most, {}, {}
+
+    def __missing__(self, key: str) -> bytes:
+        return self.long[key]
+
+    def learn(self, pairs: Iterable[tuple[str, bytes]]) -> None:
+        for k, v in pairs:
+            (self if len(k) <= LONGEST else self.long)[k] = v
 
     def turn(self) -> None:
-        """Start a new generation if this one is full."""
+        """Start a batch, and a new generation if this one is full."""
+        self.long.clear()
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
@@ -265,9 +279,8 @@ class ByteBPE(MatrixMerger):
             split = self._pieces(new)
             pieces = self.piece_memo
             if unknown := pieces.missing(set().union(*split)):
-                pieces.update(zip(unknown, self.merge([p.encode("utf-8", "surrogatepass") for p in unknown]), strict=True))
-            for c, s in zip(new, split, strict=True):
-                memo[c] = pieces[s[0]] if len(s) == 1 else b"".join([pieces[p] for p in s])
+                pieces.learn(zip(unknown, self.merge([p.encode("utf-8", "surrogatepass") for p in unknown]), strict=True))
+            memo.learn((c, pieces[s[0]] if len(s) == 1 else b"".join([pieces[p] for p in s])) for c, s in zip(new, split, strict=True))
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in chunked]
 
     def decode(self, ids: bytes) -> bytes:

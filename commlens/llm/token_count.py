@@ -40,8 +40,8 @@ from commlens.llm.common import map_batches, ragged, slices, texts
 CHUNK, OVERLAP = 32768, 512
 #: Words handed to the library in one call.
 _BATCH = 2048
-#: Words a worker remembers in each of two generations, and characters of the longest one.
-MEMO_WORDS, LONGEST = 450_000, 64
+#: Words a worker remembers in each of two generations.
+MEMO_WORDS = 450_000
 #: A pretokenizer that parts letters and digits from the marks after them, as it stands in a tokenizer file.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _MARKS = ".,;:!?*$%&#)]}\""
@@ -111,7 +111,7 @@ class WordEncoder:
             known = dict(zip(plain + odd, self._library(plain) + self._alone(odd), strict=True))
             for i in open_:
                 out[i] = known[words[i]]
-            memo.update((w, x) for w, x in known.items() if len(w) <= LONGEST)
+            memo.learn(known.items())
         return out
 
     @staticmethod

@@ -24,17 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from commlens.llm.common import map_batches, texts
+from commlens.llm.common import map_batches, ragged, texts
 
 #: Above this many bytes a match is merged with a heap, not in a matrix.
 LONG_BYTES = 512
 #: Rows of one matrix at most (memory: rows x bucket width x 12 bytes).
 MATRIX_CELLS = 1 << 21
 #: Chunks (and matches) a worker remembers in each of two generations.
-MEMO_CHUNKS = 100_000
+MEMO_CHUNKS = 150_000
 #: Characters of the longest one it remembers.
 LONGEST = 64
 _NONE = np.int32(2**31 - 1)
@@ -244,17 +245,6 @@ class ByteBPE(MatrixMerger):
         self.chunk_memo, self.piece_memo = Memo(), Memo()
         self.odd_space = regex.compile(r"\s[ ](?:\s|\Z)")
 
-    def _chunks(self, text: str) -> list[str]:
-        """Parts that can be matched one by one.
-
-        A match never runs from a non-space into a space, so a text may be cut before
-        every space, unless the space stands inside (or ends) a longer run of white space.
-        """
-        if self.odd_space.search(text):
-            return self.pattern.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
     def _pieces(self, chunks: list[str]) -> list[list[str]]:
         """Matches of each chunk; plain chunks are matched together, with line feeds between."""
         plain = [c for c in chunks if len(x := c.split()) == 1 and c in (x[0], " " + x[0])]
@@ -271,25 +261,52 @@ class ByteBPE(MatrixMerger):
             out[next(pieces)] = at
         return [out[c] if c in out else self.pattern.findall(c) for c in chunks]
 
-    def encode(self, docs: Iterable[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunked = [self._chunks(d) if d else [] for d in docs]
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk."""
         memo = self.chunk_memo
-        if new := memo.missing(set().union(*chunked)):
+        if new := memo.missing(set(chunks)):
             split = self._pieces(new)
             pieces = self.piece_memo
             if unknown := pieces.missing(set().union(*split)):
                 pieces.learn(zip(unknown, self.merge([p.encode("utf-8", "surrogatepass") for p in unknown]), strict=True))
             memo.learn((c, pieces[s[0]] if len(s) == 1 else b"".join([pieces[p] for p in s])) for c, s in zip(new, split, strict=True))
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in chunked]
+        return [memo[c] for c in chunks]
+
+    def encode(self, docs: Iterable[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A match never runs from a non-space into a space, so a text may be cut before every
+        space, unless the space stands inside (or ends) a longer run of white space.  Arrow
+        cuts the texts and numbers the distinct chunks, which are encoded once.
+        """
+        docs = list(docs)
+        out = [b""] * len(docs)
+        odd = [i for i, d in enumerate(docs) if self.odd_space.search(d)]
+        for i in odd:
+            out[i] = b"".join(self._known(self.pattern.findall(docs[i])))
+        whole = set(odd)
+        plain = [i for i in range(len(docs)) if i not in whole]
+        split = pc.split_pattern(pa.array([docs[i] for i in plain], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        # a text's first chunk has no space before it
+        known = self._known([" " + x for x in distinct] + [docs[i].split(" ", 1)[0] for i in plain])
+        at = np.asarray(split.offsets).astype(np.int64)
+        chunk = coded.indices.to_numpy(zero_copy_only=False).copy()
+        chunk[at[:-1]] = len(distinct) + np.arange(len(plain))
+        size = np.array([len(x) // 4 for x in known], dtype=np.int64)
+        n = size[chunk]
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        ids = flat[ragged((np.cumsum(size) - size)[chunk], n)].tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(n)])[at]).tolist()
+        for i, begin, end in zip(plain, ends, ends[1:], strict=False):
+            out[i] = ids[begin:end]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of ids given as little-endian unsigned 32-bit integers."""
-        index = np.frombuffer(ids, dtype="<u4").astype(np.int64)
-        sizes = self.token_sizes[index]
-        ends = sizes.cumsum()
-        total = int(ends[-1]) if len(ends) else 0
-        return self.token_bytes[np.repeat(self.token_starts[index] - ends + sizes, sizes) + np.arange(total)].tobytes()
+        index = np.frombuffer(ids, dtype="<u4")
+        return self.token_bytes[ragged(self.token_starts[index], self.token_sizes[index])].tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -109,7 +109,7 @@ class Filters:
         most = hits[np.arange(len(docs)), best]
         known = np.array([bool(self.languages) and bool(_LETTER.search(d)) for d in docs], dtype=bool)
         lang = [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-        return lang, np.where(known & (total > 0), most / np.maximum(total, 1e-12), 0.0), np.where(known, most / np.maximum(n, 1), 0.0)
+        return lang, np.where(known & (total > 0), most / np.maximum(total, 1e-12), 0.0), np.where(known, np.where(n > 0, most / np.maximum(n, 1), 1.0), 0.0)
 
     def predict(self, docs: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
@@ -188,8 +188,8 @@ def keep_covered(docs: DataFrame, filters: Filters, share: float) -> DataFrame:
 
     The language's n-grams must cover the text to ``share`` of what they cover of a typical
     labelled text.  This cut is fitted, and does not depend on the number of languages as a
-    share of all hits would.  Texts without a letter go; without any language to learn from,
-    all others stay.
+    share of all hits would.  Texts without a letter go; those with letters but too short for
+    an n-gram stay; without any language to learn from, all with a letter stay.
     """
     if not filters.languages:
         return keep_rows(docs, lambda t: [bool(_LETTER.search(d)) for d in t])

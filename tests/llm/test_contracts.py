@@ -344,6 +344,8 @@ def test_stages_keep_columns_and_take_odd_and_empty_tables(spark, folder, docume
 def test_without_languages_only_texts_without_letters_go(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "12", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()] == [1]
+    docs = spark.createDataFrame([(i, "plain words of some language " * 3, "aa") for i in range(9)] + [(10, "A.", None), (11, "xq zv", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [*range(9), 10]
 
 
 def test_the_whole_pipeline_is_its_stages(spark, folder):

@@ -260,6 +260,13 @@ def sent_folders(spark, sf_dir):
     return x.where(M.in_sent_folder(F.col("path"))).groupBy(C.T.path_part(F.col("path"), 1).alias("mailbox")).agg(F.count(F.lit(1)).alias("n_sent"))
 
 
+@query("SELECT o_custkey % 10 AS mailbox, string_agg(DISTINCT lower(substr(o_orderpriority, 3)) || ' x', ';' ORDER BY lower(substr(o_orderpriority, 3)) || ' x') AS display_names FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def owner_names(spark, sf_dir):
+    name = F.concat(F.lit("\""), F.substring("o_orderpriority", 3, 99), F.lit(",  X\" /OU=a <b@c.d>"))
+    sent = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select((F.col("o_custkey") % 10).alias("mailbox"), name.alias("name"))
+    return M.owner_names(sent, "mailbox", "name").select("mailbox", F.array_join("display_names", ";").alias("display_names"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey BETWEEN 1 AND 5")
 def persona_filter(spark, sf_dir):
     return read(spark, sf_dir, "customer").where(P.in_persona_cells("c_mktsegment", "c_nationkey", ["BUILDING", "MACHINERY"], 1, 5)).select("c_custkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Characters of a slice of a text that is split into words at once.
 SLICE = 1 << 19
+try:  # glibc only
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
 _CUT = re.compile(r"[ \t\n\r]")
 
 _LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -127,6 +132,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def give_back() -> None:
+    """Return free memory to the system: allocators keep what a batch has used, several times its size."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; batches without rows are skipped."""
     bounded_batches(df.sparkSession)
@@ -135,7 +147,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
-        pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

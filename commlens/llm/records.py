@@ -130,7 +130,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             yield shard.close()
 
     coded = map_batches(docs, encode, "bucket int, doc_id long, crc long, ids binary")
-    dealt = coded.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "crc", "ids")
+    # a partition for each bucket, so that none holds several
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "crc", "ids")
     # the writer's only output is the manifest, which Spark commits
     dealt.select("bucket", "doc_id", "ids").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(docs.sparkSession, folder)

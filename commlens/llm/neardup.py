@@ -14,10 +14,12 @@ Banding gives candidate buckets.  Instead of all pairs of a bucket:
 
 1. every member is compared with the bucket's leader, the member that shares the most
    buckets (a base text of many copies, usually), on full sets; links join components;
-2. buckets whose other members are still in different components are compared in blocks:
-   a task gets two blocks of at most ``BLOCK`` members with their sets and multiplies
-   their incidence matrices, so the intersections are exact.  It returns a spanning forest
-   of the links it finds, so its result is linear in the members.
+2. in buckets whose other members are still in different components, those outside of the
+   leader's component (loose ones) are compared with all others, in blocks: a task gets two
+   blocks of about ``BLOCK`` members with their sets and multiplies their incidence
+   matrices, so the intersections are exact.  Members of the leader's component are not
+   compared with each other.  A task returns a spanning forest of the links it finds, so its
+   result is linear in the members.
 
 So each pair that shares a bucket is either compared or already connected.  A pair at the
 threshold shares no bucket with probability (1 - t**ROWS)**BANDS, 2e-8 at 0.85 and 1e-7
@@ -36,7 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ ROWS, BANDS = 4, 28
 #: Elements whose permutations are held at once (a byte for each of their slots).
 _ELEMENTS = 1 << 15
 #: Members of a block in the exact comparison.
-BLOCK = 2048
+BLOCK = 512
 _ONE = 2.0**-53
 
 
@@ -169,11 +171,13 @@ def _linked(percent: int) -> "F.Column":
 def _blocks(percent: int):
     """Compare two blocks (i = j: one block with itself); a spanning forest of the links."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        side = pdf["blk"].to_numpy()
-        sets = [np.asarray(x, dtype=np.int64) for x in pdf["s"]]
-        root = {c: c for c in pdf["root"]}
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        side = table.column("blk").to_numpy()
+        cls, roots = table.column("cls").to_pylist(), table.column("root").to_pylist()
+        s = table.column("s").combine_chunks()
+        elements, count = s.flatten().to_numpy(), pc.list_value_length(s).to_numpy().astype(np.int64)
+        root = {c: c for c in roots}
 
         def find(x):
             while root[x] != x:
@@ -182,8 +186,8 @@ def _blocks(percent: int):
             return x
 
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        values, index = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        values, index = np.unique(elements, return_inverse=True)
+        owner = np.repeat(np.arange(len(count)), count)
         shared = np.flatnonzero(np.bincount(index) > 1)
         place = np.full(len(values), -1)
         place[shared] = np.arange(len(shared))
@@ -191,18 +195,17 @@ def _blocks(percent: int):
         both = np.zeros((len(left), len(right)), dtype=np.float32)
         for begin in range(0, len(shared), 2048):
             part = (column >= begin) & (column < begin + 2048)
-            m = np.zeros((len(sets), min(2048, len(shared) - begin)), dtype=np.float32)
+            m = np.zeros((len(count), min(2048, len(shared) - begin)), dtype=np.float32)
             m[owner[part], column[part] - begin] = 1
             both += m[left] @ m[right].T
-        size = np.array([len(s) for s in sets])
-        union = size[left][:, None] + size[right][None, :] - both
+        union = count[left][:, None] + count[right][None, :] - both
         a, b = np.nonzero(100 * both.astype(np.float64) >= percent * union.astype(np.float64))
-        cls, roots, out = pdf["cls"].tolist(), pdf["root"].tolist(), []
+        out = []
         for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
             if x != y and (p := find(roots[x])) != (q := find(roots[y])):
                 root[p] = q
                 out.append((cls[x], cls[y]))
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return run
 
@@ -224,20 +227,28 @@ def _roots(docs: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFr
     stars = written(pairs.join(side[0], "a").join(side[1], "b").where(_linked(percent)).select("a", "b"))
     # what the leaders leave open
     found = connected_components(stars)
-    rest = led.where("cls <> leader").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    open_ = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = written(rest.join(open_, "key"))
+    rooted = led.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    lead = rooted.where("cls = leader").select("key", F.col("root").alias("lead_root"))
+    rest = rooted.where("cls <> leader").select("key", "cls", "root")
+    open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    # a row for each open bucket, so the joins with its members are small on this side
+    lead = written(lead.join(open_, "key"))
+    rest = rest.join(lead, "key").select("key", "cls", "root", (F.col("root") != F.col("lead_root")).alias("loose"))
+    sizes = rest.groupBy("key").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(n) for c, n in ((F.col("loose"), "probes"), (~F.col("loose"), "others"))])
+    rest = written(rest.join(sizes, "key"))
     # equal groups of members under several keys are compared once
     same = rest.groupBy("key").agg(F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("f"), F.count(F.lit(1)).alias("n")).groupBy("f", "n").agg(F.min("key").alias("key"))
-    placed = rest.join(same.select("key"), "key", "left_semi").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # a member of block b goes to every pair (i, j) of blocks with i <= j that holds b
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    dealt = placed.select("key", "cls", "root", "blk", other).select("key", "cls", "root", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    late = dealt.join(sets, "cls").groupBy("key", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary")
+    # loose members are in blocks 0 to probes - 1, the leader's component in those after them
+    block = F.when(F.col("loose"), F.pmod(F.xxhash64("cls"), F.col("probes"))).otherwise(F.col("probes") + F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int")
+    placed = rest.join(same.select("key"), "key", "left_semi").withColumn("blk", block)
+    # a loose member's block meets every block, one of the leader's component only loose ones
+    last = F.when(F.col("loose"), F.col("probes") + F.col("others")).otherwise(F.col("probes")) - 1
+    dealt = placed.select("key", "cls", "root", "blk", F.explode(F.sequence(F.lit(0), last)).alias("o")).select("key", "cls", "root", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    late = dealt.join(sets, "cls").groupBy("key", "i", "j").applyInArrow(_blocks(percent), "a binary, b binary")
     found = connected_components(stars.unionAll(late))
     by_class = classes.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     by_class = written(by_class)
-    for used in (member, bucket, held, led, sets, stars, rest):
+    for used in (member, bucket, held, led, sets, stars, lead, rest):
         forget(used)
     return by_class
 

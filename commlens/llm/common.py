@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 #: whatever the size of the input partition (a single longer row is a batch of its own).
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Characters of a slice of a text that is split into words at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
+#: Rows of a batch of the Parquet reader, which holds all their texts in one array, and bytes
+#: of a row group, which a writer holds until it is full.
+READ_ROWS, GROUP_BYTES = 512, 16 << 20
 try:  # glibc only
     _TRIM = ctypes.CDLL(None).malloc_trim
 except (OSError, AttributeError):
@@ -35,9 +38,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session's Python operators."""
+    """Bound the Arrow batches of this session's Python operators, and its reads of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,7 +75,7 @@ def written(df: DataFrame) -> DataFrame:
     checkpoint it is columnar and compressed.
     """
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

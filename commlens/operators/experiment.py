@@ -138,15 +138,31 @@ def stimulus_pairs(turns: DataFrame, thread: str, position: str, ranks: DataFram
 
     turns: (thread, position, sender rank of the opener as ``stimulus_rank``, replier);
     ranks: (replier, seniority_rank, department); personas: (seniority_rank, department,
-    persona_id).  Replies without a persona keep a null persona_id (see ``unmatched_pairs``).
+    persona_id).  Replies whose replier has no role, or no persona, keep a null persona_id (see
+    ``unmatched_pairs``).
     """
     roots = turns.where(F.col(position) == 0).select(thread, "stimulus_rank")
     replies = turns.where(F.col(position) > 0).drop("stimulus_rank").join(roots, thread)
-    known = replies.join(ranks, replier)
+    known = replies.join(ranks, replier, "left")
     out = known.join(personas, ["seniority_rank", "department"], "left")
     return out.withColumn("direction", direction(F.col("stimulus_rank"), F.col("seniority_rank")))
 
 
+def stimulus_cells(pairs: DataFrame, messages: DataFrame, thread: str, model: str, label: str) -> DataFrame:
+    """Pairs with a persona, as cells to run: stimulus and reply texts, and ids that no two replies share.
+
+    pairs also has stimulus_uid and reply_uid; messages: (uid, subject, body).  Texts meet their
+    pairs in two joins by id; order the result by thread and reply_uid where order matters.
+    """
+    text = lambda: F.concat(F.lit("Subject: "), F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    known = pairs.where(F.col("persona_id").isNotNull())
+    for side in ("stimulus", "reply"):
+        known = known.join(messages.select(F.col("uid").alias(f"{side}_uid"), text().alias(f"{side}_text")), f"{side}_uid")
+    scenario = F.concat(F.lit("real_"), F.col(thread).cast("string"))
+    cell = F.concat_ws("__", F.lit(label), scenario, F.col("reply_uid").cast("string"))
+    return known.withColumns({"scenario_id": scenario, "cell_id": cell, "model": F.lit(model), "replicate": F.lit(1), "task_type": F.lit("real_stimulus"), "stakes": F.lit("routine")})
+
+
 def unmatched_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs, and those for which there is no persona."""
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("persona_id").isNull()).alias("unmatched"))

@@ -64,11 +64,12 @@ def explode_recipients(df: DataFrame, uid: str, fields: dict[str, str]) -> DataF
     return df.select(uid, F.explode(F.concat(*map(pairs, fields))).alias("r")).select(uid, "r.address", "r.field").where("address IS NOT NULL")
 
 
-def thread_candidates(messages: DataFrame, recipients: DataFrame, uid: str, date: str, address: str) -> DataFrame:
-    """Dated messages with their recipients as a sorted list (empty without any)."""
-    lists = recipients.groupBy(uid).agg(F.array_sort(F.collect_set(address)).alias("participants"))
+def thread_candidates(messages: DataFrame, recipients: DataFrame, uid: str, date: str, address: str, sender: str) -> DataFrame:
+    """Dated messages with their participants, sender and recipients, as a sorted list (a null sender is none)."""
+    lists = recipients.groupBy(uid).agg(F.collect_set(address).alias("participants"))
     kind = dict(lists.dtypes)["participants"]
-    return messages.where(F.col(date).isNotNull()).join(lists, uid, "left").withColumn("participants", F.coalesce("participants", F.array().cast(kind)))
+    people = F.array_union(F.coalesce("participants", F.array().cast(kind)), F.array_compact(F.array(F.col(sender))).cast(kind))
+    return messages.where(F.col(date).isNotNull()).join(lists, uid, "left").withColumn("participants", F.array_sort(people))
 
 
 # Folders that hold a mailbox's own mail.

@@ -6,18 +6,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commlens.functions.text import seeded_order
+from commlens.functions.text import is_linkable_subject, seeded_order
 from commlens.operators.ranks import small
 
 
 def links(candidates: DataFrame, uid: str, subject: str, date: str, participants: str, days: int = 30, shared: int = 2, largest_group: int = 500) -> DataFrame:
     """Pairs (a, b) of messages with one subject, at most ``days`` apart, b not before a,
-    with enough participants in common.  Subjects of larger groups are templates and link
-    nothing, so a subject yields a bounded number of pairs.
+    with enough participants in common.  Subjects of under four characters link nothing, and
+    neither do those of larger groups, which are templates; so a subject yields a bounded
+    number of pairs.
 
     Only the keys and dates meet in the self-join; equal days are bucketed, so that only
     neighbouring buckets of a subject are compared.
     """
+    candidates = candidates.where(is_linkable_subject(F.col(subject)))
     size = candidates.groupBy(subject).agg(F.count(F.lit(1)).alias("n_subject"))
     # the few template subjects are left out where rows are read, so that their rows don't meet in one task
     template = size.where(F.col("n_subject") > largest_group).select(subject)

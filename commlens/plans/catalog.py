@@ -145,14 +145,21 @@ def recipient_explode(spark, sf_dir):
     return M.explode_recipients(lists, "message_uid", {"to": "to", "cc": "cc"})
 
 
+# recipients and, beside them, the sender
+_PEOPLE_OF = "r AS (SELECT l_orderkey AS uid, l_suppkey AS address FROM lineitem UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL)"
+
+
 def _candidates(spark, sf_dir):
-    m = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("sender"), F.col("o_orderdate").alias("at"), F.col("o_custkey").cast("string").alias("subject_norm"))
+    # some customers share a subject; every fourth subject is short, and links only from four characters on
+    topic = F.floor(F.col("o_custkey") / 4)
+    subject = F.concat(F.when(topic % 4 == 0, "p").otherwise("plan "), topic)
+    m = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("sender"), F.col("o_orderdate").alias("at"), subject.alias("subject_norm"))
     r = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_suppkey").alias("address"))
-    return M.thread_candidates(m, r, "uid", "at", "address")
+    return M.thread_candidates(m, r, "uid", "at", "address", "sender")
 
 
 @query(
-    "SELECT o_orderkey AS uid, coalesce(n, 0) AS n_participants, coalesce(s, '') AS participants FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderdate IS NOT NULL"
+    f"WITH {_PEOPLE_OF} SELECT uid, count(address) AS n_participants, coalesce(string_agg(CAST(address AS VARCHAR), ',' ORDER BY CAST(address AS VARCHAR)), '') AS participants FROM (SELECT o_orderkey AS uid FROM orders WHERE o_orderdate IS NOT NULL) LEFT JOIN r USING (uid) GROUP BY 1"
 )
 def thread_candidates(spark, sf_dir):
     text = F.array_join(F.array_sort(F.transform("participants", lambda x: x.cast("string"))), ",")
@@ -219,12 +226,13 @@ def unmatched_roles(spark, sf_dir):
 
 # ---- threads ----------------------------------------------------------------------
 
-_LINKS = """
-m AS (SELECT o_orderkey AS uid, o_custkey AS sender, o_orderdate AS at FROM orders),
-r AS (SELECT DISTINCT l_orderkey AS uid, l_suppkey AS address FROM lineitem),
-x AS (SELECT m.uid, m.sender, m.at, r.address FROM m JOIN r USING (uid)),
-links AS (SELECT DISTINCT a.uid AS a, b.uid AS b FROM x a JOIN x b ON a.sender = b.sender AND a.address = b.address
-  AND (a.at < b.at OR (a.at = b.at AND a.uid < b.uid)) AND b.at <= a.at + INTERVAL 365 DAYS)"""
+_LINKS = f"""
+m AS (SELECT o_orderkey AS uid, o_custkey AS sender, o_orderdate AS at, CASE WHEN o_custkey // 4 % 4 = 0 THEN 'p' ELSE 'plan ' END || o_custkey // 4 AS subject FROM orders),
+{_PEOPLE_OF},
+s AS (SELECT subject FROM m WHERE length(subject) >= 4 AND m.at IS NOT NULL GROUP BY 1 HAVING count(*) <= 500),
+x AS (SELECT m.uid, m.subject, m.at, r.address FROM m JOIN r USING (uid) SEMI JOIN s USING (subject)),
+links AS (SELECT a.uid AS a, b.uid AS b FROM x a JOIN x b ON a.subject = b.subject AND a.address = b.address
+  AND (a.at < b.at OR (a.at = b.at AND a.uid < b.uid)) AND b.at <= a.at + INTERVAL 365 DAYS GROUP BY 1, 2 HAVING count(*) >= 2)"""
 _THREADS = f"""WITH RECURSIVE {_LINKS},
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT uid AS a, uid AS b FROM m UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
@@ -235,7 +243,7 @@ tp AS (SELECT thread_id, m.uid, m.sender, m.at, row_number() OVER w - 1 AS posit
 
 
 def _links(spark, sf_dir):
-    return H.links(_candidates(spark, sf_dir), "uid", "subject_norm", "at", "participants", days=365, shared=1)
+    return H.links(_candidates(spark, sf_dir), "uid", "subject_norm", "at", "participants", days=365)
 
 
 def _threads(spark, sf_dir):
@@ -676,14 +684,16 @@ def reflection_batches(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 5).alias("stimulus_rank"), (F.col("conv_id") + 1).alias("c_custkey"))
+    # two thirds of the repliers have a role
+    replier = F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, F.col("conv_id") + 1)
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 5).alias("stimulus_rank"), replier.alias("c_custkey"))
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("seniority_rank"))
     ranks = read(spark, sf_dir, "customer").join(nation, "c_nationkey").select("c_custkey", "seniority_rank", F.col("c_mktsegment").alias("department"))
     personas = ranks.where("department <> 'FURNITURE'").select("seniority_rank", "department").distinct().withColumn("persona_id", F.concat_ws("-", "department", "seniority_rank"))
     return X.stimulus_pairs(t, "conv_id", "turn", ranks, "c_custkey", personas)
 
 
-_PAIRS = "(SELECT a.conv_id, b.turn, c_mktsegment AS department, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_mktsegment || '-' || n_regionkey END AS persona_id, CASE WHEN n_regionkey > a.conv_id % 5 THEN 'down' WHEN n_regionkey < a.conv_id % 5 THEN 'up' ELSE 'lateral' END AS direction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 JOIN customer c ON c_custkey = a.conv_id + 1 JOIN nation ON n_nationkey = c_nationkey)"
+_PAIRS = "(SELECT a.conv_id, b.turn, a.text AS stimulus_body, b.text AS reply_body, n_regionkey, c_mktsegment AS department, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_mktsegment || '-' || n_regionkey END AS persona_id, CASE WHEN n_regionkey > a.conv_id % 5 THEN 'down' WHEN n_regionkey < a.conv_id % 5 THEN 'up' WHEN n_regionkey = a.conv_id % 5 THEN 'lateral' END AS direction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 LEFT JOIN (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey) c ON c_custkey = a.conv_id + 1 AND (b.conv_id + b.turn) % 3 > 0)"
 
 
 @query(f"SELECT conv_id, turn, department, persona_id, direction FROM {_PAIRS} WHERE persona_id IS NOT NULL")
@@ -691,6 +701,20 @@ def real_stimulus_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).where("persona_id IS NOT NULL").select("conv_id", "turn", "department", "persona_id", "direction")
 
 
+@query(
+    f"""SELECT conv_id, turn, 'analyst__real_' || conv_id || '__' || (conv_id * 1000 + turn) AS cell_id, 'real_' || conv_id AS scenario_id, direction, persona_id, 'model-a' AS model,
+  'Subject: plan ' || conv_id || chr(10) || chr(10) || coalesce(stimulus_body, '') AS stimulus_text, 'Subject: Re: plan ' || conv_id || chr(10) || chr(10) || coalesce(reply_body, '') AS reply_text
+  FROM {_PAIRS} WHERE persona_id IS NOT NULL ORDER BY conv_id, turn"""
+)
+def real_stimulus_texts(spark, sf_dir):
+    uid = (F.col("conv_id") * 1000 + F.col("turn")).alias("uid")
+    subject = F.concat(F.when(F.col("turn") > 0, "Re: plan ").otherwise("plan "), F.col("conv_id")).alias("subject")
+    texts = read(spark, sf_dir, "conversations").select("conv_id", uid, subject, F.col("text").alias("body"))
+    pairs = _pairs(spark, sf_dir).withColumns({"stimulus_uid": F.col("conv_id") * 1000, "reply_uid": F.col("conv_id") * 1000 + F.col("turn")})
+    cells = X.stimulus_cells(pairs, texts.drop("conv_id"), "conv_id", "model-a", "analyst")
+    return cells.orderBy("conv_id", "reply_uid").select("conv_id", "turn", "cell_id", "scenario_id", "direction", "persona_id", "model", "stimulus_text", "reply_text")
+
+
 @query(f"SELECT count(*) AS pairs, count(*) FILTER (WHERE persona_id IS NULL) AS unmatched FROM {_PAIRS}")
 def unmatched_pairs(spark, sf_dir):
     return X.unmatched_pairs(_pairs(spark, sf_dir))

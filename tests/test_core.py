@@ -91,6 +91,27 @@ def test_owners(spark):
     assert {(r.mailbox, r.sender) for r in got.collect()} == {("m", "a"), ("m", "b"), ("n", "c")}
 
 
+def test_two_people_who_answer_each_other_are_a_thread(spark):
+    at = dt.datetime(2001, 5, 14, 9)
+    m = spark.createDataFrame([("m1", "a@x", at, "plan"), ("m2", "b@x", at + dt.timedelta(hours=1), "plan"), ("m3", "a@x", at, "fyi"), ("m4", "b@x", at, "fyi"), ("m5", None, at, "plan"), ("m6", "a@x", None, "plan")], "uid string, sender string, at timestamp_ntz, subject_norm string")
+    r = spark.createDataFrame([("m1", "b@x"), ("m2", "a@x"), ("m3", "b@x"), ("m4", "a@x")], "uid string, address string")
+    c = M.thread_candidates(m, r, "uid", "at", "address", "sender")
+    assert {x.uid: x.participants for x in c.collect()} == {**dict.fromkeys(["m1", "m2", "m3", "m4"], ["a@x", "b@x"]), "m5": []}
+    # a subject of three characters links nothing
+    assert [(x.a, x.b) for x in H.links(c, "uid", "subject_norm", "at", "participants").collect()] == [("m1", "m2")]
+
+
+def test_stimuli_without_a_role_are_counted(spark):
+    turns = spark.createDataFrame([(1, 0, 5, "a"), (1, 1, 5, "b"), (1, 2, 5, "c"), (1, 3, 5, "d")], "t int, position int, stimulus_rank int, replier string").withColumns({"stimulus_uid": F.lit("u0"), "reply_uid": F.concat(F.lit("u"), "position")})
+    ranks = spark.createDataFrame([("b", 3, "Legal"), ("c", 5, "Tax")], "replier string, seniority_rank int, department string")
+    personas = spark.createDataFrame([(3, "Legal", "p")], "seniority_rank int, department string, persona_id string")
+    pairs = X.stimulus_pairs(turns, "t", "position", ranks, "replier", personas)
+    assert X.unmatched_pairs(pairs).first() == (3, 2)
+    texts = spark.createDataFrame([(f"u{i}", "s" if i else None, f"body {i}") for i in range(4)], "uid string, subject string, body string")
+    cell = X.stimulus_cells(pairs, texts, "t", "m", "vp").first()
+    assert (cell.cell_id, cell.scenario_id, cell.direction, cell.stimulus_text, cell.reply_text) == ("vp__real_1__u1", "real_1", "up", "Subject: \n\nbody 0", "Subject: s\n\nbody 1")
+
+
 def threads(spark, days, people="1 2", subject="plan"):
     base = dt.datetime(2001, 5, 14, 9)
     rows = [(f"u{k:03}", subject, base + dt.timedelta(days=d), people.split()) for k, d in enumerate(days)]

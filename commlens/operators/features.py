@@ -33,8 +33,13 @@ def oversized(messages: DataFrame, body: str, most: int = MAX_BODY_CHARS) -> Dat
     return messages.agg(F.count_if(F.length(body) > most).alias("oversized"))
 
 
-def lexical_features(df: DataFrame, uid: str, body: str, hedges=HEDGES, deference=DEFERENCE, commitment=COMMITMENT) -> DataFrame:
-    """Sentence-level shares; a sentence counts once however many hits it has; no sentence: zeros."""
+def lexical_features(df: DataFrame, uid: str, body: str, hedges=HEDGES, deference=DEFERENCE, commitment=COMMITMENT, cut: Column | None = None, roots: Column | None = None) -> DataFrame:
+    """Sentence-level shares; a sentence counts once however many hits it has; no sentence: zeros.
+
+    cut: the body's sentences, where the built-in rule is not to cut them (see ``boundaries``);
+    roots: for each of them whether its root is imperative (see ``tagging``), in place of the
+    first-word rule.
+    """
     n = F.size("sentences")
 
     def lexicon(x: Column, pair) -> Column:
@@ -42,10 +47,12 @@ def lexical_features(df: DataFrame, uid: str, body: str, hedges=HEDGES, deferenc
         return token_hits(x["words"], tokens) | phrase_hits(x["low"], phrases)
 
     def imperative(x: Column) -> Column:
-        return F.coalesce(F.try_element_at(x["words"], F.lit(1)).isin(REQUEST_VERBS), F.lit(False)) | token_hits(x["words"], OBLIGATION_MODALS) | phrase_hits(x["low"], OBLIGATION_PHRASES)
+        request = F.try_element_at(x["words"], F.lit(1)).isin(REQUEST_VERBS) if roots is None else x["root"]
+        return F.coalesce(request, F.lit(False)) | token_hits(x["words"], OBLIGATION_MODALS) | phrase_hits(x["low"], OBLIGATION_PHRASES)
 
     # every sentence is lower-cased and cut into words once
-    cut = F.transform(sentences(F.col(body)), lambda x: F.struct(F.lower(x).alias("low"), F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), 0).alias("words")))
+    root = lambda i: F.lit(False) if roots is None else F.get(roots, i)
+    told = F.transform(sentences(F.col(body)) if cut is None else cut, lambda x, i: F.struct(F.lower(x).alias("low"), F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), 0).alias("words"), root(i).alias("root")))
     tests = {
         "question_ratio": lambda x: F.endswith(F.rtrim(x["low"]), F.lit("?")),
         "imperative_ratio": imperative,
@@ -55,7 +62,7 @@ def lexical_features(df: DataFrame, uid: str, body: str, hedges=HEDGES, deferenc
     }
     hits = F.transform("sentences", lambda x: F.struct(*[f(x).cast("int").alias(c) for c, f in tests.items()]))
     words = F.aggregate("sentences", F.lit(0), lambda k, x: k + F.size(x["words"]))
-    x = df.select(uid, has_deadline(F.col(body)).alias("has_deadline"), cut.alias("sentences"))
+    x = df.select(uid, has_deadline(F.col(body)).alias("has_deadline"), told.alias("sentences"))
     x = x.select(uid, "has_deadline", words.alias("words"), n.alias("n"), hits.alias("hits"))
 
     def share(c: str) -> Column:

@@ -16,7 +16,7 @@ from commlens.operators import messages as M
 from commlens.operators import network as N
 from commlens.operators import sampling as P
 from commlens.operators import threads as H
-from commlens.plans import catalog, harness  # noqa: F401
+from commlens.plans import catalog, harness, language  # noqa: F401
 from commlens.sources import mail, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

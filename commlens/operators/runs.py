@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from commlens.functions import prompts
 from commlens.functions import text as T
 from commlens.operators.experiment import CONFIDENCES, DECISIONS, batch_chunks, cost_usd
+from commlens.sources.cache import put
+from commlens.sources.stores import open_store
 
 FORMAT_VERSION, MAX_OUTPUT_TOKENS, MAX_BATCH = 1, 2048, 10_000
 REQUEST = ["provider", "model", "system", "messages", "max_tokens", "output_schema", "variant"]
@@ -122,11 +124,6 @@ def new_entries(done: DataFrame, created: Column) -> DataFrame:
     return done.where(~F.col("from_cache")).select("key", created.alias("created"), F.struct(*REQUEST).alias("request"), "response")
 
 
-def put(entries: DataFrame, path: str) -> None:
-    """Append to the response cache; readers take the newest entry of a key."""
-    entries.write.mode("append").option("ignoreNullFields", "false").json(path)
-
-
 def parsed_reply(parsed: Column) -> tuple[Column, Column]:
     """The fields of a reply, and whether it is valid: keys present, decision and confidence in their domain."""
     r = F.from_json(parsed, "subject string, body string, decision string, confidence string")
@@ -177,6 +174,14 @@ def manifest(totals: dict, run_id: str, commit: tuple[str, bool], config: dict,
     return {"run_id": run_id, "git_commit": commit[0], "git_dirty": commit[1], "config_hash": config_hash(config), "models": sorted(models), **totals, **more}
 
 
+def write_manifest(record: dict, path: str) -> None:
+    """A run's manifest as JSON with sorted keys, in whatever store the path names."""
+    store, base = open_store(path)
+    store.create_dir(base.rpartition("/")[0])
+    with store.open_output_stream(base) as f:
+        f.write(json.dumps(record, indent=2, sort_keys=True, default=str).encode() + b"\n")
+
+
 # ---- batches -----------------------------------------------------------------------
 
 
@@ -199,10 +204,14 @@ def submit(requests: DataFrame, cache: DataFrame, uid: str, client, folder: str,
     ids.write.mode("overwrite").parquet(f"{folder}/{run_id}/ids")
     ids = requests.sparkSession.read.parquet(f"{folder}/{run_id}/ids")
     n, sizes = requests.count(), {r["chunk"]: r["count"] for r in ids.groupBy("chunk").count().collect()}  # a row a chunk
+    # requests meet their chunk once; each batch reads its own folder
+    rows = open_.join(ids, uid)
+    rows.write.mode("overwrite").partitionBy("chunk").parquet(f"{folder}/{run_id}/requests")
+    rows = requests.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{run_id}/requests")
     state = {"run_id": run_id, "batch_ids": [], "collected_batch_ids": [], "n_submitted": 0, "n_skipped_cached": n - sum(sizes.values())}
     write_state(requests.sparkSession, state, folder)
     for k in sorted(sizes):
-        state["batch_ids"].append(client.submit_batch(open_.join(ids.where(F.col("chunk") == k), uid)))
+        state["batch_ids"].append(client.submit_batch(rows.where(F.col("chunk") == k).drop("chunk")))
         state["n_submitted"] += sizes[k]
         write_state(requests.sparkSession, state, folder)
     return state
@@ -224,7 +233,10 @@ def collect(state: dict, client, requests: DataFrame, uid: str, folder: str, cac
         if got is None:
             counts["pending_batches"] += 1
             continue
-        mapped = map_results(got, ids, requests, uid)
+        # written, as the cache and the counts both read it
+        mapped = f"{folder}/{state['run_id']}/mapped/{len(state['collected_batch_ids'])}"
+        map_results(got, ids, requests, uid).write.mode("overwrite").parquet(mapped)
+        mapped = spark.read.parquet(mapped)
         fine = mapped.where("is_mapped")
         put(fine.select("key", created.alias("created"), F.struct(*REQUEST).alias("request"), "response"), cache_path)
         n = mapped.agg(F.count_if("is_mapped"), F.count_if(~F.col("is_mapped"))).first()

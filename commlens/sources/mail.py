@@ -13,40 +13,33 @@ from pyspark.sql import functions as F
 
 from commlens.functions import text as T
 from commlens.operators.messages import explode_recipients, keep_first
-from commlens.operators.ranks import small
+from commlens.sources.maildir import Maildir
 
-RAW = "path string, modificationTime timestamp, length long, content binary"
 PARSED = (
     "message_id string, in_reply_to string, references string, date timestamp_ntz, from_addr string, subject string, "
     "x_from string, x_to string, x_folder string, x_origin string, to array<string>, cc array<string>, bcc array<string>, body_raw string"
 )
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    """path, source_path (relative) and content of every file; content is read only where it is selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    base = root.split("://")[-1].rstrip("/")
-    return files.select("path", F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})").alias("source_path"), "content")
+def files(spark: SparkSession, root: str, limit: int | None = None, **options: int) -> DataFrame:
+    """source_path, length, content and error of every file (see ``maildir``)."""
+    spark.dataSource.register(Maildir)
+    reader = spark.read.format("maildir").option("path", root).options(**options)
+    return (reader if limit is None else reader.option("limit", limit)).load()
 
 
-def scan(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
-    """source_path, content.  The order of paths is by their parts, so that the surviving
-    copy of a message does not depend on how separators sort.
+def scan(spark: SparkSession, root: str, limit: int | None = None, **options: int) -> DataFrame:
+    """source_path, content of the files that can be read.  The order of paths is by their parts, so
+    that the surviving copy of a message does not depend on how separators sort.
 
     A limit takes the first paths, readable or not; only these files are opened.
     """
-    files = _files(spark, root)
-    if limit is None:
-        return files.drop("path")
-    first = files.select("path", F.split("source_path", "/").alias("parts")).orderBy("parts").limit(limit).select("path")
-    return files.join(small(first), "path", "left_semi").drop("path")
+    return files(spark, root, limit, **options).where("error IS NULL").select("source_path", "content")
 
 
 def scan_report(spark: SparkSession, root: str) -> DataFrame:
     """Files found, and those that can't be read (skipped by ``scan``)."""
-    found = _files(spark, root).select("path").agg(F.count(F.lit(1)).alias("files_found"))
-    read = _files(spark, root).select(F.length("content").alias("n")).agg(F.count("n").alias("n"))
-    return found.crossJoin(read).select("files_found", (F.col("files_found") - F.col("n")).alias("files_unreadable"))  # single rows
+    return files(spark, root).agg(F.count(F.lit(1)).alias("files_found"), F.count("error").alias("files_unreadable"))
 
 
 def _header(msg, name: str) -> str | None:

@@ -96,8 +96,9 @@ def cache_entries(spark: SparkSession, path: str, response: str) -> DataFrame:
 
 
 def cache_manifest(spark: SparkSession, path: str) -> dict:
-    """Entries of a cache folder, and the sha256 over all keys and their files' sha256 in key order.
+    """Entries of a folder of one file a key, and the sha256 over all keys and their files' sha256 in key order.
 
+    For a cache that is written by Spark see ``cache.write_manifest``.
     Files are hashed on the executors; the driver streams the sorted pairs and holds one
     range of them at a time.
     """

@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Reply prefixes, patterns where quoted text begins, contact lines, deadlines.
+# Reply prefixes, patterns where quoted text begins, contact lines, deadlines.  Patterns
+# take time in proportion to a text: runs are taken whole (++), from where they begin (the look
+# behind), and white space from the first of several empty lines on.
 REPLY_PREFIXES = ["re", "fw", "fwd", "aw", "antw", "tr", "rv", "sv", "vs"]
 QUOTE_BANNERS = [
     r"(?imdU)^-+\s*Original Message\s*-+",
     r"(?imdU)^-+\s*Forwarded by\b.*$",
-    r"(?mdU)^\s*_{10,}\s*$",
-    r"(?mdU)^\s*-{10,}\s*$",
+    r"(?mdU)^(?<!\n\n)\s*+_{10,}\s*$",
+    r"(?mdU)^(?<!\n\n)\s*+-{10,}\s*$",
     r"(?mdU)^On\b.{0,160}\bwrote:\s*$",
 ]
-CONTACT_LINE = r"(?iU)\(\d{3}\)\s*\d{3}[-.\s]?\d{4}|\b\d{3}[-.]\d{3}[-.]\d{4}\b|\b(?:tel|telephone|fax|phone|mobile|cell|e-?mail|ext)\b\s*[:.]?|[\w.+-]+@[\w.-]+\.\w{2,}"
+CONTACT_LINE = r"(?iU)\(\d{3}\)\s*\d{3}[-.\s]?\d{4}|\b\d{3}[-.]\d{3}[-.]\d{4}\b|\b(?:tel|telephone|fax|phone|mobile|cell|e-?mail|ext)\b\s*[:.]?|(?<![\w.+-])[\w.+-]++@[\w.-]+\.\w{2,}"
 DEADLINE = r"(?iU)\b(deadline|due\s+by|no\s+later\s+than|by\s+(?:end\s+of\s+day|eod|cob|monday|tuesday|wednesday|friday|thursday|saturday|sunday|tomorrow|\d{1,2}[/-]\d{1,2})|\basap\b|\burgent\b)"
 # A From: line, what confirms it, and the window after it (characters, and parts
 # of it between line ends, of which the first is the rest of the From: line).
-FROM_LINE, FROM_CONFIRM, FROM_WINDOW, FROM_PARTS = r"(?mdU)^\s*From:\s+\S.*$", r"(?mdU)^\s*(?:Sent|To|Date|Subject):\s+\S", 400, 4
+FROM_LINE, FROM_CONFIRM, FROM_WINDOW, FROM_PARTS = r"(?mdU)^(?<!\n\n)\s*+From:\s+\S.*$", r"(?mdU)^\s*(?:Sent|To|Date|Subject):\s+\S", 400, 4
 #: White space as Python has it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 SIGNATURE_LINES = 6
 
 
+#: An address, from where its run of characters begins, or from where the address before it ended.
+ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+'-]))[A-Za-z0-9._%+'-]++@[A-Za-z0-9.-]+"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def collapse(text: Column) -> Column:
     """White space collapsed, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(text, SPACE + "+", " ")))
@@ -54,7 +66,7 @@ def normalize_address(raw: Column) -> Column:
 
 def extract_addresses(text: Column) -> Column:
     """Distinct addresses in the order of their first place."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9.-]+"), 0)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ADDRESS), 0)
     return F.array_distinct(F.transform(found, F.lower))
 
 
@@ -93,38 +105,45 @@ def has_deadline(text: Column) -> Column:
 
 def confirmed_from(body: Column) -> Column:
     """Where the first confirmed From: line begins (from 1); null without any."""
-    lines, windows = (F.regexp_extract_all(body, F.lit(f"{FROM_LINE}(?=((?s:.{{0,{FROM_WINDOW}}})))"), g) for g in (0, 1))
-    confirmed = F.transform(windows, lambda w: F.rlike(F.array_join(F.slice(F.split(w, "\n"), 1, FROM_PARTS), "\n"), F.lit(FROM_CONFIRM)))
-    nth = F.array_position(confirmed, True).cast("int")
+    found = lambda g: F.regexp_extract_all(body, F.lit(f"{FROM_LINE}(?=((?s:.{{0,{FROM_WINDOW}}})))"), g)
+    confirmed = F.transform(found(1), lambda w: F.rlike(F.array_join(F.slice(F.split(w, "\n"), 1, FROM_PARTS), "\n"), F.lit(FROM_CONFIRM)))
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
-    return F.when(nth > 0, length(F.slice(F.split(body, FROM_LINE), F.lit(1), nth)) + length(F.slice(lines, F.lit(1), nth - 1)) + 1)
+
+    def place(nth: Column) -> Column:
+        return F.when(nth > 0, length(F.slice(F.split(body, FROM_LINE), F.lit(1), nth)) + length(F.slice(found(0), F.lit(1), nth - 1)) + 1)
+
+    return F.when(body.contains("From:"), let(F.array_position(confirmed, True).cast("int"), place))
 
 
 def strip_quoted(body: Column) -> Column:
     """Cut at the earliest banner or confirmed From: line, then drop > lines."""
-    first = F.least(*[F.nullif(F.regexp_instr(body, F.lit(p)), F.lit(0)) for p in QUOTE_BANNERS], confirmed_from(body))
-    head = F.when(first.isNull(), body).otherwise(F.substring(body, F.lit(1), first - 1))
-    return F.array_join(F.filter(F.split(head, "\n"), lambda x: ~F.rlike(x, F.lit(r"(?U)^\s*>"))), "\n")
+
+    def strip(body: Column) -> Column:
+        first = F.least(*[F.nullif(F.regexp_instr(body, F.lit(p)), F.lit(0)) for p in QUOTE_BANNERS], confirmed_from(body))
+        head = let(first, lambda at: F.when(at.isNull(), body).otherwise(F.substring(body, F.lit(1), at - 1)))
+        return F.array_join(F.filter(F.split(head, "\n"), lambda x: ~F.rlike(x, F.lit(r"(?U)^\s*>"))), "\n")
+
+    return let(body, strip)
 
 
 def strip_signature(body: Column) -> Column:
     """Cut at a -- line; then up to six contact lines at the end go (blank ones don't count)."""
-    at = F.nullif(F.regexp_instr(body, F.lit(r"(?mdU)^--\s*$")), F.lit(0))
-    lines = F.split(F.when(at.isNull(), body).otherwise(F.substring(body, F.lit(1), at - 1)), "\n")
     start = F.struct(F.lit(0).alias("dropped"), F.lit(0).alias("contacts"), F.lit(False).alias("stopped"))
 
     def step(s: Column, line: Column) -> Column:
         blank = F.rlike(line, F.lit(f"^{SPACE}*$"))
-        contact = ~blank & F.rlike(line, F.lit(CONTACT_LINE)) & (s["contacts"] < SIGNATURE_LINES)
-        go = ~s["stopped"] & (blank | contact)
-        return F.struct(
-            (s["dropped"] + go.cast("int")).alias("dropped"),
-            (s["contacts"] + (go & contact).cast("int")).alias("contacts"),
-            (s["stopped"] | ~go).alias("stopped"),
-        )
-
-    dropped = F.aggregate(F.reverse(lines), start, step, lambda s: s["dropped"])
-    return F.array_join(F.slice(lines, F.lit(1), F.size(lines) - dropped), "\n")
+        contact = ~blank & (s["contacts"] < SIGNATURE_LINES) & F.rlike(line, F.lit(CONTACT_LINE))
+        # nothing above the signature is looked at
+        kind = F.when(s["stopped"], 0).when(blank, 1).when(contact, 2).otherwise(0)
+        return let(kind, lambda k: F.struct((s["dropped"] + (k > 0).cast("int")).alias("dropped"), (s["contacts"] + (k == 2).cast("int")).alias("contacts"), (k == 0).alias("stopped")))
+
+    def strip(body: Column) -> Column:
+        at = F.nullif(F.regexp_instr(body, F.lit(r"(?mdU)^--\s*$")), F.lit(0))
+        head = let(at, lambda at: F.when(at.isNull(), body).otherwise(F.substring(body, F.lit(1), at - 1)))
+        dropped = lambda lines: F.aggregate(F.reverse(lines), start, step, lambda s: s["dropped"])
+        return let(F.split(head, "\n"), lambda lines: F.array_join(F.slice(lines, F.lit(1), F.size(lines) - dropped(lines)), "\n"))
+
+    return let(body, strip)
 
 
 def clean_body(body: Column) -> Column:

@@ -61,6 +61,28 @@ def test_bodies(spark):
     assert one(spark, "Text\n-- \nJo", T.strip_signature) == "Text"
 
 
+@pytest.mark.parametrize("body", ["x" * 1_000_000, "a.b-" * 250_000, "\n" * 300_000 + "x", "- " * 500_000, "a@b " * 250_000, "From: x\n" * 100_000, "1" * 1_000_000 + "\n\n", "-" * 1_000_000 + "x", "a_" * 400_000 + "@x.org"])
+def test_long_lines_take_time_in_proportion(spark, body):
+    import time
+
+    df = spark.createDataFrame([(body,)], "x string").select(F.length(T.clean_body(F.col("x"))), F.size(T.extract_addresses(F.col("x"))))
+    df.collect()
+    began = time.time()
+    df.collect()
+    assert time.time() - began < 3
+
+
+def test_addresses_that_touch(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab@@._%+'- ,A9") for _ in range(rng.randrange(40))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.extract_addresses(F.col("t")).alias("a"))
+    for r in df.collect():
+        assert r.a == list(dict.fromkeys(x.lower() for x in re.findall(r"[A-Za-z0-9._%+'-]+@[A-Za-z0-9.-]+", texts[r.i])))
+
+
 def test_small_functions(spark):
     assert one(spark, " <A@B.c> ", T.normalize_address) == "a@b.c" and one(spark, "ab", T.normalize_address) is None
     assert one(spark, "a b\x1cc d", T.token_count) == 4

@@ -177,7 +177,7 @@ def test_quoted_text_by_a_plain_statement_of_the_rule(spark):
 
     def plain(body):
         cuts = [m.start() for p, f in banners if (m := re.search(p, body, f | re.M))]
-        for m in re.finditer(T.FROM_LINE.replace("(?mdU)", ""), body, re.M):
+        for m in re.finditer(r"^\s*From:\s+\S.*$", body, re.M):
             after = body[m.end() : m.end() + 400].split("\n")[:4]
             if re.search(T.FROM_CONFIRM.replace("(?mdU)", ""), "\n".join(after), re.M):
                 cuts.append(m.start())

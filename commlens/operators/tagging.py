@@ -21,6 +21,8 @@ from commlens.functions.tagged_mail import SENTENCES
 ENDING, SHORTER, ENDINGS = 4, 1.0, 0.5
 #: Share of a transition that is the tag's own frequency.
 SMOOTH = 0.1
+#: Words that are decoded at once, with the gaps behind shorter sentences.
+CELLS = 1 << 19
 #: Words of a model, at most (some 100 MB).
 MOST_WORDS = 500_000
 #: Tokens: contractions are parted, punctuation stands alone.
@@ -68,8 +70,9 @@ class Tagger:
         rows = steps / np.maximum(steps.sum(axis=1, keepdims=True), 1)
         mixed = (1 - SMOOTH) * rows + SMOOTH * np.append(self.prior, 0)  # the last column is the end of the sentence
         mixed[:, -1] = np.maximum(rows[:, -1], 1e-4)
+        self.into = np.ascontiguousarray(np.log(mixed[:-1, :-1]).T)
         self.start, self.step, self.stop = np.log(mixed[-1, :-1]), np.log(mixed[:-1, :-1]), np.log(mixed[:-1, -1])
-        self.known: dict[tuple[str, bool], np.ndarray] = {}
+        self._clear()
 
     def _counts(self, found: dict[str, int]) -> np.ndarray:
         out = np.zeros(len(self.tags))
@@ -77,21 +80,44 @@ class Tagger:
             out[self.at[t]] = n
         return out
 
+    def _clear(self) -> None:
+        """Forget what was looked up: rows by word, and their table; endings have rows of their own."""
+        self.rows: dict[tuple[str, bool], int] = {}
+        self.table = np.zeros((1024, len(self.tags)))
+        self.by_end: dict[str, np.ndarray] = {}
+
+    def _ending(self, e: str) -> np.ndarray:
+        """P(tag | ending), from the shorter ending's."""
+        if e not in self.by_end:
+            short = "^" + e[2:] if e[0] == "^" else e[1:]
+            p = self._ending(short) if short.strip("^") else self.prior
+            n = self.ends.get(e)
+            if n is None:
+                return p
+            n = self._counts(n)
+            self.by_end[e] = (n + SHORTER * p) / (n.sum() + SHORTER)
+        return self.by_end[e]
+
+    def row(self, word: str, first: bool) -> int:
+        """Where the word's emissions are in the table."""
+        capital = not first and word[0].isupper()
+        at = self.rows.get((word, capital))
+        if at is None:
+            known = shape(word)
+            ends = endings(known, capital)
+            p = self._ending(ends[-1]) if ends else self.prior
+            if (n := self.words.get(known)) is not None:
+                n = self._counts(n)
+                p = (n + ENDINGS * p) / (n.sum() + ENDINGS)
+            at = self.rows[word, capital] = len(self.rows)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = np.log(np.maximum(p, 1e-9)) - np.log(self.prior)
+        return at
+
     def emission(self, word: str, first: bool) -> np.ndarray:
         """log P(tag | word) - log P(tag), which is log P(word | tag) but for a constant."""
-        capital = not first and word[0].isupper()
-        key = shape(word), capital
-        if key not in self.known:
-            p = self.prior
-            for e in endings(*key):
-                n = self._counts(self.ends.get(e, {}))
-                p = (n + SHORTER * p) / (n.sum() + SHORTER)
-            n = self._counts(self.words.get(key[0], {}))
-            p = (n + ENDINGS * p) / (n.sum() + ENDINGS)
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[key] = np.log(np.maximum(p, 1e-9)) - np.log(self.prior)
-        return self.known[key]
+        return self.table[self.row(word, first)]
 
     def score(self, words: list[str], tags: list[str]) -> float:
         """Log-probability (but for a constant of the words) of one tagging."""
@@ -100,29 +126,39 @@ class Tagger:
         return float(self.start[k[0]] + e + sum(self.step[a, b] for a, b in zip(k, k[1:], strict=False)) + self.stop[k[-1]])
 
     def decode(self, sentences: list[list[str]]) -> list[list[str]]:
-        """The likeliest tags of every sentence; all sentences of one length at once."""
+        """The likeliest tags of every sentence; many sentences at once, the longest first."""
+        if len(self.rows) > 200_000:
+            self._clear()
         out: list[list[str]] = [[] for _ in sentences]
-        by: dict[int, list[int]] = {}
-        for i, s in enumerate(sentences):
-            if s:
-                by.setdefault(len(s), []).append(i)
-        for length, which in by.items():
-            for some in (which[a : a + 1024] for a in range(0, len(which), 1024)):
-                best = self.start + np.array([self.emission(sentences[i][0], True) for i in some])
-                back = np.zeros((length, len(some), len(self.tags)), dtype=np.int16)
-                for k in range(1, length):
-                    reach = best[:, :, None] + self.step
-                    back[k] = reach.argmax(axis=1)
-                    best = reach.max(axis=1) + np.array([self.emission(sentences[i][k], False) for i in some])
-                tag = (best + self.stop).argmax(axis=1)
-                path = [tag]
-                for k in range(length - 1, 0, -1):
-                    tag = back[k, np.arange(len(some)), tag]
-                    path.append(tag)
-                for i, p in zip(some, np.array(path[::-1]).T.tolist(), strict=True):
-                    out[i] = [self.tags[t] for t in p]
+        order = sorted((i for i, s in enumerate(sentences) if s), key=lambda i: -len(sentences[i]))
+        while order:
+            n = max(1, CELLS // len(sentences[order[0]]))
+            self._decode([sentences[i] for i in order[:n]], order[:n], out)
+            order = order[n:]
         return out
 
+    def _decode(self, some: list[list[str]], numbers: list[int], out: list[list[str]]) -> None:
+        sizes = np.array([len(s) for s in some])
+        going = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # how many sentences are longer than k words
+        rows = np.zeros((sizes[0], len(some)), dtype=np.int64)
+        for i, s in enumerate(some):
+            rows[: len(s), i] = [self.row(w, k == 0) for k, w in enumerate(s)]
+        best = self.start + self.table[rows[0]]
+        back = np.zeros((sizes[0], len(some), len(self.tags)), dtype=np.int8)
+        for k in range(1, sizes[0]):
+            n = going[k]
+            reach = best[:n, None, :] + self.into
+            back[k, :n] = reach.argmax(axis=2)
+            best[:n] = reach.max(axis=2) + self.table[rows[k, :n]]
+        path = np.zeros((sizes[0], len(some)), dtype=np.int8)
+        last = (best + self.stop).argmax(axis=1)
+        for k in range(sizes[0] - 1, -1, -1):
+            n = going[k]
+            path[k, :n] = last[:n]
+            last[:n] = back[k, np.arange(n), last[:n]]
+        for i, number in enumerate(numbers):
+            out[number] = [self.tags[t] for t in path[: sizes[i], i].tolist()]
+
 
 def train(rows: DataFrame) -> Tagger:
     """Count a model from (sentence, place, word, tag)."""
@@ -171,18 +207,30 @@ def is_imperative(words: list[str], tags: list[str]) -> bool:
     return i < len(words) and tags[i] == "VB" and (i + 1 == len(words) or low[i + 1] not in NOMINATIVES) and words[-1] != "?"
 
 
+def _decoded(column: pd.Series, tagger: Tagger) -> list[list[tuple[list[str], list[str], bool]]]:
+    """words, tags and imperative of every sentence of every row."""
+    cut = [[tokens(s) for s in ([] if x is None else x)] for x in column]
+    decoded = iter(tagger.decode([s for x in cut for s in x]))
+    return [[(w, t := next(decoded), is_imperative(w, t)) for w in x] for x in cut]
+
+
 def tagged_sentences(df: DataFrame, sentences: str, tagger: Tagger, alias: str = "tagged") -> DataFrame:
     """df with ``alias``: for each of the array's sentences its words, their tags, and whether it is imperative."""
     shared = df.sparkSession.sparkContext.broadcast(tagger)
 
     @F.pandas_udf("array<struct<words: array<string>, tags: array<string>, imperative: boolean>>")
     def tag(column: pd.Series) -> pd.Series:
-        cut = [[tokens(s) for s in ([] if x is None else x)] for x in column]
-        decoded = iter(shared.value.decode([s for x in cut for s in x]))
-        rows = []
-        for x in cut:
-            tags = [next(decoded) for _ in x]
-            rows.append([{"words": w, "tags": t, "imperative": is_imperative(w, t)} for w, t in zip(x, tags, strict=True)])
-        return pd.Series(rows)
+        return pd.Series([[{"words": w, "tags": t, "imperative": i} for w, t, i in x] for x in _decoded(column, shared.value)], dtype=object)
 
     return df.withColumn(alias, tag(sentences))
+
+
+def imperative_sentences(df: DataFrame, sentences: str, tagger: Tagger, alias: str = "imperative") -> DataFrame:
+    """df with ``alias``: for each of the array's sentences whether it is imperative."""
+    shared = df.sparkSession.sparkContext.broadcast(tagger)
+
+    @F.pandas_udf("array<boolean>")
+    def roots(column: pd.Series) -> pd.Series:
+        return pd.Series([[i for _, _, i in x] for x in _decoded(column, shared.value)], dtype=object)
+
+    return df.withColumn(alias, roots(sentences))

@@ -74,7 +74,6 @@ def tagged_features(spark, sf_dir):
     line = F.element_at(F.array(*[F.lit(x) for x in _MAIL]), (F.col("doc_id") % len(_MAIL) + 1).cast("int"))
     bodies = _dotted(spark, sf_dir).withColumn("text", F.concat_ws("\n", "text", line))
     cut = B.split_sentences(bodies, "doc_id", "text", *_learnt(spark, sf_dir))
-    tagged = G.tagged_sentences(cut, "sentences", G.train(G.tagged_mail(spark)))
-    roots = F.transform("tagged", lambda x: x["imperative"])
-    out = S.lexical_features(tagged, "doc_id", "text", cut=F.col("sentences"), roots=roots)
+    tagged = G.imperative_sentences(cut, "sentences", G.train(G.tagged_mail(spark)))
+    out = S.lexical_features(tagged, "doc_id", "text", cut=F.col("sentences"), roots=F.col("imperative"))
     return out.select("doc_id", "n_sentences", F.round("imperative_ratio", 6).alias("imperative_ratio"), F.round("mean_sentence_len", 6).alias("mean_sentence_len"))

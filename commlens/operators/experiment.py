@@ -259,8 +259,8 @@ def text_auc(df: DataFrame, uid: str, text: str, label: str, folds: int = 5, see
     """Mean cross-validated AUC of TF-IDF (without English stop words) and logistic regression.
 
     Folds are stratified: within each label, rows in a seeded hash order go to the folds in
-    turn.  TF-IDF is fitted on all texts.  A single class, or fewer rows of one than folds,
-    is an error.
+    turn, in as many folds as the rarer label has rows, if those are fewer.  TF-IDF is fitted on
+    all texts.  A single class, or one row of it, is an error.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -269,8 +269,9 @@ def text_auc(df: DataFrame, uid: str, text: str, label: str, folds: int = 5, see
 
     rows = df.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"), seeded_order(seed, F.col(uid)).alias("order_key"), F.col(uid).alias("uid"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(3).collect()}
-    if len(sizes) != 2 or min(sizes.values()) < folds:
-        raise ValueError(f"two labels with at least {folds} rows each are needed, not {sizes}")
+    if len(sizes) != 2 or min(sizes.values()) < 2:
+        raise ValueError(f"two labels with at least two rows each are needed, not {sizes}")
+    folds = min(folds, *sizes.values())
     place = positions(rows.select("label", "order_key", "uid"), ["label", "order_key", "uid"], "place").select("uid", "label", (F.col("place") % folds).cast("int").alias("fold"))
     rows = rows.drop("order_key").join(place, ["uid", "label"])
     steps = [

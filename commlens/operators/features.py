@@ -78,9 +78,15 @@ def lexical_features(df: DataFrame, uid: str, body: str, hedges=HEDGES, deferenc
     )
 
 
-def join_features(messages: DataFrame, layer_a: DataFrame, layer_b: DataFrame, uid: str, sender: str, address: str = "address") -> DataFrame:
-    """Messages with features of their own (inner) and of their sender (left)."""
-    return messages.join(layer_a, uid).join(layer_b.withColumnRenamed(address, sender), sender, "left")
+def joined_features(messages: DataFrame, layer_a: DataFrame, layer_b: DataFrame, uid: str, sender: str, recipients: str, address: str = "address", many: int = 10) -> DataFrame:
+    """Messages with features of their own (inner), is_broadcast, and features of their sender (left).
+
+    Messages and their features that are written in buckets of ``uid`` (``session.bucketed``) are
+    joined without an exchange; senders are few beside messages, and their table is broadcast or
+    shuffled as its size is.
+    """
+    flag = F.when(F.col(recipients) >= many, 1.0).otherwise(0.0)
+    return messages.join(layer_a, uid).withColumn("is_broadcast", flag).join(layer_b.withColumnRenamed(address, sender), sender, "left")
 
 
 def power_score(df: DataFrame, weights: dict[str, float], min_components: int = 3) -> DataFrame:

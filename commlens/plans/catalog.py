@@ -18,8 +18,9 @@ from commlens.operators import features as S
 from commlens.operators import messages as M
 from commlens.operators import network as N
 from commlens.operators import sampling as P
+from commlens.operators import statistics as Z
 from commlens.operators import threads as H
-from commlens.session import durable
+from commlens.session import bucketed, durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -428,6 +429,41 @@ def sentence_rates(spark, sf_dir):
     return _rounded(S.lexical_features(d, "doc_id", "text", *_STAND_INS))
 
 
+_COUNTED = "(SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)"
+
+
+def _joined(spark, sf_dir, buckets=8):
+    """A message is the document with its order's number: sender and recipients are the order's."""
+    n = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_recipients"))
+    orders = _orders(spark, sf_dir).join(n, "o_orderkey", "left").withColumn("n_recipients", F.coalesce("n_recipients", F.lit(0)))
+    messages = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("sender"), "n_recipients")
+    layer_a = S.lexical_features(S.eligible_bodies(_sized(spark, sf_dir), "text", "is_empty", 20_000), "doc_id", "text")
+    layer_b = N.broadcast_rate(orders.where("o_custkey % 3 > 0"), "o_custkey", "n_recipients", 6).withColumnRenamed("o_custkey", "address")
+    return S.joined_features(bucketed(messages, "doc_id", buckets), bucketed(layer_a, "doc_id", buckets), layer_b, "doc_id", "sender", "n_recipients", many=6)
+
+
+def _sized(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "text", (F.length(F.trim("text")) == 0).alias("is_empty"))
+
+
+@query(
+    f"""WITH f AS ({_lexical_sql("SELECT doc_id, text FROM documents WHERE length(trim(text)) > 0 AND length(text) <= 20000", S.HEDGES, S.DEFERENCE, S.COMMITMENT)}),
+m AS (SELECT o_orderkey AS doc_id, o_custkey AS sender, coalesce(n, 0) AS n_recipients FROM orders LEFT JOIN {_COUNTED} ON l_orderkey = o_orderkey)
+SELECT doc_id, sender, n_recipients, CASE WHEN n_recipients >= 6 THEN 1.0 ELSE 0.0 END AS is_broadcast, imperative_ratio, question_ratio, round(broadcast_rate, 6) AS broadcast_rate
+FROM m JOIN f USING (doc_id) LEFT JOIN (SELECT sender, avg(CAST(n_recipients >= 6 AS DOUBLE)) AS broadcast_rate FROM m WHERE sender % 3 > 0 GROUP BY 1) USING (sender)"""
+)
+def joined_features(spark, sf_dir):
+    rounded = [F.round(c, 6).alias(c) for c in ("imperative_ratio", "question_ratio", "broadcast_rate")]
+    return _joined(spark, sf_dir).select("doc_id", "sender", "n_recipients", "is_broadcast", *rounded)
+
+
+@query("SELECT count(*) AS bodies, count(*) FILTER (WHERE length(trim(text)) > 0 AND length(text) <= 2000) AS eligible, count(*) FILTER (WHERE length(text) > 2000) AS oversized FROM documents")
+def body_sizes(spark, sf_dir):
+    d = _sized(spark, sf_dir)
+    kept = S.eligible_bodies(d, "text", "is_empty", 2000).agg(F.count(F.lit(1)).alias("eligible"))
+    return d.agg(F.count(F.lit(1)).alias("bodies")).crossJoin(kept).crossJoin(S.oversized(d, "text", 2000)).select("bodies", "eligible", "oversized")  # single rows
+
+
 _WEIGHTS = {"n_chars": 0.5, "quality": -0.25, "toxic": 1.0}
 _Z = "CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END AS z_{c}"
 _POWER = (
@@ -760,6 +796,45 @@ def tost(spark, sf_dir):
     return X.tost_moments(_paired(spark, sf_dir), "a", "b").select("n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
 
 
+# pairs of each group of orders: whole numbers, which tie, in every other group, and prices in the others
+_GROUPED = "(SELECT l_orderkey // 5 AS g, CASE WHEN l_orderkey // 5 % 2 = 0 THEN l_quantity ELSE l_extendedprice END AS a, CASE WHEN l_orderkey // 5 % 2 = 0 THEN l_discount * 500 ELSE l_quantity * 1500 END AS b FROM lineitem)"
+
+
+def _grouped(spark, sf_dir):
+    g = F.floor(F.col("l_orderkey") / 5)
+    pick = lambda x, y: F.when(g % 2 == 0, x).otherwise(y)
+    return read(spark, sf_dir, "lineitem").select(g.alias("g"), pick(F.col("l_quantity"), F.col("l_extendedprice")).alias("a"), pick(F.col("l_discount") * 500, F.col("l_quantity") * 1500).alias("b"))
+
+
+@query(
+    f"""WITH RECURSIVE ways AS (SELECT 0 AS n, list_transform(range(0, 1276), lambda i: CASE WHEN i = 0 THEN 1::DOUBLE ELSE 0 END) AS a UNION ALL SELECT n + 1, list_transform(range(1, 1277), lambda i: a[i] + CASE WHEN i > n + 1 THEN a[i - n - 1] ELSE 0 END) FROM ways WHERE n < {Z.EXACT}),
+d AS (SELECT g, a - b AS d FROM {_GROUPED}),
+r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY g, abs(d)) AS t FROM d WHERE d <> 0),
+s AS (SELECT g, count(*) AS n, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1),
+e AS (SELECT d.g, count(*) AS n_pairs, median(d) AS m FROM d GROUP BY 1),
+x AS (SELECT *, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM s)
+SELECT e.g, n_pairs, coalesce(x.n, 0) AS n, coalesce(w, 0) AS w, round(m, 6) AS median_difference, round(CASE WHEN x.n IS NULL THEN 1 WHEN x.n <= {Z.EXACT} AND ties = 0 THEN least(1, 2 * list_sum(ways.a[1:CAST(floor(w) AS BIGINT) + 1]) / pow(2, x.n)) WHEN x = 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(x) - lgamma(k + 1.5) - x * x)))) END, 6) AS p_value
+FROM e LEFT JOIN x USING (g) LEFT JOIN ways ON ways.n = x.n"""
+)
+def wilcoxon_p(spark, sf_dir):
+    return Z.wilcoxon_by(_grouped(spark, sf_dir), ["g"], "a", "b").select("g", "n_pairs", "n", "w", F.round("median_difference", 6).alias("median_difference"), F.round("p_value", 6).alias("p_value"))
+
+
+# the distribution by Simpson's rule over the angle whose tangent is t / sqrt(df)
+_T_ABOVE = "0.5 - exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * atan({t} / sqrt(v)) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(atan({t} / sqrt(v)) * i / 2000), v - 1)))"
+
+
+@query(
+    f"""WITH s AS (SELECT g, count(*) AS n_pairs, avg(a - b) AS m, coalesce(stddev_samp(a - b) / sqrt(count(*)), 0) AS se, (count(*) - 1)::DOUBLE AS v FROM {_GROUPED} GROUP BY 1),
+t AS (SELECT *, (m + 3) / nullif(se, 0) AS lo, (3 - m) / nullif(se, 0) AS hi FROM s),
+p AS (SELECT *, CASE WHEN se = 0 THEN CASE WHEN abs(m) < 3 THEN 0 ELSE 1 END ELSE {_T_ABOVE.format(t="lo")} END AS p_lower, CASE WHEN se = 0 THEN CASE WHEN abs(m) < 3 THEN 0 ELSE 1 END ELSE {_T_ABOVE.format(t="hi")} END AS p_upper FROM t)
+SELECT g, n_pairs, round(m, 8) AS mean_difference, round(p_lower, 6) AS p_lower, round(p_upper, 6) AS p_upper, p_lower < 0.2 AND p_upper < 0.2 AS equivalent FROM p"""
+)
+def tost_p(spark, sf_dir):
+    out = Z.tost_by(_grouped(spark, sf_dir), ["g"], "a", "b", margin=3.0, alpha=0.2)
+    return out.select("g", "n_pairs", F.round("mean_difference", 8).alias("mean_difference"), F.round("p_lower", 6).alias("p_lower"), F.round("p_upper", 6).alias("p_upper"), "equivalent")
+
+
 @query()
 def model_free_auc(spark, sf_dir):
     x = read(spark, sf_dir, "documents").select("doc_id", "text").join(read(spark, sf_dir, "labels"), "doc_id")

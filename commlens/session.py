@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +18,29 @@ def session(master: str | None = None, name: str = "commlens", **conf: str) -> S
     return b.getOrCreate()
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The table written in buckets of ``key`` below spark.checkpoint.dir: joins of such tables on the key need no exchange.
+
+    The files stay until the folder is cleared; the name goes with the session.
+    """
+    spark = df.sparkSession
+    name = f"commlens_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode a temporary folder, where that is unset."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return (folder or "file://" + tempfile.mkdtemp(prefix="commlens-")).rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir (in local mode a temporary folder, where that is unset)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="commlens-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

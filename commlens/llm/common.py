@@ -81,6 +81,14 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it differ from all columns (whose case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _drop(b: pa.RecordBatch, at: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c for k, c in enumerate(b.columns) if k != at], [n for k, n in enumerate(b.schema.names) if k != at])
 
@@ -115,7 +123,7 @@ class IdFilter:
     def part(self, df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         """Rows whose id may be in the set, and rows whose id is not."""
         at = len(df.columns)
-        placed = df.withColumn("commlens_at", self.place(*columns))
+        placed = df.withColumn(unused(df, "at"), self.place(*columns))
 
         def rows(inside: bool) -> DataFrame:
             return map_batches(placed, lambda b: _drop(b.filter(pa.array(self.passes(b.column(at).to_numpy()) == inside)), at), df.schema)

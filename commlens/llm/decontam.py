@@ -17,11 +17,14 @@ distinct five-word shingles of each at least ``OVERLAP`` must stand in the passa
 shingles of a part under ``SHORT`` words; the whole sequence of a still shorter one).
 
 The index is broadcast while the benchmark's texts take at most ``INDEX_BYTES``; a larger one
-is dealt by hash over parts that are searched one after the other.  Every part has the number
-of items, document frequencies, mean length and window of the whole benchmark, so that the
-hits are the same in any number of parts, memory stays bounded and no item is dropped.
-
-Null and empty texts have no passages; items without words match nothing; items without id
+is dealt by hash over parts that are searched one after the other: a part's hits are written
+to the shared folder, and its index is given up, before the next part is built.  Every part
+reads the documents once, and has the number of items, document frequencies, mean length and
+window of the whole benchmark, so that the hits are the same in any number of parts, memory
+stays that of one part and no item is dropped.
+
+Null and empty texts have no passages; very long ones are cut into passages whole; equal
+scores are all kept, as every item above the threshold is; items without words match nothing; items without id
 are found like others (their item_id is null); repeated documents and items give repeated
 hits; an empty benchmark or document table gives no hits.  Only doc_id, item_id and text are
 read, so other columns may have any name.
@@ -32,17 +35,18 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import map_batches, mix64, slices, texts, written
+from commlens.llm.common import IdFilter, keep_rows, map_batches, mix64, slices, texts, unused, written
 from commlens.llm.words import numbered_words
 
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
@@ -270,11 +274,19 @@ class Index:
         return out
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def part_count(benchmark: DataFrame, most: int | None = None) -> int:
+    """In how many parts of about ``most`` bytes of text a benchmark is indexed."""
+    size = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-size // (most or INDEX_BYTES)))
+
+
 def indexes(benchmark: DataFrame, most: int | None = None) -> Iterator[Index]:
     """The index, in parts of at most about ``most`` bytes of text, all with the statistics of the whole."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // (most or INDEX_BYTES)))
+    items, parts = _items(benchmark), part_count(benchmark, most)
     if parts == 1:
         yield Index([tuple(r) for r in items.collect()])  # at most ``most`` bytes
         return
@@ -293,13 +305,22 @@ def indexes(benchmark: DataFrame, most: int | None = None) -> Iterator[Index]:
         yield Index([tuple(r) for r in mine.select("item_id", "text").collect()], Statistics(n, max(1.0, mean), longest, {bytes(r.w): r.df for r in known}))
 
 
+def _searched(benchmark: DataFrame, search: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The union of ``search`` over all parts of the index; of several parts, one after the other."""
+    several, found = part_count(benchmark) > 1, []
+    for index in indexes(benchmark):
+        shared = benchmark.sparkSession.sparkContext.broadcast(index)
+        if not several:
+            return search(shared)
+        found.append(written(search(shared)))
+        shared.destroy()
+    return reduce(DataFrame.unionAll, found)
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item found in it."""
-    spark = docs.sparkSession
-
-    def search(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
 
+    def search(shared: Broadcast) -> DataFrame:
         def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
             ids = b.column(0).to_pylist()
             rows = [(i, *x) for i, found in zip(ids, shared.value.hits(texts(b)), strict=True) for x in found]
@@ -310,17 +331,27 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
-    return reduce(DataFrame.unionAll, [search(x) for x in indexes(benchmark)])
+    return _searched(benchmark, search)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    spark = docs.sparkSession
-    for index in indexes(benchmark):  # one search after the other
-        shared = spark.sparkContext.broadcast(index)
+    """The documents in which no item is found, with all their columns; those without text stay.
+
+    With an index of several parts, the digests of the texts in which any part finds an item are
+    collected part by part, and documents with such a text go in one more pass.
+    """
+    if part_count(benchmark) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(indexes(benchmark)))
+        return keep_rows(docs, lambda t: np.array([not x for x in shared.value.hits(t)], dtype=bool))
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("t")
+
+    def search(shared: Broadcast) -> DataFrame:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(x) for x in shared.value.hits(texts(b))], pa.bool_()))], ["t"])
 
-        def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            return b.filter(pa.array([not x for x in shared.value.hits(texts(b))], pa.bool_()))
+        return map_batches(docs.select(key, "text"), run, "t binary").distinct()
 
-        docs = map_batches(docs, run, docs.schema)
-    return docs
+    gone = written(_searched(benchmark, search).distinct())
+    t = unused(docs, "t")
+    unsure, clear = IdFilter(gone, "t").part(docs.withColumn(t, key), t)
+    return clear.unionAll(unsure.join(gone.withColumnRenamed("t", t), t, "left_anti").select(clear.columns)).select(docs.columns)

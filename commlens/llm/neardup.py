@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commlens.llm.common import IdFilter, forget, grouped, map_batches, mix64, slices, texts, written
+from commlens.llm.common import IdFilter, forget, grouped, map_batches, mix64, slices, texts, unused, written
 from commlens.llm.components import connected_components
 from commlens.llm.words import hashed_words
 
@@ -264,8 +264,9 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _matching(left: DataFrame, right: DataFrame, how: str, md5: str = "md5") -> DataFrame:
     """A semi or anti join by (doc_id, md5), null ids included."""
-    r = right.select(F.col("doc_id").alias("commlens_id"), F.col("md5").alias("commlens_digest"))
-    return left.join(r, left["doc_id"].eqNullSafe(r["commlens_id"]) & (left[md5] == r["commlens_digest"]), how)
+    i, d = unused(left, "id"), unused(left, "digest")
+    r = right.select(F.col("doc_id").alias(i), F.col("md5").alias(d))
+    return left.join(r, left["doc_id"].eqNullSafe(r[i]) & (left[md5] == r[d]), how)
 
 
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -284,7 +285,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows = some.groupBy("doc_id", "md5").agg(F.count(F.lit(1)).alias("n"))
     gone = written(_matching(rows, best, "left_anti").select("doc_id", "md5"))
     twice = written(_matching(rows.where("n > 1"), best, "left_semi").select("doc_id", "md5"))
-    digest = "commlens_md5"
+    digest = unused(docs, "md5")
     unsure, clear = IdFilter(gone.unionAll(twice), "doc_id", "md5").part(docs.withColumn(digest, _md5()), "doc_id", digest)
     unsure = _matching(unsure, gone, "left_anti", digest)
     once = _matching(unsure, twice, "left_semi", digest).dropDuplicates(["doc_id", digest])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,17 +256,19 @@ def tost(n: int, mean: float, se: float | None, margin: float = 0.4, alpha: floa
     return low, high, max(low, high) < alpha
 
 
-def text_auc(df: DataFrame, uid: str, text: str, label: str, folds: int = 5, seed: int = 20260807) -> DataFrame:
+def text_auc(df: DataFrame, uid: str, text: str, label: str, folds: int = 5, seed: int = 20260807, leak: bool = False, rounds: int = 30, tol: float = 1e-6) -> DataFrame:
     """Mean cross-validated AUC of TF-IDF (without English stop words) and logistic regression.
 
     Folds are stratified: within each label, rows in a seeded hash order go to the folds in
-    turn, in as many folds as the rarer label has rows, if those are fewer.  TF-IDF is fitted on
-    all texts.  A single class, or one row of it, is an error.
+    turn, in as many folds as the rarer label has rows, if those are fewer.  The vocabulary is
+    exact (every word of two letters or more), and document frequencies are counted in each
+    fold's training rows alone; with ``leak`` they are counted in all rows.  Folds are fitted side
+    by side.  A single class, or one row of it, is an error.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.feature import StopWordsRemover
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
     rows = df.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"), seeded_order(seed, F.col(uid)).alias("order_key"), F.col(uid).alias("uid"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(3).collect()}
@@ -273,18 +276,39 @@ def text_auc(df: DataFrame, uid: str, text: str, label: str, folds: int = 5, see
         raise ValueError(f"two labels with at least two rows each are needed, not {sizes}")
     folds = min(folds, *sizes.values())
     place = positions(rows.select("label", "order_key", "uid"), ["label", "order_key", "uid"], "place").select("uid", "label", (F.col("place") % folds).cast("int").alias("fold"))
-    rows = rows.drop("order_key").join(place, ["uid", "label"])
-    steps = [
-        RegexTokenizer(inputCol="text", outputCol="all", pattern=r"(?U)\W+", minTokenLength=2),
-        StopWordsRemover(inputCol="all", outputCol="words"),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18),
-        IDF(inputCol="tf", outputCol="idf"),
-        Normalizer(inputCol="idf", outputCol="features"),
-    ]
-    x = durable(Pipeline(stages=steps).fit(rows).transform(rows).select("features", "label", "fold"))
-    values = []
-    for k in range(folds):
-        n = sum(sizes.values()) * (folds - 1) / folds
-        model = LogisticRegression(regParam=1 / n, maxIter=30, standardization=False).fit(x.where(F.col("fold") != k))
-        values.append(BinaryClassificationEvaluator(numBins=0).evaluate(model.transform(x.where(F.col("fold") == k))))
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), 0), lambda w: ~w.isin(stop))
+    x = durable(rows.drop("order_key").join(place, ["uid", "label"]).select("uid", "label", "fold", words.alias("words")))
+    tf = durable(x.select("uid", "label", "fold", F.explode("words").alias("w")).groupBy("uid", "label", "fold", "w").agg(F.count(F.lit(1)).alias("tf")))
+    # every word has a number in all folds; one that no training row has, has no frequency there
+    tf = tf.join(durable(positions(tf.select("w").distinct(), ["w"], "at")), "w")
+    frequency = durable(tf.groupBy("at", "fold").agg(F.count(F.lit(1)).alias("df")))
+    size = frequency.agg(F.coalesce(F.max("at"), F.lit(0)) + 1).first()[0]
+    vectors = tf.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("tf").cast("double").alias("tf")))).alias("v"))
+    sparse = F.udf(lambda at, v: SparseVector(size, at or [], v or []), VectorUDT(), useArrow=False)
+    counts = durable(x.drop("words").join(vectors, "uid", "left").select("uid", "label", "fold", sparse("v.at", "v.tf").alias("counts")))
+    n_fold = {r["fold"]: r["count"] for r in counts.groupBy("fold").count().collect()}  # a row a fold
+
+    def one(k: int) -> float:
+        train = sum(v for f, v in n_fold.items() if f != k)
+        n = sum(n_fold.values()) if leak else train
+        seen = (frequency if leak else frequency.where(F.col("fold") != k)).groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+        idf = [0.0] * size  # as large as the coefficients
+        for at, df in zip(*(seen.column(c).to_pylist() for c in ("at", "df")), strict=True):
+            idf[at] = math.log((n + 1) / (df + 1)) + 1
+        rows = features(counts, idf)
+        model = LogisticRegression(regParam=1 / train, maxIter=rounds, tol=tol, standardization=False).fit(rows.where(F.col("fold") != k))
+        return BinaryClassificationEvaluator(numBins=0).evaluate(model.transform(rows.where(F.col("fold") == k)))
+
+    with ThreadPoolExecutor(folds) as pool:
+        values = list(pool.map(one, range(folds)))
     return df.sparkSession.createDataFrame([(folds, sum(values) / folds)], "folds int, mean_auc double")
+
+
+def features(counts: DataFrame, idf: list[float]) -> DataFrame:
+    """uid, label, fold, features: each row's tf-idf vector of unit length (zero without a known word)."""
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="scaled").transform(counts)
+    return Normalizer(inputCol="scaled", outputCol="features").transform(scaled).select("uid", "label", "fold", "features")

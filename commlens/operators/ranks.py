@@ -37,8 +37,9 @@ def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if it is small; a large one is joined by shuffle."""
-    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+    """The table, written once and counted there: marked for broadcast if it is small, joined by shuffle if not."""
+    held = durable(table)
+    return F.broadcast(held) if held.count() <= SMALL else held
 
 
 def medians(df: DataFrame, groups: list[str], value: str, alias: str) -> DataFrame:

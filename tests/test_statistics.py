@@ -119,3 +119,62 @@ def test_bucketed_messages_meet_their_features_without_an_exchange(spark, no_bro
     assert "Exchange hashpartitioning(sender" in plan and "Exchange hashpartitioning(uid" not in plan
     plan = catalog._joined(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(sender" in plan and "Exchange hashpartitioning(doc_id" not in plan
+
+
+def test_cross_validation_equals_a_fold_in_numpy(spark):
+    import numpy as np
+    from pyspark.ml.feature import StopWordsRemover
+
+    rng = random.Random(9)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "the", "x", "omega", "sigma"]
+    rows = [(i, " ".join(rng.choice(vocabulary[(i % 2) :]) for _ in range(rng.randrange(1, 12))) + f" only{i}", i % 2) for i in range(41)] + [(90, None, 1), (91, "the", 0)]
+    df = spark.createDataFrame(rows, "i int, t string, y int")
+    fitted = {}
+    plain = X.features
+
+    def spy(counts, idf):
+        out = plain(counts, idf)
+        fitted[len(fitted), id(idf)] = (out.collect(), idf)
+        return out
+
+    X.features = spy
+    try:
+        got = X.text_auc(df, "i", "t", "y", folds=3, rounds=100, tol=1e-9).first()
+    finally:
+        X.features = plain
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    words = {i: [w for w in (t or "").split() if len(w) > 1 and w not in stop] for i, t, _ in rows}
+    folds = {r.uid: r.fold for r in next(iter(fitted.values()))[0]}
+    assert got.folds == 3 and len(fitted) == 3 and len(folds) == 43
+    values = []
+    for held in range(3):
+        train = [i for i in words if folds[i] != held]
+        known = {w for i in train for w in words[i]}
+        idf = {w: math.log((len(train) + 1) / (sum(w in words[i] for i in train) + 1)) + 1 for w in known}
+        every = sorted({w for x in words.values() for w in x})
+        full = [idf.get(w, 0.0) for w in every]  # words that no training row has weigh nothing
+        out = next(rows_ for rows_, weights in fitted.values() if len(weights) == len(full) and all(map(math.isclose, weights, full)))
+        place = {w: k for k, w in enumerate(every)}
+        number = {w: k for k, w in enumerate(sorted(known))}
+        x = {i: np.zeros(len(known)) for i in words}
+        for i, ws in words.items():
+            for w in ws:
+                if w in known:
+                    x[i][number[w]] += idf[w]
+            x[i] /= np.linalg.norm(x[i]) or 1
+        for r in out:
+            v = r.features
+            assert all(math.isclose(v[place[w]], x[r.uid][number[w]], abs_tol=1e-12) for w in known) and math.isclose(v.norm(2) ** 2, float(x[r.uid] @ x[r.uid]), abs_tol=1e-9)
+        # ridge-penalised logistic regression by Newton's method, the intercept without penalty
+        a = np.array([[1.0, *x[i]] for i in train])
+        y = np.array([rows[[q[0] for q in rows].index(i)][2] for i in train], dtype=float)
+        w, ridge = np.zeros(a.shape[1]), np.diag([0.0] + [1.0] * len(known)) / len(train)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(train) + ridge, a.T @ (p - y) / len(train) + ridge @ w)
+        test = [i for i in words if folds[i] == held]
+        score = {i: w[0] + x[i] @ w[1:] for i in test}
+        label = {q[0]: q[2] for q in rows}
+        pairs = [(score[i] > score[j]) + (math.isclose(score[i], score[j], abs_tol=1e-9)) / 2 for i in test for j in test if label[i] == 1 and label[j] == 0]
+        values.append(sum(pairs) / len(pairs))
+    assert math.isclose(got.mean_auc, sum(values) / 3, abs_tol=1e-6)

@@ -449,7 +449,7 @@ def _sized(spark, sf_dir):
 @query(
     f"""WITH f AS ({_lexical_sql("SELECT doc_id, text FROM documents WHERE length(trim(text)) > 0 AND length(text) <= 20000", S.HEDGES, S.DEFERENCE, S.COMMITMENT)}),
 m AS (SELECT o_orderkey AS doc_id, o_custkey AS sender, coalesce(n, 0) AS n_recipients FROM orders LEFT JOIN {_COUNTED} ON l_orderkey = o_orderkey)
-SELECT doc_id, sender, n_recipients, CASE WHEN n_recipients >= 6 THEN 1.0 ELSE 0.0 END AS is_broadcast, imperative_ratio, question_ratio, round(broadcast_rate, 6) AS broadcast_rate
+SELECT doc_id, sender, n_recipients, CAST(n_recipients >= 6 AS DOUBLE) AS is_broadcast, imperative_ratio, question_ratio, round(broadcast_rate, 6) AS broadcast_rate
 FROM m JOIN f USING (doc_id) LEFT JOIN (SELECT sender, avg(CAST(n_recipients >= 6 AS DOUBLE)) AS broadcast_rate FROM m WHERE sender % 3 > 0 GROUP BY 1) USING (sender)"""
 )
 def joined_features(spark, sf_dir):

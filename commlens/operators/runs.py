@@ -113,9 +113,11 @@ def answered(requests: DataFrame, cache: DataFrame, answer: Callable[[DataFrame]
         require_cached(requests, cache)
     first = requests.groupBy("key").agg(F.min(uid).alias("first_uid"))
     held = cache.select("key", "response")
-    missing = requests.join(first.join(held, "key", "left_anti"), "key").where(F.col(uid) == F.col("first_uid")).drop("first_uid").dropDuplicates(["key"])
+    # by key and id: a key that many requests share is no hot one
+    paying = first.join(held, "key", "left_anti").withColumnRenamed("first_uid", uid)
+    missing = requests.join(paying, ["key", uid], "left_semi").dropDuplicates(["key"])
     known = held.withColumn("cached", F.lit(True)).unionByName(answer(missing).select("key", "response").withColumn("cached", F.lit(False)))
-    out = requests.join(known, "key").join(first, "key")
+    out = requests.join(known.join(first, "key"), "key")
     return out.withColumn("from_cache", F.col("cached") | (F.col(uid) != F.col("first_uid"))).drop("cached", "first_uid")
 
 

@@ -17,6 +17,7 @@ from commlens.operators import sampling as P
 from commlens.operators import threads as H
 from commlens.plans import catalog as C
 from commlens.plans.catalog import query, read
+from commlens.streaming import batches
 
 _NN = "chr(10) || chr(10)"
 _REQUESTS = f"""WITH p AS (SELECT n_name AS persona_id, r_name AS rank_label, n_nationkey * 10 AS words, n_regionkey AS questions, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -151,6 +152,32 @@ def batch_collect(spark, sf_dir):
     return R.map_results(got, R.custom_ids(orders, "o_orderkey", 500), orders, "o_orderkey").select("custom_id", "o_orderkey", "is_mapped")
 
 
+# every event is a request; its result comes after 0 to 29 hours, of each seventh never, of each fifth twice
+_HOUR = 3_600_000
+_CAME = f"""(SELECT event_id, event_type, event_id * 37 % 30 * {_HOUR} AS delay FROM events WHERE event_id % 7 <> 0)"""
+
+
+@query(
+    f"""WITH newest AS (SELECT max(t) AS t FROM (SELECT epoch_ms(ts) + CASE WHEN event_id % 7 <> 0 THEN event_id * 37 % 30 * {_HOUR} + CASE WHEN event_id % 5 = 0 THEN {_HOUR} ELSE 0 END ELSE 0 END AS t FROM events))
+SELECT CAST(event_id AS VARCHAR) AS custom_id, CAST(event_id AS VARCHAR) AS uid, CASE WHEN delay <= 24 * {_HOUR} THEN 'collected' ELSE 'late' END AS status, event_type AS response, delay AS delay_ms FROM {_CAME}
+UNION ALL SELECT CAST(event_id AS VARCHAR), CAST(event_id AS VARCHAR), 'repeated', event_type, delay + {_HOUR} FROM {_CAME} WHERE event_id % 5 = 0
+UNION ALL SELECT CAST(event_id AS VARCHAR), CAST(event_id AS VARCHAR), 'missing', NULL, NULL FROM events, newest WHERE event_id % 7 = 0 AND epoch_ms(ts) + 24 * {_HOUR} < t
+UNION ALL SELECT 'x' || event_id, NULL, 'unknown', event_type, NULL FROM events, newest WHERE event_id % 11 = 0 AND epoch_ms(ts) + 24 * {_HOUR} < t"""
+)
+def collected_results(spark, sf_dir):
+    # the state machine of the stream, over all events
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = F.col("event_id").cast("string")
+    later = lambda hours: F.timestamp_micros(F.unix_micros("ts") + hours * F.lit(_HOUR * 1000))
+    hours = F.col("event_id") * 37 % 30
+    result = lambda id_, created: (id_.alias("custom_id"), F.col("event_type").alias("response"), created.alias("created"))
+    came = e.where("event_id % 7 <> 0")
+    results = came.select(*result(name, later(hours)))
+    results = results.unionAll(came.where("event_id % 5 = 0").select(*result(name, later(hours + 1))))
+    results = results.unionAll(e.where("event_id % 11 = 0").select(*result(F.concat(F.lit("x"), name), F.col("ts"))))
+    return batches.collect_all(e.select(name.alias("custom_id"), name.alias("uid"), F.col("ts").alias("submitted")), results)
+
+
 # ---- judging --------------------------------------------------------------------------
 
 _ITEMS = "SELECT o_orderkey AS item_id, 'order ' || o_orderkey || ' ' || o_orderpriority AS text, CASE o_orderkey % 3 WHEN 0 THEN 'neutral' WHEN 1 THEN 'reordered' ELSE 'role_framed' END AS phrasing FROM orders"

@@ -45,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir; the folder goes when the application ends."""
+    path = f"{shared_folder(spark)}/commlens-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if SparkContext._active_spark_context is None:
         return
@@ -59,7 +66,6 @@ def durable(df: DataFrame) -> DataFrame:
     is computed twice).  The folder goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/commlens-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commlens.functions.text import deterministic_choice
-from commlens.operators.experiment import scores_wide
 from commlens.operators.runs import request_key
 
 # The rubric's items by group, and the scale.
@@ -89,8 +88,9 @@ def scores_long(scored: DataFrame, *keep: str) -> DataFrame:
 
 
 def score_table(scored: DataFrame, *keep: str) -> DataFrame:
-    """One row a valid item with score_* and evidence_* columns."""
-    return scores_wide(scores_long(scored, *keep), list(keep), "key", VARIANTS["neutral"])
+    """One row for each valid one, with score_* and evidence_* columns, straight from the map of its reply."""
+    fields = [F.col("e")[k][v].alias(f"{v}_{k}") for k in VARIANTS["neutral"] for v in ("score", "evidence")]
+    return scored.where("is_valid").select(*keep, *fields)
 
 
 def origin_ratings(done: DataFrame, *keep: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from commlens.functions import prompts
 from commlens.functions import text as T
 from commlens.operators.experiment import CONFIDENCES, DECISIONS, batch_chunks, cost_usd
+from commlens.session import durable
 from commlens.sources.cache import put
 from commlens.sources.stores import open_store
 
@@ -107,8 +108,10 @@ def answered(requests: DataFrame, cache: DataFrame, answer: Callable[[DataFrame]
     """Every request with its response and from_cache.
 
     ``answer`` gets each missing key once; of the requests that share it, the first one in
-    the order of ``uid`` paid for it and the others find it in the cache.
+    the order of ``uid`` paid for it and the others find it in the cache.  The requests are
+    written first, so that prompts and keys are made once and the joins on keys read no texts.
     """
+    requests = durable(requests)
     if cache_only:
         require_cached(requests, cache)
     first = requests.groupBy("key").agg(F.min(uid).alias("first_uid"))

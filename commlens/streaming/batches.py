@@ -63,11 +63,12 @@ class Collector(StatefulProcessor):
                 uid, submitted = r.uid, r.ms
             if created is None or submitted is None:
                 status = "open"
-                self.handle.registerTimer(r.ms + self.within - self.remember)
             else:
                 status = "collected" if created <= submitted + self.within else "late"
                 yield self._row(key, uid, status, response, created, submitted)
-        self.handle.registerTimer(last)
+        # one timer at a time: an id that is still open is looked at again when its time is up
+        first = created if submitted is None else submitted
+        self.handle.registerTimer(first + self.within - self.remember if status == "open" else last)
         self.state.update((uid, submitted, status, response, created, last))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -80,8 +81,9 @@ class Collector(StatefulProcessor):
         if status == "open" and at >= first + self.within - self.remember:
             status = "unknown" if submitted is None else "missing"
             self.state.update((uid, submitted, status, response, created, last))
+            self.handle.registerTimer(last)
             yield self._row(key, uid, status, response, created, submitted)
-        if at >= last:
+        elif at >= last:
             self.state.clear()
 
     def _row(self, key, uid, status, response, created, submitted) -> Row:

@@ -12,13 +12,16 @@ fetch records in any order.  A checksum c is masked as rotate-right(c, 15) + 0xa
 modulo 2**32, so that a checksum of data that holds checksums stays meaningful.
 
 Texts are encoded where they are read; only their ids are shuffled, to the range of ids
-that a bucket holds (quantiles of doc_id, one bucket for about ``SHARD_BYTES`` of text).
+that a bucket holds (quantiles of doc_id, one bucket for about ``SHARD_BYTES`` of text, and
+``MOST_RANGES`` of them at most).  A bucket is a task; its shards end at ``SHARD_BYTES``, so
+they stay as large where there are more of them than buckets.
 An id that fills several buckets (repeated, or null) is dealt over them by the checksum
 of the ids, which is also the order among rows of one id.
 
 A task writes under names of its own and renames at the end.  The manifest, one row a
-shard, is a Parquet table beside the shards; Spark's commit makes it hold exactly one
-shard of a task that is lost or run twice, and readers take shards from there only.
+shard, is a Parquet table beside the shards; Spark's commit makes it hold the shards of
+exactly one run of a task that is lost or run twice, and readers take shards from there
+only.  Where a shard's ids start is a running total of the manifest, by bucket.
 
 Null texts are empty (the end id alone); null ids sort first; an empty table writes no
 shard and reads as empty; only doc_id and text are read, so other columns may have any name.
@@ -35,7 +38,7 @@ from itertools import batched
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commlens.llm.common import map_batches, shared_dir, texts
@@ -46,8 +49,10 @@ _DOC = struct.Struct("<qBB")
 _CRC = struct.Struct("<I")
 #: Bytes of text of a shard, about.
 SHARD_BYTES = 32 << 20
+#: Buckets at most: their bounds come from one aggregate, and their totals are summed in one task.
+MOST_RANGES = 20_000
 _LEAST = -(1 << 63)
-MANIFEST = "path string, bucket int, n_docs long, n_ids long"
+MANIFEST = "path string, bucket int, part int, n_docs long, n_ids long"
 RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -92,7 +97,7 @@ def _bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
     """Quantiles of doc_id (null as the smallest number): where buckets begin."""
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // shard_bytes))
-    n = max(1, min(n, rows))
+    n = max(1, min(n, rows, MOST_RANGES))
     if n == 1:
         return []
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
@@ -121,10 +126,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         shard = None
         for b in batches:
             for bucket, doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if shard is None or shard.bucket != bucket:
+                if shard is None or shard.bucket != bucket or shard.at >= shard_bytes:
                     if shard is not None:
                         yield shard.close()
-                    shard = _Shard(folder, bucket)
+                    shard = _Shard(folder, bucket, shard.part + 1 if shard is not None and shard.bucket == bucket else 0)
                 shard.add(doc, width, ids)
         if shard is not None:
             yield shard.close()
@@ -140,8 +145,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 class _Shard:
     """A shard being written, under a name of its own."""
 
-    def __init__(self, folder: str, bucket: int):
-        self.bucket, self.name = bucket, f"{bucket:06d}-{uuid.uuid4().hex}"
+    def __init__(self, folder: str, bucket: int, part: int):
+        self.bucket, self.part, self.name = bucket, part, f"{bucket:06d}-{part:06d}-{uuid.uuid4().hex}"
         self.store, self.root = fs.FileSystem.from_uri(folder)
         self.store.create_dir(self.root)
         self.out = self.store.open_output_stream(f"{self.root}/.{self.name}.rec")
@@ -161,22 +166,30 @@ class _Shard:
             f.write(np.array(self.offsets, dtype="<u8").tobytes())
         for kind in ("idx", "rec"):
             self.store.move(f"{self.root}/.{self.name}.{kind}", f"{self.root}/part-{self.name}.{kind}")
-        row = {"path": f"part-{self.name}", "bucket": self.bucket, "n_docs": len(self.offsets), "n_ids": self.n_ids}
-        return pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        row = {"path": f"part-{self.name}", "bucket": self.bucket, "part": self.part, "n_docs": len(self.offsets), "n_ids": self.n_ids}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """The shards of a folder; their order is that of ``bucket``."""
+    """The shards of a folder; their order is that of ``bucket`` and ``part``."""
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def _shards(spark: SparkSession, folder: str, seed: int | None = None) -> DataFrame:
-    """path, start (ids of all shards before it), n_docs and a seed of every shard, one to a task."""
-    rows = read_manifest(spark, folder).orderBy("bucket").collect()  # one row for SHARD_BYTES of text
-    before = np.cumsum([0] + [r.n_ids for r in rows]).tolist()
-    order = range(len(rows)) if seed is None else np.random.default_rng(seed).permutation(len(rows)).tolist()
-    shards = [(rows[k].path, before[k], rows[k].n_docs, (seed or 0) + k) for k in order]
-    return spark.createDataFrame(shards, "path string, start long, n_docs long, seed long").repartition(max(1, len(shards)))
+    """path, start (ids of all shards before it), n_docs and a seed of every shard, dealt over tasks.
+
+    In order without a seed, else in a random one that the seed, bucket and part give.
+    """
+    rows = read_manifest(spark, folder)
+    sums = rows.groupBy("bucket").agg(F.sum("n_ids").alias("n"))  # MOST_RANGES rows at most
+    ahead = sums.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("ahead") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    mixed = F.pmod(F.xxhash64(F.lit(seed or 0), "bucket", "part"), F.lit(1 << 62))
+    shards = rows.join(F.broadcast(ahead), "bucket").select("path", start.alias("start"), "n_docs", mixed.alias("seed"), "bucket", "part")
+    order = ["bucket", "part"] if seed is None else ["seed", "bucket", "part"]
+    tasks = max(1, min(rows.count(), MOST_RANGES))
+    return shards.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("path", "start", "n_docs", "seed")
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:

@@ -121,6 +121,19 @@ def test_shuffled_reads_by_the_index(spark, tmp_path):
     assert [i for i, _ in first] != sorted(i for i, _ in first)
 
 
+def test_shards_end_inside_their_range(spark, tmp_path, monkeypatch):
+    texts = [f"word{i} " * (1 + i % 9) for i in range(200)]
+    whole = rows(records.round_trip(docs(spark, texts), WORD, 2))
+    monkeypatch.setattr(records, "MOST_RANGES", 3)
+    folder = f"file://{tmp_path}/records"
+    manifest = records.write_records(docs(spark, texts), WORD, folder, 2, shard_bytes=600).collect()
+    buckets = {b: sorted(r.part for r in manifest if r.bucket == b) for b in {r.bucket for r in manifest}}
+    assert len(buckets) <= 3 < len(manifest) and all(parts == list(range(len(parts))) for parts in buckets.values())
+    assert rows(records.read_digests(spark, folder)) == whole
+    got = [(r.doc_id, r.ids) for r in records.read_shuffled(spark, folder, 4).collect()]
+    assert sorted(got) == [(i, [*reference_ids(t), 2]) for i, t in enumerate(texts)] != got
+
+
 def test_records_of_repeated_and_missing_ids(spark):
     table = spark.createDataFrame([(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i // 2}") for i in range(300)], "doc_id long, text string").repartition(5)
     out = records.round_trip(table, WORD, 2).orderBy("start").collect()

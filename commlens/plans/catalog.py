@@ -719,22 +719,27 @@ def reflection_batches(spark, sf_dir):
     return X.reflection_batches(read(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 3).select("conv_id", "batch", "turn")
 
 
-def _pairs(spark, sf_dir):
-    # two thirds of the repliers have a role
-    replier = F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, F.col("conv_id") + 1)
+def _pairs(spark, sf_dir, every=False):
+    """Replies and the personas of their repliers: of two thirds, but for one department, or of every one."""
+    replier = F.col("conv_id") + 1
+    if not every:
+        replier = F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, replier)
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 5).alias("stimulus_rank"), replier.alias("c_custkey"))
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("seniority_rank"))
     ranks = read(spark, sf_dir, "customer").join(nation, "c_nationkey").select("c_custkey", "seniority_rank", F.col("c_mktsegment").alias("department"))
-    personas = ranks.where("department <> 'FURNITURE'").select("seniority_rank", "department").distinct().withColumn("persona_id", F.concat_ws("-", "department", "seniority_rank"))
+    roles = ranks if every else ranks.where("department <> 'FURNITURE'")
+    personas = roles.select("seniority_rank", "department").distinct().withColumn("persona_id", F.concat_ws("-", "department", "seniority_rank"))
     return X.stimulus_pairs(t, "conv_id", "turn", ranks, "c_custkey", personas)
 
 
 _PAIRS = "(SELECT a.conv_id, b.turn, a.text AS stimulus_body, b.text AS reply_body, n_regionkey, c_mktsegment AS department, CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_mktsegment || '-' || n_regionkey END AS persona_id, CASE WHEN n_regionkey > a.conv_id % 5 THEN 'down' WHEN n_regionkey < a.conv_id % 5 THEN 'up' WHEN n_regionkey = a.conv_id % 5 THEN 'lateral' END AS direction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 LEFT JOIN (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey) c ON c_custkey = a.conv_id + 1 AND (b.conv_id + b.turn) % 3 > 0)"
 
 
-@query(f"SELECT conv_id, turn, department, persona_id, direction FROM {_PAIRS} WHERE persona_id IS NOT NULL")
+@query(
+    "SELECT a.conv_id, b.turn, c_mktsegment AS department, c_mktsegment || '-' || n_regionkey AS persona_id, CASE WHEN n_regionkey > a.conv_id % 5 THEN 'down' WHEN n_regionkey < a.conv_id % 5 THEN 'up' WHEN n_regionkey = a.conv_id % 5 THEN 'lateral' END AS direction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn > 0 JOIN customer ON c_custkey = a.conv_id + 1 JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment IS NOT NULL AND n_regionkey IS NOT NULL"
+)
 def real_stimulus_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).where("persona_id IS NOT NULL").select("conv_id", "turn", "department", "persona_id", "direction")
+    return _pairs(spark, sf_dir, every=True).where("persona_id IS NOT NULL").select("conv_id", "turn", "department", "persona_id", "direction")
 
 
 @query(

@@ -134,6 +134,14 @@ def test_stimuli_without_a_role_are_counted(spark):
     assert (cell.cell_id, cell.scenario_id, cell.direction, cell.stimulus_text, cell.reply_text) == ("vp__real_1__u1", "real_1", "up", "Subject: \n\nbody 0", "Subject: s\n\nbody 1")
 
 
+def test_every_reply_to_an_opener_is_a_pair(spark):
+    pairs = catalog.QUERIES["real_stimulus_pairs"](spark, SF)
+    turns, people = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("conversations", "customer"))
+    openers = turns.where("turn = 0").join(people, F.col("c_custkey") == F.col("conv_id") + 1).select("conv_id")
+    want = turns.where("turn > 0").join(openers, "conv_id").select("conv_id", "turn")
+    assert sorted(map(tuple, pairs.select("conv_id", "turn").collect())) == sorted(map(tuple, want.collect()))
+
+
 def threads(spark, days, people="1 2", subject="plan"):
     base = dt.datetime(2001, 5, 14, 9)
     rows = [(f"u{k:03}", subject, base + dt.timedelta(days=d), people.split()) for k, d in enumerate(days)]

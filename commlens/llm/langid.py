@@ -36,11 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commlens.llm.common import SLICE, IdFilter, code_points, forget, grouped, keep_rows, map_batches, mix64, texts, unused, window_hashes, written
+from commlens.operators.ranks import medians
 
 NGRAM, HASHES, SLOTS_EACH, MOST_LOG2 = 4, 3, 10, 24
 MAX_RATIO = 0.2
-#: Labelled texts on which the typical coverage is measured, at most.
-SAMPLE = 5000
 _OTHER = regex.compile(r"[^\p{L}\p{M}']+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -255,21 +254,25 @@ def predict(docs: DataFrame, filters: Filters | Parts) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
-def typical_coverage(docs: DataFrame, filters: Filters | Parts, sample: int = SAMPLE) -> float:
-    """The median coverage of labelled texts; of at most ``sample`` ids, taken in an order by hash."""
-    order = F.xxhash64("doc_id", F.lit("coverage"))
-    some = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    ids = written(some.select("doc_id").orderBy(order, "doc_id").limit(sample).distinct())
-    few = some.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
+def typical_coverage(docs: DataFrame, filters: Filters | Parts) -> float:
+    """The median coverage of all labelled texts, repeated ones and those without an id too.
+
+    It is exact: the coverages are written, counted by value, and the middle one is found by
+    position, without a task that holds all of them.
+    """
+    some = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text")
     if isinstance(filters, Parts):
-        few = written(few)
-        return few.select(text_key()).join(filters.measured(few), "t").agg(F.median("coverage")).first()[0] or 0.0
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+        rows = written(some.select(text_key()).join(filters.measured(some), "t").select("coverage"))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(shared.value.measure(texts(b))[2])], ["coverage"])
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(shared.value.measure(texts(b))[2])], ["coverage"])
 
-    return map_batches(few, run, "coverage double").agg(F.median("coverage")).first()[0] or 0.0
+        rows = written(map_batches(some, run, "coverage double"))
+    middle = medians(rows, [], "coverage", "middle").first()[0]
+    forget(rows)
+    return middle or 0.0
 
 
 def keep_covered(docs: DataFrame, filters: Filters | Parts, share: float) -> DataFrame:

@@ -52,6 +52,22 @@ def test_filters_in_parts_give_the_same_languages(spark, docs):
         assert kept.columns == docs.columns and same_rows(kept, langid.keep_covered(docs, whole, share))
 
 
+def test_typical_coverage_is_the_median_of_all_labelled_texts(spark):
+    rng = random.Random(12)
+    word = lambda sounds: "".join(rng.choice(sounds) for _ in range(4))
+    rows = [(i if i % 7 else None, " ".join(word(["ka", "to", "mi", "ru"] if rng.random() < i / 6001 else ["xq", "vw", "zj"]) for _ in range(rng.randrange(8, 40))), "aa" if i % 3 else None) for i in range(9001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    fitted = spark.createDataFrame([(" ".join(word(["ka", "to", "mi", "ru"]) for _ in range(12)), "aa") for _ in range(40)], "text string, lang string")
+    for filters in (langid.train(fitted), langid.train(fitted, most_log2=10)):
+        if isinstance(filters, langid.Parts):
+            whole = {r.t: r.coverage for r in filters.measured(df).collect()}
+            each = [whole[r.t] for r in df.where("lang IS NOT NULL").select(langid.text_key()).collect()]
+        else:
+            each = filters.measure([t for _, t, lang in rows if lang])[2].tolist()
+        assert len(each) == 6000 and len(set(each)) > 100
+        assert abs(langid.typical_coverage(df, filters) - np.median(each)) < 1e-12
+
+
 def test_false_positives_are_no_more_frequent_in_parts(spark):
     rng = np.random.default_rng(3)
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 400))) for _ in range(60)]  # almost every n-gram is new
